@@ -16,10 +16,10 @@ STOP = ["the", "of", "and", "is", "le", "la", "der", "die", "de", "el"]
 STOP_SQL = ", ".join(f"'{w}'" for w in STOP)
 
 TOKENS_SQL = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
-WORDS_SQL = f"list_filter({TOKENS_SQL}, w -> w NOT IN ({STOP_SQL}))"
+WORDS_SQL = f"list_filter({TOKENS_SQL}, lambda w: w NOT IN ({STOP_SQL}))"
 
 TERMS = f"""WITH w AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
-    t AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]))) AS term
+    t AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term
     FROM w), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
     vocab AS (SELECT term, CAST(sum(tf) AS BIGINT) AS n, count(*) AS df FROM tf GROUP BY term ORDER BY n DESC, term
     LIMIT 10000), x AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1)
@@ -41,7 +41,7 @@ def stopwords(v):
 
 @query("ngrams", f"""WITH w AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents)
     SELECT doc_id, CAST(len(w) + greatest(len(w) - 1, 0) AS INTEGER) AS n, array_to_string(list_concat(w,
-    list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])), '|') AS terms FROM w""")
+    list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), '|') AS terms FROM w""")
 def grams(v):
     words = ngrams.remove_stopwords(ngrams.tokenize(v.table("documents"), "text"), STOP)
     out = ngrams.ngrams(words)

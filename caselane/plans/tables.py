@@ -12,7 +12,7 @@ from caselane.sources import readers, runs
 from caselane.sources.views import with_views
 
 WORDS_SQL = (
-    r"list_filter(regexp_split_to_array({0}, '[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}]+'), w -> w <> '')"
+    r"list_filter(regexp_split_to_array({0}, '[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}]+'), lambda w: w <> '')"
 )
 
 
@@ -196,7 +196,7 @@ def slot_by_intent(v):
     return features.slot_table(slotted(v), "intent", "body")
 
 
-CAPS_SQL = f"len(list_filter({words_sql('html')}, w -> length(w) > 3 AND upper(w) = w AND lower(w) <> w)) > 0"
+CAPS_SQL = f"len(list_filter({words_sql('html')}, lambda w: length(w) > 3 AND upper(w) = w AND lower(w) <> w)) > 0"
 
 
 @query("caps_flag", f"SELECT page_id, CAST({CAPS_SQL} AS INTEGER) AS caps FROM pages")

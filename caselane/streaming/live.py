@@ -109,13 +109,13 @@ class FirstMessage(StatefulProcessor):
         self.handle = handle
         self.timer = handle.getValueState("timer", T.StructType([T.StructField("at", T.LongType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first, last = None, 0
         for chunk in rows:
-            low = chunk.sort_values(["_us", self.message]).iloc[0]
-            place = (int(low["_us"]), int(low[self.message]))
+            low = chunk.sort_values(["at_us", self.message]).iloc[0]
+            place = (int(low["at_us"]), int(low[self.message]))
             first = place if first is None or place < first else first
-            last = max(last, int(chunk["_us"].max()))
+            last = max(last, int(chunk["at_us"].max()))
         if first is None:
             return
         known = self.timer.exists()
@@ -127,7 +127,7 @@ class FirstMessage(StatefulProcessor):
         if not known:
             yield pd.DataFrame({self.key: [key[0]], self.message: [first[1]], "first_us": [first[0]]})
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.timer.clear()
         return iter(())
 
@@ -140,7 +140,7 @@ def first_messages(stream: DataFrame, key: str, message: str, at: str, delay: st
     """Opening message per thread as it arrives; ``key`` and ``message`` are long ids."""
     spark = stream.sparkSession
     prior = spark.conf.get(PROVIDER)
-    rows = stream.withWatermark(at, delay).select(key, message, at, F.unix_micros(at).alias("_us"))
+    rows = stream.withWatermark(at, delay).select(key, message, at, F.unix_micros(at).alias("at_us"))
     out = rows.groupBy(key).transformWithStateInPandas(
         FirstMessage(key, message, idle_ms), f"{key} long, {message} long, first_us long", "append", "eventTime")
     spark.conf.set(PROVIDER, ROCKSDB)
