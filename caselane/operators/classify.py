@@ -21,11 +21,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from caselane.functions.scores import decide
 from caselane.functions.text import WORD
 from caselane.operators.evaluate import binary_metrics
-from caselane.operators.ngrams import MAX_FEATURES, class_weights, term_counts, vocabulary
+from caselane.operators.ngrams import MAX_FEATURES, class_weights, vocabulary
+from caselane.operators.ordered import fill_cores
 from caselane.operators.split import nested_train_sizes, stratified_split, three_way_split
 from caselane.session import durable
 
 
+# Rows that one task can pass over quickly in each iteration of a fit.
+ROWS_PER_TASK = 5_000
+
+
 @F.arrow_udf(VectorUDT())
 def _one_plus_log(vectors: pa.Array) -> pa.Array:
     """Replace the counts inside sparse vectors by ``1 + ln(count)``, a whole batch at a time."""
@@ -71,7 +76,7 @@ def fit_features(df: DataFrame, doc_id: str, text: str, stop: list[str] | None =
     One pass counts terms and documents; only the vocabulary (at most ``size`` rows) reaches the driver.
     """
     stop = default_stopwords() if stop is None else stop
-    rows = vocabulary(term_counts(df, doc_id, text, stop), size).collect()
+    rows = vocabulary(df, doc_id, text, stop, size).collect()
     n_docs = df.count()
     scale = Vectors.dense([float(np.log((n_docs + 1) / (r.df + 1)) + 1) for r in rows])
     return PipelineModel([
@@ -92,11 +97,13 @@ def fit_weights(train: DataFrame, label: str, c: float = 1.0, max_iter: int = 10
     """L2 logistic regression on balanced classes, over rows that already carry ``features``.
 
     The class weights sum to the row count n, so a penalty of ``1 / (C n)`` weighs loss against size as the
-    usual C does.
+    usual C does. Every iteration is a job over all partitions, so nearly empty partitions are merged first.
     """
     weights = {r.label: r for r in class_weights(train, label).collect()}
     n = sum(r.n for r in weights.values())
-    weighted = train.withColumn(
+    parts = max(1, n // ROWS_PER_TASK)
+    dealt = train.coalesce(parts) if parts < train.rdd.getNumPartitions() else train
+    weighted = dealt.withColumn(
         "_weight", F.when(F.col(label) == 1, F.lit(weights[1].weight)).otherwise(F.lit(weights[0].weight)))
     return LogisticRegression(
         featuresCol="features", labelCol=label, weightCol="_weight", regParam=1.0 / (c * n),
@@ -108,7 +115,8 @@ def fit(train: DataFrame, doc_id: str, text: str, label: str, c: float = 1.0, st
         size: int = MAX_FEATURES, max_iter: int = 1000) -> PipelineModel:
     """The whole classifier as one model that can be saved and loaded."""
     features = fit_features(train, doc_id, text, stop, size)
-    ready = featurize(features, train.select(doc_id, text, label))
+    rows = fill_cores(train.select(doc_id, text, label), doc_id)
+    ready = durable(featurize(features, rows).select(doc_id, label, "features"))
     return PipelineModel([*features.stages, fit_weights(ready, label, c, max_iter)])
 
 
@@ -178,9 +186,11 @@ def select_on_validation(df: DataFrame, doc_id: str, text: str, label: str, grid
 
     The features do not depend on the setting and are computed once. Of equals the first setting wins.
     """
-    parts = three_way_split(df, label, doc_id, seed=seed).filter("split <> 'test'")
+    parts = durable(three_way_split(df.select(doc_id, text, label), label, doc_id, seed=seed)
+                    .filter("split <> 'test'"))
     features = fit_features(parts.filter("split = 'train'"), doc_id, text, stop, size)
-    ready = durable(featurize(features, parts).select(doc_id, label, "split", "features"))
+    rows = fill_cores(parts, doc_id)
+    ready = durable(featurize(features, rows).select(doc_id, label, "split", "features"))
     train, val = ready.filter("split = 'train'"), _truth(ready.filter("split = 'val'"), label)
     scored = None
     for c in grid:

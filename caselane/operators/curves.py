@@ -43,12 +43,8 @@ def roc_auc(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def cumulative(df: DataFrame, by: list[str]) -> DataFrame:
     """Per distinct score, highest first: true and false positives at ``p >= score``, and class totals."""
     scores = by_score(df, by).withColumn("_down", -F.col("y_prob"))
-    ranked = running_sums(scores, by, ["_down"], {"tp": F.col("pos"), "fp": F.col("neg")})
-    if not by:
-        ends = scores.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-        return ranked.withColumns({"p": ends.select("p").scalar(), "n": ends.select("n").scalar()})
-    totals = scores.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return ranked.join(totals, by)
+    return running_sums(
+        scores, by, ["_down"], {"tp": F.col("pos"), "fp": F.col("neg")}, totals={"tp": "p", "fp": "n"})
 
 
 def roc_curve(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -8,7 +8,7 @@ from caselane.functions import text as tx
 from caselane.functions.scores import decide, rates, ratio, share
 from caselane.functions.taxonomy import FINE_GRID
 from caselane.operators.curves import auc_column, best_threshold
-from caselane.operators.ordered import running_sums
+from caselane.operators.ordered import lookup_join, running_sums
 from caselane.operators.profile import histogram
 
 CELLS = ("tn", "fp", "fn", "tp")
@@ -188,16 +188,16 @@ def label_collisions(df: DataFrame, by: tuple[str, ...] = ("category",)) -> Data
 def nearest_intent(missed: DataFrame, sources: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """For each missed row, the source intent whose average TF-IDF vector is closest by cosine.
 
-    ``missed`` holds (doc_id, term, weight) with unit-length rows, ``sources`` the same plus ``intent``. A
-    centroid has at most one row per vocabulary term, and all intents of a term sit in one row, so the table
-    joined against is no longer than the vocabulary.
+    ``missed`` holds (doc_id, term, weight) with unit-length rows, ``sources`` the same plus ``intent``. All
+    intents of a term sit in one row, so the table joined against is unique on the term and no longer than the
+    vocabulary; a term most rows contain is looked up apart.
     """
     sums = sources.groupBy("intent", "term").agg(F.sum("weight").alias("_w"))
     norms = sums.groupBy("intent").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
     unit = sums.join(norms, "intent").withColumn("_w", F.col("_w") / F.col("_norm"))
     centroids = unit.groupBy("term").agg(F.collect_list(F.struct("intent", "_w")).alias("_c"))
     scored = (
-        missed.join(centroids, "term")
+        lookup_join(missed, centroids, "term").filter("_c IS NOT NULL")
         .select(doc_id, "weight", F.inline("_c"))
         .groupBy(doc_id, "intent").agg(F.sum(F.col("weight") * F.col("_w")).alias("cosine"))
     )

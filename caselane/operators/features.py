@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from caselane.functions import text as tx
 from caselane.functions.scores import share
 from caselane.functions.taxonomy import ESCALATION_INTENTS, FLAG_NAMES
+from caselane.operators.ordered import broadcast_if_small
 
 
 def map_target(df: DataFrame, intents: tuple[str, ...] = ESCALATION_INTENTS, intent: str = "intent") -> DataFrame:
@@ -14,8 +15,8 @@ def map_target(df: DataFrame, intents: tuple[str, ...] = ESCALATION_INTENTS, int
 
 
 def taxonomy_join(df: DataFrame, dimension: DataFrame, on: str = "intent") -> DataFrame:
-    """Attach what the intent table says about each row. Spark broadcasts the table if it measures small."""
-    return df.join(dimension, on)
+    """Attach what the intent table says about each row; counted small, the table goes to the rows."""
+    return df.join(broadcast_if_small(dimension), on)
 
 
 def decompose_flags(df: DataFrame, names: dict[str, str] = FLAG_NAMES, flags: str = "flags") -> DataFrame:

@@ -6,12 +6,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caselane.functions import text as tx
 from caselane.functions.scores import share
+from caselane.operators.ordered import fill_cores
+from caselane.session import durable
 
 MAX_FEATURES = 10_000
 
 # A vocabulary no longer than this is sent to every executor; a longer one is joined as usual.
 BROADCAST_TERMS = 100_000
 
+# Every text carries this marker; no real term is empty.
+NO_TERM = ""
+
 
 def tokenize(df: DataFrame, text: str, column: str = "tokens") -> DataFrame:
     return df.withColumn(column, tx.tokens(F.col(text)))
@@ -30,25 +35,38 @@ def terms_of(text: Column, stop: list[str]) -> Column:
     return tx.unigrams_and_bigrams(tx.without(tx.tokens(text), stop))
 
 
-def term_counts(df: DataFrame, doc_id: str, text: str, stop: list[str]) -> DataFrame:
-    """(doc, term, tf). A document without terms keeps one row with a NULL term.
+def vocabulary(df: DataFrame, doc_id: str, text: str, stop: list[str], size: int = MAX_FEATURES) -> DataFrame:
+    """The most frequent terms of the corpus, ties in term order, with their document frequency.
 
-    Texts are spread by document before they are taken apart: whole texts are far smaller than their n-grams,
-    and every later step per document finds its rows already together.
+    Each text yields its terms once per occurrence and once per document, so both counts come from one
+    aggregate over terms; (document, term) pairs are never shuffled, and a word found in most texts is one
+    row per map task.
     """
-    spread = df.select(doc_id, text).repartition(doc_id)
+    taken = fill_cores(df.select(doc_id, text), doc_id).select(terms_of(F.col(text), stop).alias("_terms"))
+
+    def marks(items: Column, tf: int, df_: int) -> Column:
+        return F.transform(items, lambda t: F.struct(t.alias("term"), F.lit(tf).alias("_tf"), F.lit(df_).alias("_df")))
+
+    both = F.concat(marks(F.col("_terms"), 1, 0), marks(F.array_distinct("_terms"), 0, 1))
     return (
-        spread.select(doc_id, F.explode_outer(terms_of(F.col(text), stop)).alias("term"))
-        .groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"))
+        taken.select(F.inline(both))
+        .groupBy("term").agg(F.sum("_tf").alias("n"), F.sum("_df").alias("df"))
+        .orderBy(F.desc("n"), "term").limit(size)
     )
 
 
-def vocabulary(counts: DataFrame, size: int = MAX_FEATURES) -> DataFrame:
-    """The most frequent terms of the corpus, ties in term order, with their document frequency."""
+def known_counts(df: DataFrame, table: DataFrame, doc_id: str, text: str, stop: list[str], size: int) -> DataFrame:
+    """(doc, term, tf, columns of ``table``) for the terms of a table of at most ``size`` rows.
+
+    Texts are spread by document before they are taken apart: whole texts are smaller than their n-grams, and
+    every later step per document finds its rows already together. Unknown terms drop out before counting.
+    """
+    extra = [c for c in table.columns if c != "term"]
+    spread = df.select(doc_id, text).repartition(doc_id)
     return (
-        counts.filter("term IS NOT NULL").groupBy("term")
-        .agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
-        .orderBy(F.desc("n"), "term").limit(size)
+        spread.select(doc_id, F.explode(F.concat(F.array(F.lit(NO_TERM)), terms_of(F.col(text), stop))).alias("term"))
+        .join(sized(table, size), "term")
+        .groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"), *[F.first(c).alias(c) for c in extra])
     )
 
 
@@ -67,14 +85,13 @@ def sized(table: DataFrame, size: int) -> DataFrame:
 
 def tfidf(df: DataFrame, doc_id: str, text: str, stop: list[str], size: int = MAX_FEATURES) -> DataFrame:
     """(doc, term, weight): sublinear tf times smoothed idf, each document scaled to unit length."""
-    counts = term_counts(df, doc_id, text, stop)
     n_docs = df.agg(F.count(F.lit(1))).scalar()
-    table = vocabulary(counts, size).select("term", idf(F.col("df"), n_docs).alias("_idf"))
-    return weigh(counts, table, doc_id, size)
+    table = durable(vocabulary(df, doc_id, text, stop, size).select("term", idf(F.col("df"), n_docs).alias("idf")))
+    return weigh(known_counts(df, table, doc_id, text, stop, size), doc_id)
 
 
-def weigh(counts: DataFrame, table: DataFrame, doc_id: str, size: int) -> DataFrame:
-    raw = counts.join(sized(table, size), "term").withColumn("_w", sublinear(F.col("tf")) * F.col("_idf"))
+def weigh(counts: DataFrame, doc_id: str) -> DataFrame:
+    raw = counts.withColumn("_w", sublinear(F.col("tf")) * F.col("idf"))
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(doc_id)))
     return raw.select(doc_id, "term", (F.col("_w") / length).alias("weight"))
 
@@ -106,9 +123,10 @@ def table_score(df: DataFrame, model: DataFrame, doc_id: str, text: str, stop: l
                 size: int = MAX_FEATURES) -> DataFrame:
     """Score raw texts with a fitted (term, idf, coef) table: one shuffle of texts, everything in the JVM.
 
-    Texts without any known term score at the intercept.
+    The marker every text carries has weight 0 here, so texts without any known term score at the intercept.
     """
-    rows = term_counts(df, doc_id, text, stop).join(sized(model, size), "term", "left")
+    marker = df.sparkSession.createDataFrame([(NO_TERM, 0.0, 0.0)], model.schema)
+    rows = known_counts(df, model.unionByName(marker), doc_id, text, stop, size + 1)
     w = sublinear(F.col("tf")) * F.col("idf")
     z = share(F.sum(w * F.col("coef")), F.sqrt(F.sum(w * w)))
     return rows.groupBy(doc_id).agg(sigmoid(F.coalesce(z, F.lit(0.0)) + F.lit(float(intercept))).alias("y_prob"))

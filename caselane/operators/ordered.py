@@ -30,14 +30,34 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
 
 
+# A scan of at most this many files is small enough to be dealt out again before heavy work on its texts.
+FEW_FILES = 32
+
+
+def fill_cores(df: DataFrame, key: str) -> DataFrame:
+    """Deal the rows of a few-file scan out over all cores; leave a scan of many files where it is.
+
+    Taking texts apart is bound by processor time, and a file with one row group is read by one task.
+    """
+    files = len(df.inputFiles())
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    pieces = files if files else df.rdd.getNumPartitions()
+    return df.repartition(cores, key) if pieces < min(cores, FEW_FILES) else df
+
+
 def lay_out(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Rows range-partitioned on (by, order) with their partition number, written to the shared folder."""
     keys = [F.col(c) for c in (*by, *order)]
     return durable(df.repartitionByRange(*keys).withColumn(PART, F.spark_partition_id()))
 
 
-def running_sums(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
-    """Add inclusive running totals, per ``by`` (non-null) in ``order`` (unique within ``by``)."""
+def running_sums(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Column],
+                 totals: dict[str, str] | None = None) -> DataFrame:
+    """Add inclusive running totals, per ``by`` (non-null) in ``order`` (unique within ``by``).
+
+    ``totals`` maps a name of ``sums`` to the column that gets its total over the whole group.
+    """
+    whole = totals or {}
     laid = lay_out(df, by, order)
     before = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -46,6 +66,7 @@ def running_sums(df: DataFrame, by: list[str], order: list[str], sums: dict[str,
         .select(
             *by, PART,
             *[F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_o_{name}") for name in sums],
+            *[F.sum(f"_t_{name}").over(Window.partitionBy(*by)).alias(column) for name, column in whole.items()],
         )
     )
     local = Window.partitionBy(*by, PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -53,6 +74,7 @@ def running_sums(df: DataFrame, by: list[str], order: list[str], sums: dict[str,
     return joined.select(
         *df.columns,
         *[(F.sum(expr).over(local) + F.col(f"_o_{name}")).alias(name) for name, expr in sums.items()],
+        *whole.values(),
     )
 
 
@@ -97,8 +119,11 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, rows_count: int |
 
     Fewer than HOT_SHARE keys can be hot, so their lookup rows are a proven-small broadcast and hot rows
     are never shuffled; all other rows take the ordinary join. Rows whose key is NULL match nothing and are
-    spread out, instead of all meeting in the task that NULL hashes to. Small inputs skip the split.
+    spread out, instead of all meeting in the task that NULL hashes to. Small inputs skip the split. A caller
+    that gives ``rows_count`` has written its rows down already.
     """
+    if rows_count is None:
+        rows = durable(rows)
     total = rows.count() if rows_count is None else rows_count
     spread = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*rows.columns), F.lit(HOT_SHARE))).otherwise(F.lit(0))
     salted = rows.withColumn("_salt", spread)
@@ -144,7 +169,7 @@ def take_by_hash(df: DataFrame, by: list[str], row_id: str, seed: int | str, quo
     ranked = Window.partitionBy(*by).orderBy("_hash", row_id)
     last = (
         hashed.select(*by, row_id, "_hash", bucket.alias("_bucket"))
-        .join(border, [*by, "_bucket"])
+        .join(broadcast_if_small(border), [*by, "_bucket"])
         .withColumn("_rank", F.row_number().over(ranked))
         .filter(F.col("_rank") == F.col("_need"))
         .select(*by, F.struct("_hash", F.col(row_id)).alias("_last"))

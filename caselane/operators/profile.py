@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caselane.functions.scores import share
+from caselane.operators.ordered import broadcast_if_small
 from caselane.operators.quality import value_share
 
 
@@ -88,9 +89,7 @@ def histogram(df: DataFrame, column: str, by: str, bins: int | None = None, widt
         })
     else:
         span = data.groupBy(by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-        ranged = data.groupBy(by, "_x").agg(F.count(F.lit(1)).alias("_c")).join(span, by)
-    if "_c" not in ranged.columns:
-        ranged = ranged.withColumn("_c", F.lit(1))
+        ranged = data.join(broadcast_if_small(span), by)
     flat = F.col("_lo") == F.col("_hi")
     ranged = ranged.withColumns({
         "_lo": F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo")),
@@ -106,7 +105,7 @@ def histogram(df: DataFrame, column: str, by: str, bins: int | None = None, widt
         at = F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.lit(float(bins)))
     binned = (
         ranged.groupBy(by, F.least(at, n_bins - 1).cast("int").alias("bin"))
-        .agg(F.sum("_c").alias("n"), F.min(F.col("_lo")).alias("_lo"), F.min(step).alias("_w"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.col("_lo")).alias("_lo"), F.min(step).alias("_w"))
     )
     total = F.sum("n").over(Window.partitionBy(by))
     return binned.select(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from caselane.functions import text as tx
 from caselane.operators import classify, evaluate, ngrams
 from caselane.plans.registry import query
+from caselane.session import durable
 from caselane.sources.views import with_views
 
 # A short explicit list, so that the checking SQL can hold it.
@@ -48,13 +49,9 @@ def grams(v):
     return out.select("doc_id", F.size("terms").alias("n"), F.array_join("terms", "|").alias("terms"))
 
 
-def counts(v):
-    return ngrams.term_counts(v.table("documents"), "doc_id", "text", STOP)
-
-
 @query("vocabulary", TERMS + "SELECT term, n, df FROM vocab")
 def vocabulary(v):
-    return ngrams.vocabulary(counts(v))
+    return ngrams.vocabulary(v.table("documents"), "doc_id", "text", STOP)
 
 
 def weights(v):
@@ -76,7 +73,7 @@ def class_weights(v):
     SELECT doc_id, round(1 / (1 + exp(-(coalesce(sum(weight * coef), 0) - 0.25))), 6) AS y_prob
     FROM weights LEFT JOIN coefs USING (term) GROUP BY doc_id""")
 def linear_score(v):
-    coefs = ngrams.vocabulary(counts(v)).select("term", ((F.length("term").cast("double") - 6) / 4).alias("coef"))
+    coefs = vocabulary(v).select("term", ((F.length("term").cast("double") - 6) / 4).alias("coef"))
     return ngrams.linear_score(weights(v), coefs, "doc_id", -0.25)
 
 
@@ -152,7 +149,7 @@ def cross_domain(v):
     ORDER BY round(cosine, 9) DESC, intent DESC) = 1""")
 def nearest_intent(v):
     """For each escalated document, the English source whose average vector it is closest to."""
-    all_weights = weights(v)
+    all_weights = durable(weights(v))
     missed = v.table("labels").filter("toxic = 1").select("doc_id")
     sources = v.table("documents").filter("lang = 'en'").select("doc_id", F.col("source").alias("intent"))
     return evaluate.nearest_intent(
