@@ -50,8 +50,8 @@ def main() -> None:
     rows, state = training(views), {}
     seconds["fit"] = timed(lambda: state.update(model=classify.fit(rows, "thread_id", "text", "escalated")))
     everything = views.table("documents").select(F.col("doc_id").alias("thread_id"), "text")
-    consume(classify.score(state["model"], everything))
-    seconds["score"] = timed(lambda: consume(classify.score(state["model"], everything)))
+    consume(classify.score(state["model"], everything, spread_by="thread_id"))
+    seconds["score"] = timed(lambda: consume(classify.score(state["model"], everything, spread_by="thread_id")))
     n = everything.count()
     print(json.dumps({
         "metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,

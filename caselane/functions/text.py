@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -77,11 +78,24 @@ def without(items: Column, stop: list[str]) -> Column:
     return F.filter(items, lambda w: ~w.isin(*stop)) if stop else items
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it.
+
+    Spark repeats an expression wherever it is mentioned inside a lambda-taking function, and tokenizing a text
+    again for every mention is most of the cost of building n-grams.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unigrams_and_bigrams(items: Column) -> Column:
     """The words followed by their neighbouring pairs."""
-    later = F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0)))
-    pairs = F.zip_with(items, later, lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(items, F.slice(pairs, 1, F.greatest(F.size(items) - 1, F.lit(0))))
+
+    def both(words: Column) -> Column:
+        starts = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
+        pairs = F.transform(starts, lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1)))
+        return F.concat(words, pairs)
+
+    return let(items, both)
 
 
 def normalize(text: Column) -> Column:

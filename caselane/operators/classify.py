@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
-    CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer, StopWordsRemover,
+    CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, SQLTransformer, StopWordsRemover,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
@@ -59,10 +59,10 @@ def default_stopwords() -> list[str]:
 
 
 def term_stages(text: str, stop: list[str]) -> list:
-    """Stages giving the same terms as :func:`caselane.operators.ngrams.terms_of`."""
+    """Stages giving the same terms as :func:`caselane.operators.ngrams.terms_of`, missing text included."""
+    tokens = f"regexp_extract_all(lower(coalesce({text}, '')), r'{WORD}', 0)"
     return [
-        RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=WORD, gaps=False, toLowercase=True,
-                       minTokenLength=2),
+        SQLTransformer(statement=f"SELECT *, {tokens} AS _tokens FROM __THIS__"),
         StopWordsRemover(inputCol="_tokens", outputCol="_words", stopWords=stop, caseSensitive=True),
         NGram(n=2, inputCol="_words", outputCol="_pairs"),
         SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _terms FROM __THIS__"),
@@ -120,10 +120,14 @@ def fit(train: DataFrame, doc_id: str, text: str, label: str, c: float = 1.0, st
     return PipelineModel([*features.stages, fit_weights(ready, label, c, max_iter)])
 
 
-def score(model: PipelineModel, df: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Add P(escalated) and the decision; the decision always compares the probability with the cut-off."""
+def score(model: PipelineModel, df: DataFrame, threshold: float = 0.5, spread_by: str | None = None) -> DataFrame:
+    """Add P(escalated) and the decision; the decision always compares the probability with the cut-off.
+
+    No row moves, unless ``spread_by`` names a key by which a scan of few files may be dealt out.
+    """
     probability = vector_to_array("probability")[1].alias("y_prob")
-    scored = model.transform(df).select(*df.columns, probability)
+    rows = fill_cores(df, spread_by) if spread_by and not df.isStreaming else df
+    scored = model.transform(rows).select(*df.columns, probability)
     return scored.withColumn("y_pred", decide(F.col("y_prob"), threshold))
 
 

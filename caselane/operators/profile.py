@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from caselane.functions.scores import share
 from caselane.operators.ordered import broadcast_if_small
 from caselane.operators.quality import value_share
+from caselane.session import durable
 
 
 def category_by_class(df: DataFrame, category: str = "category", target: str = "escalated") -> DataFrame:
@@ -121,7 +122,7 @@ def box_stats(df: DataFrame, column: str, by: list[str]) -> DataFrame:
 
     Rows are first counted per (group, value); the second pass reads that small table, not the rows.
     """
-    counted = df.groupBy(*by, F.col(column).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    counted = durable(df.groupBy(*by, F.col(column).alias("_x")).agg(F.count(F.lit(1)).alias("_n")))
     boxes = counted.groupBy(*by).agg(
         F.sum("_n").alias("n"),
         F.percentile(F.col("_x"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_n")).alias("_q"),
