@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from caselane.functions.taxonomy import ESCALATION_INTENTS, SELF_SERVICE
-from caselane.operators.ordered import lookup_join, neighbors
+from caselane.operators.ordered import BROADCAST_ROWS, lookup_join, neighbors
 from caselane.operators.split import sample_manifest  # noqa: F401  (re-exported: sampling belongs to threads)
 from caselane.session import durable
 
@@ -47,7 +48,9 @@ def thread_roots(links: DataFrame, node: str = "child", parent: str = "parent",
 
     ``links`` has one row per node; a NULL parent makes it a root, and every parent must be a node (see
     :func:`present_edges`). Each round replaces a pointer by the pointer it leads to, so the distance covered
-    doubles and ``log2(depth)`` rounds suffice. Finished nodes leave the loop; lineage is cut after each round.
+    doubles and ``log2(depth)`` rounds suffice. Finished nodes leave the loop, and only nodes that some pointer
+    leads to are looked up: where those are counted few (a star, whatever its size), no row is shuffled.
+    Lineage is cut after each round.
     Nodes still unfinished when the rounds cover more steps than there are nodes sit on or behind a cycle:
     they are returned with a NULL root and ``in_cycle`` = 1.
     """
@@ -62,23 +65,23 @@ def thread_roots(links: DataFrame, node: str = "child", parent: str = "parent",
     pending = active.count()
     finished = [state.filter("done")]
     rounds = 0
+    width = max(state.rdd.getNumPartitions(), int(state.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     while pending and rounds < max_rounds and 2 ** rounds <= 2 * total:
         rounds += 1
-        target = state.select(F.col("node").alias("ptr"), F.col("ptr").alias("_next"),
-                              F.col("depth").alias("_depth"), F.col("done").alias("_done"))
-        moved = durable(lookup_join(active, target, "ptr", pending).select(
+        needed = durable(active.select(F.col("ptr").alias("node")).distinct())
+        few = needed.count() <= BROADCAST_ROWS
+        target = state.join(F.broadcast(needed) if few else needed, "node", "left_semi").select(
+            F.col("node").alias("ptr"), F.col("ptr").alias("_next"), F.col("depth").alias("_depth"),
+            F.col("done").alias("_done"))
+        jumped = active.join(F.broadcast(target), "ptr") if few else lookup_join(active, target, "ptr", pending)
+        moved = durable(jumped.select(
             "node", F.col("_next").alias("ptr"), (F.col("depth") + F.col("_depth")).alias("depth"),
             F.col("_done").alias("done"),
-        ))
-        arrived = moved.filter("done")
+        ).coalesce(width))
         active = moved.filter("NOT done")
-        pending_now = active.count()
-        finished.append(arrived)
-        state = finished[0]
-        for part in finished[1:]:
-            state = state.unionByName(part)
-        state = state.unionByName(active)
-        pending = pending_now
+        pending = active.count()
+        finished.append(moved.filter("done"))
+        state = reduce(DataFrame.unionByName, [*finished, active])
     return state.select(
         F.col("node").alias("message_id"),
         F.when(F.col("done"), F.col("ptr")).alias("thread_id"),

@@ -28,9 +28,10 @@ def test_cycles_are_reported_not_looped(spark):
     assert all(got[k] == (None, None, 1) for k in (3, 4, 5, 6))
 
 
-@pytest.mark.parametrize("floor", [5, 10**9])
-def test_roots_of_chains_stars_and_forests(spark, monkeypatch, floor):
+@pytest.mark.parametrize("floor,few", [(5, 0), (10**9, 0), (10**9, 10**6)])
+def test_roots_of_chains_stars_and_forests(spark, monkeypatch, floor, few):
     monkeypatch.setattr(ordered, "HOT_FLOOR", floor)
+    monkeypatch.setattr(threads, "BROADCAST_ROWS", few)
     monkeypatch.setattr(ordered, "HOT_SHARE", 20)
     rng = random.Random(11)
     parent = {0: None}
