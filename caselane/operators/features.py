@@ -60,11 +60,11 @@ def token_profile(df: DataFrame, text: str, cap: int, tokenize=tx.pieces, by: tu
     return sized.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_texts"),
         F.avg("_n").alias("mean"),
-        F.percentile("_n", F.lit(0.5)).alias("median"),
-        F.percentile("_n", F.lit(0.99)).alias("p99"),
+        F.percentile("_n", F.array(F.lit(0.5), F.lit(0.99))).alias("_q"),
         F.max("_n").alias("max"),
         F.avg((F.col("_n") > cap).cast("double")).alias("share_over_cap"),
-    )
+    ).select(*by, "n_texts", "mean", F.col("_q")[0].alias("median"), F.col("_q")[1].alias("p99"), "max",
+             "share_over_cap")
 
 
 def token_counts(df: DataFrame, text: str, tokenize=tx.pieces) -> DataFrame:

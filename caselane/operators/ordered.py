@@ -39,7 +39,7 @@ def fill_cores(df: DataFrame, key: str) -> DataFrame:
 
     Taking texts apart is bound by processor time, and a file with one row group is read by one task.
     """
-    files = len(df.inputFiles())
+    files = len(df._jdf.inputFiles())  # counted in the JVM; the names themselves are not needed here
     cores = df.sparkSession.sparkContext.defaultParallelism
     pieces = files if files else df.rdd.getNumPartitions()
     return df.repartition(cores, key) if pieces < min(cores, FEW_FILES) else df

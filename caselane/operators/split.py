@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from caselane.functions.scores import share
@@ -78,17 +80,14 @@ def nested_train_sizes(df: DataFrame, label: str, row_id: str, fractions: dict[s
                        seed: int | str = 42) -> DataFrame:
     """Nested stratified subsets for a learning curve; each size holds all smaller ones.
 
-    All sizes read the same hash order, so a larger quota only extends a smaller one.
+    All sizes read the same hash order, so a larger quota only extends a smaller one. Rows and cut-offs are
+    matched per (class, size): each row is repeated for the sizes, then kept where its hash comes early enough.
     """
-    parts = [
-        take_by_hash(df, [label], row_id, seed, class_quotas(df, label, f), "_t")
-        .filter("_t = 1").drop("_t").withColumn("size_name", F.lit(name))
-        for name, f in fractions.items()
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    names = F.array(*[F.lit(n) for n in fractions])
+    quotas = reduce(DataFrame.unionByName, [
+        class_quotas(df, label, f).withColumn("size_name", F.lit(n)) for n, f in fractions.items()])
+    repeated = df.withColumn("size_name", F.explode(names))
+    return take_by_hash(repeated, [label, "size_name"], row_id, seed, quotas, "_t").filter("_t = 1").drop("_t")
 
 
 def kfold(df: DataFrame, row_id: str, k: int, seed: int | str = 42) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def build_session(app: str = "caselane", master: str | None = None, shuffle_partitions: int | None = None,
                   conf: dict[str, str] | None = None) -> SparkSession:
-    """A session with adaptive execution and skew handling on.
+    """A session with adaptive execution and skew handling on, and streamed sessions merged before the shuffle.
 
     Leave ``shuffle_partitions`` unset on a cluster: adaptive execution coalesces from the cluster's own
     default, and a fixed small number would turn into oversized partitions there.
@@ -20,6 +20,7 @@ def build_session(app: str = "caselane", master: str | None = None, shuffle_part
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
         .config("spark.sql.session.timeZone", "UTC")
     )
     if master:
