@@ -30,9 +30,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Build], Build]:
 
 
 def six_digits(df: DataFrame) -> DataFrame:
-    """Round floating results: the order of addition decides what comes after the sixth digit."""
+    """Round floating results: the order of addition decides what comes after the sixth digit.
+
+    Scaled, rounded and scaled back in floating point, as the checking engine does it: rounding the decimal text of
+    a number instead gives another last digit where the number lies between two.
+    """
     return df.select(*[
-        F.round(f.name, 6).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+        (F.round(F.col(f.name) * 1e6) / 1e6).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
         for f in df.schema.fields
     ])
 
