@@ -9,6 +9,8 @@ per (key, partition).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caselane.session import durable
@@ -51,9 +53,17 @@ def lay_out(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return durable(df.repartitionByRange(*keys).withColumn(PART, F.spark_partition_id()))
 
 
+def attach(laid: DataFrame, side: DataFrame, by: list[str]) -> DataFrame:
+    """Join a table with one row per (key, partition) back to its rows; a NULL key is a key like any other."""
+    keys = [*by, PART]
+    renamed = side.withColumnsRenamed({c: f"_k_{c}" for c in keys})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys])
+    return laid.join(renamed, same).drop(*[f"_k_{c}" for c in keys])
+
+
 def running_sums(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Column],
                  totals: dict[str, str] | None = None) -> DataFrame:
-    """Add inclusive running totals, per ``by`` (non-null) in ``order`` (unique within ``by``).
+    """Add inclusive running totals, per ``by`` in ``order`` (unique within ``by``).
 
     ``totals`` maps a name of ``sums`` to the column that gets its total over the whole group.
     """
@@ -70,7 +80,7 @@ def running_sums(df: DataFrame, by: list[str], order: list[str], sums: dict[str,
         )
     )
     local = Window.partitionBy(*by, PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = laid.join(offsets, [*by, PART])
+    joined = attach(laid, offsets, by)
     return joined.select(
         *df.columns,
         *[(F.sum(expr).over(local) + F.col(f"_o_{name}")).alias(name) for name, expr in sums.items()],
@@ -102,7 +112,7 @@ def neighbors(df: DataFrame, by: list[str], order: list[str], values: list[str],
     )
     local = Window.partitionBy(*by, PART).orderBy(*order)
     out = (
-        laid.join(edges, [*by, PART])
+        attach(laid, edges, by)
         .withColumn("_prev", F.coalesce(F.lag(packed).over(local), F.col("_before")))
         .withColumn("_next", F.coalesce(F.lead(packed).over(local), F.col("_after")))
     )
