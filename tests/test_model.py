@@ -105,3 +105,23 @@ def test_class_weights(spark):
     assert [r.weight for r in ngrams.class_weights(df).collect()] == [4 / 6, 4 / 2]
     none = ngrams.class_weights(df.filter("escalated = 0")).collect()
     assert [r.weight for r in none] == [0.5, 1.5]
+
+
+def test_experiments_evaluate_every_held_out_row(rows):
+    n, seeds, shares = rows.count(), [42, 7], {"half": 0.5, "all": 1.0}
+    total = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
+    by_seed = classify.seed_runs(rows, "thread_id", "text", "escalated", seeds, stop=STOP, size=100)
+    assert {r.seed: r.n for r in by_seed.select("seed", total.alias("n")).collect()} == dict.fromkeys(seeds, math.ceil(n / 5))
+    curve = classify.learning_curve(rows, "thread_id", "text", "escalated", shares, stop=STOP, size=100)
+    assert {r.size_name: r.n for r in curve.select("size_name", total.alias("n")).collect()} == dict.fromkeys(
+        shares, math.ceil(n / 5))
+    # All training rows of the curve is the same fit as the same seed's run.
+    a = by_seed.filter("seed = 42").drop("seed").first()
+    assert a == curve.filter("size_name = 'all'").drop("size_name").first()
+
+
+def test_cross_domain_fits_nothing_again(spark, folder, model):
+    every = training(Views(spark, folder))
+    out = classify.evaluate(model, every, "escalated", ("lang",))
+    want = {r.lang: r["count"] for r in every.groupBy("lang").count().collect()}
+    assert {r.lang: r.tn + r.fp + r.fn + r.tp for r in out.collect()} == want
