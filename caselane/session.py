@@ -21,6 +21,7 @@ def build_session(app: str = "caselane", master: str | None = None, shuffle_part
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.session.timeZone", "UTC")
     )
     if master:
@@ -58,6 +59,23 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared folder for a table or a stream's own checkpoint."""
+    """A fresh sub-folder of the shared folder for a table or a stream's own checkpoint.
+
+    It is removed when the application ends.
+    """
     token = spark._jvm.java.util.UUID.randomUUID().toString()
-    return os.path.join(shared_dir(spark), f"{name}-{token}")
+    made = os.path.join(shared_dir(spark), f"{name}-{token}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(made)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return made
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and go on from the files.
+
+    Unlike a checkpoint the files are columnar and compressed, and their size is known to the planner, which may then
+    broadcast a table that has proved small.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
