@@ -21,6 +21,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from caselane.llm.rows import KEY_ID, KEY_MARK, take_rows
 from caselane.session import written
 
 BLOCK = 1024  # characters
@@ -105,19 +106,11 @@ def dedup(docs: DataFrame, row_id: str = "doc_id", text: str = "text", size: int
 
     Rows that agree in id and text are told apart by their other columns; the largest of them stays.
     """
-    kept = written(decide(docs, row_id, text, size).filter("kept").select(
-        F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")), "kept")
-    digest = F.sha2(lower_ascii(F.col(text)).cast("binary"), 256)
-    plain = [F.col(c) for c in docs.columns]
-    marked = docs.select(*plain, digest.alias("_sha"))
-    found = marked.join(kept, F.col(row_id).eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
-    again = written(marked.groupBy(F.col(row_id).alias("_kept_id"), F.col("_sha").alias("_kept_sha")).count()
-                    .filter("count > 1").drop("count"), "repeated")
-    same = F.col(row_id).eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha"))
-    single = found.join(again, same, "left_anti").select(*docs.columns)
-    repeated = (found.join(again, same, "left_semi").groupBy(row_id, "_sha")
-                .agg(F.max(F.struct(*docs.columns)).alias("_row")).select("_row.*"))
-    return single.unionByName(repeated)
+    rows = written(decide(docs, row_id, text, size), "decisions")
+    keys = [F.col("doc_id").alias(KEY_ID), F.col("text_sha256").alias(KEY_MARK)]
+    kept = written(rows.filter("kept").select(*keys), "kept")
+    repeated = written(rows.groupBy(*keys).count().filter("count > 1").drop("count"), "repeated")
+    return take_rows(docs, row_id, F.sha2(lower_ascii(F.col(text)).cast("binary"), 256), kept, repeated)
 
 
 SQL = """

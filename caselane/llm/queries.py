@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caselane.llm import exactdup, mixing, sharding, warc
+from caselane.llm import exactdup, langid, merkle, mixing, packing, secrets, sharding, simhash, styletree, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,8 +18,14 @@ def over(table: str, report: Callable[[DataFrame], DataFrame]) -> Query:
 QUERIES: dict[str, Query] = {
     "op1_mixing": over("documents", mixing.report),
     "op2_exact_dedup": over("documents", exactdup.decide),
+    "op3_style_tree": over("pages", styletree.report),
     "op4_warc": over("pages", warc.report),
+    "op5_language": over("documents", langid.report),
+    "op6_secrets": over("documents", secrets.report),
+    "op7_packing": over("documents", packing.pack),
     "op8_sharding": over("documents", sharding.report),
+    "op9_merkle": over("documents", merkle.report),
+    "op10_simhash": over("documents", simhash.report),
 }
 
 SQL: dict[str, str] = {"op1_mixing": mixing.SQL, "op2_exact_dedup": exactdup.SQL, "op4_warc": warc.SQL}

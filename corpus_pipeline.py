@@ -6,23 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caselane.llm import exactdup, mixing
+from caselane.llm import exactdup, langid, mixing, packing, simhash
 from caselane.session import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+LEAST_SCORE = 0.5  # a language that is less likely than not is not known
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter or of no clear language go."""
+    model = langid.train(docs.filter(~langid.held_out(docs["doc_id"])))
+    return langid.accept(docs, model, LEAST_SCORE)
+
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays."""
     return exactdup.dedup(docs)
 
 
-def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return simhash.dedup(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's rate asks for; copies are rows."""
     return mixing.mix(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("exact_dedup", exact_dedup), ("mixing", mixing_sources)]
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the mixed documents with their places in sequences."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", language), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mix_sources), ("packing", pack_sequences)]
 
 ORACLE_SQL = None  # language identification, fingerprints and subword packing are beyond SQL
 
