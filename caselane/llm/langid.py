@@ -116,9 +116,16 @@ def fit_weights(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, c
 
 
 def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The divisor of the logits with the least log loss, by golden-section search on its logarithm."""
+    """The divisor of the logits with the least log loss, by golden-section search on its logarithm.
+
+    As with Platt's targets the true class counts (n + 1) / (n + 2), so that a sample without errors gives no certainty.
+    """
+    rows, classes = logits.shape
+    target = np.full((rows, classes), 1 / (rows + 2) / max(classes - 1, 1))
+    target[np.arange(rows), labels] = (rows + 1) / (rows + 2)
+
     def loss(t):
-        return -np.log(softmax(logits / np.exp(t))[np.arange(len(labels)), labels] + 1e-300).mean()
+        return -(target * np.log(softmax(logits / np.exp(t)) + 1e-300)).sum(axis=1).mean()
 
     low, high, ratio = -3.0, 3.0, (5**0.5 - 1) / 2
     for _ in range(40):
