@@ -15,11 +15,6 @@ def share(top: Column, bottom: Column) -> Column:
     return F.try_divide(top.cast("double"), bottom.cast("double"))
 
 
-def r6(value: Column) -> Column:
-    """Six digits: floating sums depend on the order of addition beyond that."""
-    return F.round(value, 6)
-
-
 def decide(probability: Column, threshold: float = 0.5) -> Column:
     """1 where the probability reaches the cut-off; exactly at the cut-off counts."""
     return (probability >= F.lit(threshold)).cast("int")

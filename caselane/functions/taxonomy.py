@@ -30,17 +30,17 @@ RATIONALE = {
 
 # The intents of each request category.
 CATEGORY_INTENTS = {
-    "ACCOUNT": "create_account delete_account edit_account recover_password registration_problems switch_account",
-    "CANCELLATION_FEE": "check_cancellation_fee",
-    "CONTACT": "contact_customer_service contact_human_agent",
-    "DELIVERY": "delivery_options delivery_period",
-    "FEEDBACK": "complaint review",
-    "INVOICE": "check_invoice get_invoice",
-    "ORDER": "cancel_order change_order place_order track_order",
-    "PAYMENT": "check_payment_methods payment_issue",
-    "REFUND": "check_refund_policy get_refund track_refund",
-    "SHIPPING_ADDRESS": "change_shipping_address set_up_shipping_address",
-    "SUBSCRIPTION": "newsletter_subscription",
+    "ACCOUNT": ("create_account", "delete_account", "edit_account", "recover_password", "registration_problems", "switch_account"),
+    "CANCELLATION_FEE": ("check_cancellation_fee",),
+    "CONTACT": ("contact_customer_service", "contact_human_agent"),
+    "DELIVERY": ("delivery_options", "delivery_period"),
+    "FEEDBACK": ("complaint", "review"),
+    "INVOICE": ("check_invoice", "get_invoice"),
+    "ORDER": ("cancel_order", "change_order", "place_order", "track_order"),
+    "PAYMENT": ("check_payment_methods", "payment_issue"),
+    "REFUND": ("check_refund_policy", "get_refund", "track_refund"),
+    "SHIPPING_ADDRESS": ("change_shipping_address", "set_up_shipping_address"),
+    "SUBSCRIPTION": ("newsletter_subscription",),
 }
 
 # Letters of the language tags carried by each request.
@@ -72,6 +72,6 @@ def intent_dimension(spark: SparkSession) -> DataFrame:
     rows = [
         (intent, category, int(intent in ESCALATION_INTENTS), RATIONALE.get(intent, SELF_SERVICE))
         for category, intents in CATEGORY_INTENTS.items()
-        for intent in intents.split()
+        for intent in intents
     ]
     return spark.createDataFrame(rows, "intent string, category string, escalated int, rationale string")

@@ -120,10 +120,11 @@ def agreement(pairs: DataFrame, first: str = "escalated", second: str = "human_e
 
 
 def override_matrix(labels: DataFrame, reviews: DataFrame, categories: list[str]) -> DataFrame:
-    """Model category down, human category across."""
+    """Model category down, human category across; a human category that is not listed counts as ``to_other``."""
     side = reviews.select("thread_id", "human_category")
     return labels.join(side, "thread_id").groupBy("category").agg(
-        *[F.count_if(F.col("human_category") == c).alias(f"to_{c}") for c in categories]
+        *[F.count_if(F.col("human_category") == c).alias(f"to_{c}") for c in categories],
+        F.count_if(F.col("human_category").isNotNull() & ~F.col("human_category").isin(*categories)).alias("to_other"),
     )
 
 

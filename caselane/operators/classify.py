@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
@@ -21,14 +24,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from caselane.functions.scores import decide
 from caselane.functions.text import WORD
 from caselane.operators.evaluate import binary_metrics
-from caselane.operators.ngrams import MAX_FEATURES, class_weights, vocabulary
+from caselane.functions import text as tx
+from caselane.operators.ngrams import MAX_FEATURES, class_weights, count_terms
 from caselane.operators.ordered import fill_cores
 from caselane.operators.split import nested_train_sizes, stratified_split, three_way_split
-from caselane.session import durable
+from caselane.session import durable, written
 
 
-# Rows that one task can pass over quickly in each iteration of a fit.
-ROWS_PER_TASK = 5_000
+# Fits that run side by side; each is a chain of small jobs that leaves cores idle.
+ARMS = 4
 
 
 @F.arrow_udf(VectorUDT())
@@ -69,23 +73,33 @@ def term_stages(text: str, stop: list[str]) -> list:
     ]
 
 
-def fit_features(df: DataFrame, doc_id: str, text: str, stop: list[str] | None = None,
-                 size: int = MAX_FEATURES) -> PipelineModel:
-    """Text → unit-length TF-IDF vector.
-
-    One pass counts terms and documents; only the vocabulary (at most ``size`` rows) reaches the driver.
-    """
+def term_table(df: DataFrame, doc_id: str, text: str, label: str, stop: list[str] | None = None) -> DataFrame:
+    """(doc_id, label, _words, _terms), written down: texts are taken apart once, whatever is fitted on them."""
     stop = default_stopwords() if stop is None else stop
-    rows = vocabulary(df, doc_id, text, stop, size).collect()
-    n_docs = df.count()
+    words = tx.without(tx.tokens(F.coalesce(F.col(text), F.lit(""))), stop)
+    rows = fill_cores(df.select(doc_id, label, text), doc_id).select(doc_id, label, words.alias("_words"))
+    return written(rows.withColumn("_terms", tx.unigrams_and_bigrams(F.col("_words"))), "terms")
+
+
+def vector_stages(terms: DataFrame, column: str = "_terms", size: int = MAX_FEATURES) -> list:
+    """Stages from terms to unit-length TF-IDF vectors; only the vocabulary (at most ``size`` rows) reaches the driver."""
+    rows = count_terms(terms.select(F.col(column).alias("_terms")), size).collect()
+    n_docs = terms.count()
     scale = Vectors.dense([float(np.log((n_docs + 1) / (r.df + 1)) + 1) for r in rows])
-    return PipelineModel([
-        *term_stages(text, stop),
-        CountVectorizerModel.from_vocabulary([r.term for r in rows], inputCol="_terms", outputCol="_counts"),
+    return [
+        CountVectorizerModel.from_vocabulary([r.term for r in rows], inputCol=column, outputCol="_counts"),
         SublinearTf("_counts", "_damped"),
         ElementwiseProduct(scalingVec=scale, inputCol="_damped", outputCol="_weighted"),
         Normalizer(p=2.0, inputCol="_weighted", outputCol="features"),
-    ])
+    ]
+
+
+def fit_features(df: DataFrame, doc_id: str, text: str, stop: list[str] | None = None,
+                 size: int = MAX_FEATURES) -> PipelineModel:
+    """Text → unit-length TF-IDF vector."""
+    stop = default_stopwords() if stop is None else stop
+    terms = term_table(df.select(doc_id, text).withColumn("_none", F.lit(0)), doc_id, text, "_none", stop)
+    return PipelineModel([*term_stages(text, stop), *vector_stages(terms, "_terms", size)])
 
 
 def featurize(features: PipelineModel, df: DataFrame) -> DataFrame:
@@ -97,11 +111,12 @@ def fit_weights(train: DataFrame, label: str, c: float = 1.0, max_iter: int = 10
     """L2 logistic regression on balanced classes, over rows that already carry ``features``.
 
     The class weights sum to the row count n, so a penalty of ``1 / (C n)`` weighs loss against size as the
-    usual C does. Every iteration is a job over all partitions, so nearly empty partitions are merged first.
+    usual C does. Every iteration is a job over all partitions, so partitions beyond one per core are merged first
+    where they are nearly empty; Spark ML keeps the blocks of rows in memory while it iterates.
     """
     weights = {r.label: r for r in class_weights(train, label).collect()}
     n = sum(r.n for r in weights.values())
-    parts = max(1, n // ROWS_PER_TASK)
+    parts = max(train.sparkSession.sparkContext.defaultParallelism, n // 5_000)
     dealt = train.coalesce(parts) if parts < train.rdd.getNumPartitions() else train
     weighted = dealt.withColumn(
         "_weight", F.when(F.col(label) == 1, F.lit(weights[1].weight)).otherwise(F.lit(weights[0].weight)))
@@ -114,10 +129,22 @@ def fit_weights(train: DataFrame, label: str, c: float = 1.0, max_iter: int = 10
 def fit(train: DataFrame, doc_id: str, text: str, label: str, c: float = 1.0, stop: list[str] | None = None,
         size: int = MAX_FEATURES, max_iter: int = 1000) -> PipelineModel:
     """The whole classifier as one model that can be saved and loaded."""
-    features = fit_features(train, doc_id, text, stop, size)
-    rows = fill_cores(train.select(doc_id, text, label), doc_id)
-    ready = durable(featurize(features, rows).select(doc_id, label, "features"))
-    return PipelineModel([*features.stages, fit_weights(ready, label, c, max_iter)])
+    stop = default_stopwords() if stop is None else stop
+    terms = term_table(train, doc_id, text, label, stop)
+    return PipelineModel([*term_stages(text, stop), *fit_terms(terms, label, c, "_terms", size, max_iter).stages])
+
+
+def fit_terms(terms: DataFrame, label: str, c: float = 1.0, column: str = "_terms", size: int = MAX_FEATURES,
+              max_iter: int = 1000, stages: list | None = None) -> PipelineModel:
+    """The classifier on texts that have been taken apart; ``stages`` are vector stages fitted before on the same rows."""
+    stages = stages or vector_stages(terms, column, size)
+    return PipelineModel([*stages, fit_weights(featurize(PipelineModel(stages), terms), label, c, max_iter)])
+
+
+def side_by_side(run: Callable[[object], DataFrame], arms: Iterable) -> DataFrame:
+    """The union of what ``run`` returns for each arm; a few arms are fitted at a time."""
+    with ThreadPoolExecutor(ARMS) as pool:
+        return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(run), list(arms)))
 
 
 def score(model: PipelineModel, df: DataFrame, threshold: float = 0.5, spread_by: str | None = None) -> DataFrame:
@@ -131,11 +158,6 @@ def score(model: PipelineModel, df: DataFrame, threshold: float = 0.5, spread_by
     return scored.withColumn("y_pred", decide(F.col("y_prob"), threshold))
 
 
-def score_features(weights, df: DataFrame, keep: list[str], threshold: float = 0.5) -> DataFrame:
-    scored = weights.transform(df).select(*keep, vector_to_array("probability")[1].alias("y_prob"))
-    return scored.withColumn("y_pred", decide(F.col("y_prob"), threshold))
-
-
 def model_table(spark: SparkSession, model: PipelineModel) -> tuple[DataFrame, float]:
     """(term, idf, coef) rows and the intercept: the same model without ML objects, at most one row per feature."""
     stages = {type(s).__name__: s for s in model.stages}
@@ -184,50 +206,58 @@ def evaluate(model: PipelineModel, df: DataFrame, label: str, keep: tuple[str, .
     return binary_metrics(_truth(score(model, df), label).select(*keep, "y_true", "y_prob", "y_pred"), keep)
 
 
-def select_on_validation(df: DataFrame, doc_id: str, text: str, label: str, grid: list[float],
+def select_on_validation(df: DataFrame, doc_id: str, text: str, label: str, grid: list[float], ngrams: tuple[int, ...] = (1, 2),
                          seed: int = 42, stop: list[str] | None = None, size: int = MAX_FEATURES) -> DataFrame:
-    """Fit each setting on training rows and compare on validation rows; test rows are not touched.
+    """Fit each setting, C with single words or with pairs too, on training rows and compare on validation rows.
 
-    The features do not depend on the setting and are computed once. Of equals the first setting wins.
+    Test rows are not touched. Features are computed once per n-gram setting. Of equals the smaller C, then the shorter
+    n-gram wins.
     """
-    parts = durable(three_way_split(df.select(doc_id, text, label), label, doc_id, seed=seed)
-                    .filter("split <> 'test'"))
-    features = fit_features(parts.filter("split = 'train'"), doc_id, text, stop, size)
-    rows = fill_cores(parts, doc_id)
-    ready = durable(featurize(features, rows).select(doc_id, label, "split", "features"))
-    train, val = ready.filter("split = 'train'"), _truth(ready.filter("split = 'val'"), label)
-    scored = None
-    for c in grid:
-        one = score_features(fit_weights(train, label, c), val, ["y_true"]).withColumn("setting", F.lit(float(c)))
-        scored = one if scored is None else scored.unionByName(one)
-    runs = binary_metrics(scored, ("setting",)).select("setting", "f1_macro", "roc_auc")
-    kept = durable(runs)
-    winner = kept.agg(F.max_by(F.col("setting"), F.struct("f1_macro", -F.col("setting")))).scalar()
-    return kept.withColumn("selected", (F.col("setting") == winner).cast("int"))
+    terms = term_table(df, doc_id, text, label, stop)
+    ids = three_way_split(terms.select(doc_id, label), label, doc_id, seed=seed).filter("split <> 'test'")
+    parts = written(terms.join(ids.select(doc_id, "split"), doc_id), "parts")
+    train, val = parts.filter("split = 'train'"), _truth(parts.filter("split = 'val'"), label)
+    columns = {n: "_words" if n == 1 else "_terms" for n in ngrams}
+    stages = {n: vector_stages(train, column, size) for n, column in columns.items()}
+
+    def run(arm: tuple[float, int]) -> DataFrame:
+        c, n = arm
+        model = fit_terms(train, label, c, columns[n], size, stages=stages[n])
+        scored = score(model, val.select("y_true", columns[n])).drop(columns[n])
+        return scored.withColumns({"setting": F.lit(float(c)), "ngram": F.lit(n)})
+
+    kept = durable(binary_metrics(side_by_side(run, [(c, n) for n in ngrams for c in grid]), ("setting", "ngram")))
+    place = F.struct("f1_macro", -F.col("setting"), -F.col("ngram"))
+    winner = kept.agg(F.max_by(F.struct("setting", "ngram"), place)).scalar()
+    return kept.withColumn("selected", (F.struct("setting", "ngram") == winner).cast("int"))
 
 
 def seed_runs(df: DataFrame, doc_id: str, text: str, label: str, seeds: list[int],
               stop: list[str] | None = None, size: int = MAX_FEATURES) -> DataFrame:
     """The same setting on several splits: one metric record per seed."""
-    scored = None
-    for seed in seeds:
-        parts = durable(stratified_split(df.select(doc_id, text, label), label, doc_id, seed=seed))
-        model = fit(parts.filter("split = 'train'"), doc_id, text, label, stop=stop, size=size)
+    terms = term_table(df, doc_id, text, label, stop)
+
+    def run(seed: int) -> DataFrame:
+        ids = stratified_split(terms.select(doc_id, label), label, doc_id, seed=seed)
+        parts = written(terms.join(ids.select(doc_id, "split"), doc_id), "parts")
+        model = fit_terms(parts.filter("split = 'train'"), label, size=size)
         test = _truth(score(model, parts.filter("split = 'test'")), label)
-        one = test.select(F.lit(seed).alias("seed"), "y_true", "y_prob", "y_pred")
-        scored = one if scored is None else scored.unionByName(one)
-    return binary_metrics(scored, ("seed",))
+        return test.select(F.lit(seed).alias("seed"), "y_true", "y_prob", "y_pred")
+
+    return binary_metrics(side_by_side(run, seeds), ("seed",))
 
 
 def learning_curve(df: DataFrame, doc_id: str, text: str, label: str, fractions: dict[str, float],
                    seed: int = 42, stop: list[str] | None = None, size: int = MAX_FEATURES) -> DataFrame:
     """Test metrics after training on nested shares of the training rows."""
-    parts = durable(stratified_split(df.select(doc_id, text, label), label, doc_id, seed=seed))
-    test = parts.filter("split = 'test'").drop("split")
-    nested = durable(nested_train_sizes(parts.filter("split = 'train'").drop("split"), label, doc_id, fractions, seed))
-    scored = None
-    for name in fractions:
-        model = fit(nested.filter(F.col("size_name") == name), doc_id, text, label, stop=stop, size=size)
-        one = _truth(score(model, test), label).select(F.lit(name).alias("size_name"), "y_true", "y_prob", "y_pred")
-        scored = one if scored is None else scored.unionByName(one)
-    return binary_metrics(scored, ("size_name",))
+    terms = term_table(df, doc_id, text, label, stop)
+    ids = written(stratified_split(terms.select(doc_id, label), label, doc_id, seed=seed), "split")
+    test = written(terms.join(ids.filter("split = 'test'").select(doc_id), doc_id), "test")
+    sizes = written(nested_train_sizes(ids.filter("split = 'train'").drop("split"), label, doc_id, fractions, seed), "sizes")
+
+    def run(name: str) -> DataFrame:
+        train = terms.join(sizes.filter(F.col("size_name") == name).select(doc_id), doc_id)
+        scored = _truth(score(fit_terms(train, label, size=size), test), label)
+        return scored.select(F.lit(name).alias("size_name"), "y_true", "y_prob", "y_pred")
+
+    return binary_metrics(side_by_side(run, fractions), ("size_name",))

@@ -124,7 +124,3 @@ def case_folding_delta(df: DataFrame, text: str) -> DataFrame:
         F.coalesce(F.sum("_forms"), F.lit(0)).alias("vocab_cased"),
         F.count(F.lit(1)).alias("vocab_folded"),
     ).withColumn("merged", F.col("vocab_cased") - F.col("vocab_folded"))
-
-
-def filter_rows(df: DataFrame, predicate: Column) -> DataFrame:
-    return df.filter(predicate)

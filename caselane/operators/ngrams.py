@@ -7,13 +7,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from caselane.functions import text as tx
 from caselane.functions.scores import share
 from caselane.operators.ordered import fill_cores
-from caselane.session import durable
+from caselane.session import written
 
 MAX_FEATURES = 10_000
 
-# A vocabulary no longer than this is sent to every executor; a longer one is joined as usual.
-BROADCAST_TERMS = 100_000
-
 # Every text carries this marker; no real term is empty.
 NO_TERM = ""
 
@@ -42,8 +39,11 @@ def vocabulary(df: DataFrame, doc_id: str, text: str, stop: list[str], size: int
     aggregate over terms; (document, term) pairs are never shuffled, and a word found in most texts is one
     row per map task.
     """
-    taken = fill_cores(df.select(doc_id, text), doc_id).select(terms_of(F.col(text), stop).alias("_terms"))
+    return count_terms(fill_cores(df.select(doc_id, text), doc_id).select(terms_of(F.col(text), stop).alias("_terms")), size)
+
 
+def count_terms(taken: DataFrame, size: int = MAX_FEATURES) -> DataFrame:
+    """The vocabulary of texts that have been taken apart into ``_terms``."""
     def marks(items: Column, tf: int, df_: int) -> Column:
         return F.transform(items, lambda t: F.struct(t.alias("term"), F.lit(tf).alias("_tf"), F.lit(df_).alias("_df")))
 
@@ -55,8 +55,8 @@ def vocabulary(df: DataFrame, doc_id: str, text: str, stop: list[str], size: int
     )
 
 
-def known_counts(df: DataFrame, table: DataFrame, doc_id: str, text: str, stop: list[str], size: int) -> DataFrame:
-    """(doc, term, tf, columns of ``table``) for the terms of a table of at most ``size`` rows.
+def known_counts(df: DataFrame, table: DataFrame, doc_id: str, text: str, stop: list[str]) -> DataFrame:
+    """(doc, term, tf, columns of ``table``) for the terms of a table, which Spark broadcasts if its bytes are few.
 
     Texts are spread by document before they are taken apart: whole texts are smaller than their n-grams, and
     every later step per document finds its rows already together. Unknown terms drop out before counting.
@@ -65,7 +65,7 @@ def known_counts(df: DataFrame, table: DataFrame, doc_id: str, text: str, stop:
     spread = df.select(doc_id, text).repartition(doc_id)
     return (
         spread.select(doc_id, F.explode(F.concat(F.array(F.lit(NO_TERM)), terms_of(F.col(text), stop))).alias("term"))
-        .join(sized(table, size), "term")
+        .join(table, "term")
         .groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"), *[F.first(c).alias(c) for c in extra])
     )
 
@@ -78,16 +78,16 @@ def sublinear(tf: Column) -> Column:
     return F.log(tf.cast("double")) + 1
 
 
-def sized(table: DataFrame, size: int) -> DataFrame:
-    """Hint a broadcast for a table proven to have at most ``size`` rows, if that is few."""
-    return F.broadcast(table) if size <= BROADCAST_TERMS else table
+def tfidf(df: DataFrame, doc_id: str, text: str, stop: list[str], size: int = MAX_FEATURES,
+          terms: DataFrame | None = None) -> DataFrame:
+    """(doc, term, weight): sublinear tf times smoothed idf, each document scaled to unit length.
 
-
-def tfidf(df: DataFrame, doc_id: str, text: str, stop: list[str], size: int = MAX_FEATURES) -> DataFrame:
-    """(doc, term, weight): sublinear tf times smoothed idf, each document scaled to unit length."""
+    ``terms`` is the vocabulary of ``df``, where a caller has it already.
+    """
     n_docs = df.agg(F.count(F.lit(1))).scalar()
-    table = durable(vocabulary(df, doc_id, text, stop, size).select("term", idf(F.col("df"), n_docs).alias("idf")))
-    return weigh(known_counts(df, table, doc_id, text, stop, size), doc_id)
+    known = terms if terms is not None else vocabulary(df, doc_id, text, stop, size)
+    table = written(known.select("term", idf(F.col("df"), n_docs).alias("idf")), "idf")
+    return weigh(known_counts(df, table, doc_id, text, stop), doc_id)
 
 
 def weigh(counts: DataFrame, doc_id: str) -> DataFrame:
@@ -111,22 +111,20 @@ def sigmoid(z: Column) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
-def linear_score(weights: DataFrame, coefficients: DataFrame, doc_id: str, intercept: float = 0.0,
-                 size: int = MAX_FEATURES) -> DataFrame:
-    """P(escalated) from TF-IDF rows and a (term, coef) table of at most ``size`` rows."""
-    scored = weights.join(sized(coefficients, size), "term", "left")
+def linear_score(weights: DataFrame, coefficients: DataFrame, doc_id: str, intercept: float = 0.0) -> DataFrame:
+    """P(escalated) from TF-IDF rows and a (term, coef) table."""
+    scored = weights.join(coefficients, "term", "left")
     z = F.coalesce(F.sum(F.col("weight") * F.col("coef")), F.lit(0.0)) + F.lit(float(intercept))
     return scored.groupBy(doc_id).agg(sigmoid(z).alias("y_prob"))
 
 
-def table_score(df: DataFrame, model: DataFrame, doc_id: str, text: str, stop: list[str], intercept: float,
-                size: int = MAX_FEATURES) -> DataFrame:
+def table_score(df: DataFrame, model: DataFrame, doc_id: str, text: str, stop: list[str], intercept: float) -> DataFrame:
     """Score raw texts with a fitted (term, idf, coef) table: one shuffle of texts, everything in the JVM.
 
     The marker every text carries has weight 0 here, so texts without any known term score at the intercept.
     """
     marker = df.sparkSession.createDataFrame([(NO_TERM, 0.0, 0.0)], model.schema)
-    rows = known_counts(df, model.unionByName(marker), doc_id, text, stop, size + 1)
+    rows = known_counts(df, model.unionByName(marker), doc_id, text, stop)
     w = sublinear(F.col("tf")) * F.col("idf")
     z = share(F.sum(w * F.col("coef")), F.sqrt(F.sum(w * w)))
     return rows.groupBy(doc_id).agg(sigmoid(F.coalesce(z, F.lit(0.0)) + F.lit(float(intercept))).alias("y_prob"))

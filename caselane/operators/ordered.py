@@ -13,38 +13,35 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from caselane.session import durable
+from caselane.session import durable, written
 
 PART = "_part"
 
-# A key is hot when it holds more than 1/HOT_SHARE of the rows; so there are fewer than HOT_SHARE hot keys.
+# A key is hot when it holds more rows than an average shuffle partition, or than 1/HOT_SHARE of all rows where
+# there are fewer partitions than that; so there are fewer hot keys than the larger of the two numbers.
 HOT_SHARE = 1000
-HOT_FLOOR = 100_000
 
 
-# Rows a table may have, after counting them, to be sent to every executor.
-BROADCAST_ROWS = 50_000
+def hot_share(spark) -> int:
+    return max(HOT_SHARE, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Settle ``df`` and hint a broadcast only when its row count proves small; otherwise join as usual."""
-    kept = durable(df)
-    return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Write ``df`` down, so that its bytes are known: Spark broadcasts it below its own limit and joins by shuffle above."""
+    return written(df, "lookup")
 
 
-# A scan of at most this many files is small enough to be dealt out again before heavy work on its texts.
-FEW_FILES = 32
+# A scan of fewer splits than this is small enough to be dealt out again before heavy work on its texts.
+FEW_SPLITS = 32
 
 
 def fill_cores(df: DataFrame, key: str) -> DataFrame:
-    """Deal the rows of a few-file scan out over all cores; leave a scan of many files where it is.
+    """Deal the rows of a scan of few splits out over all cores; leave a larger scan where it is.
 
     Taking texts apart is bound by processor time, and a file with one row group is read by one task.
     """
-    files = len(df._jdf.inputFiles())  # counted in the JVM; the names themselves are not needed here
     cores = df.sparkSession.sparkContext.defaultParallelism
-    pieces = files if files else df.rdd.getNumPartitions()
-    return df.repartition(cores, key) if pieces < min(cores, FEW_FILES) else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < min(cores, FEW_SPLITS) else df
 
 
 def lay_out(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -127,10 +124,10 @@ def neighbors(df: DataFrame, by: list[str], order: list[str], values: list[str],
 def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, rows_count: int | None = None) -> DataFrame:
     """Left join to a table that is unique on ``key``, with the hot keys of ``rows`` taken aside.
 
-    Fewer than HOT_SHARE keys can be hot, so their lookup rows are a proven-small broadcast and hot rows
+    Fewer keys than :func:`hot_share` can be hot, so their lookup rows are a proven-small broadcast and hot rows
     are never shuffled; all other rows take the ordinary join. Rows whose key is NULL match nothing and are
-    spread out, instead of all meeting in the task that NULL hashes to. Small inputs skip the split. A caller
-    that gives ``rows_count`` has written its rows down already.
+    spread out, instead of all meeting in the task that NULL hashes to. A caller that gives ``rows_count`` has
+    written its rows down already.
     """
     if rows_count is None:
         rows = durable(rows)
@@ -138,11 +135,9 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, rows_count: int |
     spread = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*rows.columns), F.lit(HOT_SHARE))).otherwise(F.lit(0))
     salted = rows.withColumn("_salt", spread)
     target = lookup.withColumn("_salt", F.lit(0).cast("long"))
-    if total < HOT_FLOOR:
-        return salted.join(target, [key, "_salt"], "left").drop("_salt")
     hot = durable(
         rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") * HOT_SHARE > F.lit(total))
+        .filter(F.col("_n") * hot_share(rows.sparkSession) > F.lit(total))
         .select(key, F.lit(True).alias("_hot"))
     )
     marked = salted.join(F.broadcast(hot), key, "left")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from caselane.functions import text as tx
 from caselane.functions.scores import share
+from caselane.session import written
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -20,25 +21,43 @@ def null_summary(df: DataFrame) -> DataFrame:
     return counted.unpivot([], df.columns, "column_name", "nulls")
 
 
+HASH = "_h"
+
+
+def repeated_hashes(hashed: DataFrame) -> DataFrame:
+    """Hashes that several rows share, written down; only hashes are shuffled to find them."""
+    counts = hashed.groupBy(HASH).agg(F.count(F.lit(1)).alias("_n"))
+    return written(counts.filter("_n > 1").select(HASH), "repeated")
+
+
 def duplicate_summary(df: DataFrame, key: str) -> DataFrame:
-    """Rows beyond the first of each key, and their percentage."""
-    per_key = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return per_key.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"),
-        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"),
-    ).withColumn("pct", share(F.col("duplicates") * 100, F.col("n_rows")))
+    """Rows beyond the first of each key, and their percentage.
+
+    Rows are counted by the key's hash first; only keys whose hash repeats are compared as they are.
+    """
+    hashed = df.select(F.xxhash64(key).alias(HASH), key)
+    counts = hashed.groupBy(HASH).agg(F.count(F.lit(1)).alias("_n"))
+    single = counts.agg(F.sum("_n").alias("_rows"), F.count_if(F.col("_n") == 1).alias("_keys"))
+    several = hashed.join(repeated_hashes(hashed), HASH, "left_semi").distinct().agg(
+        F.lit(0).cast("long").alias("_rows"), F.count(F.lit(1)).alias("_keys"))
+    total = single.unionByName(several).agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("n_rows"), F.sum("_keys").alias("_keys"))
+    return total.select("n_rows", (F.col("n_rows") - F.col("_keys")).alias("duplicates")).withColumn(
+        "pct", share(F.col("duplicates") * 100, F.col("n_rows")))
 
 
 def dedup_first(df: DataFrame, key: str, order: str) -> DataFrame:
     """Keep the row with the smallest ``order`` per key.
 
-    An aggregate rather than a window: every map task reduces a key to one row before the shuffle, so a text
-    that makes up a third of the table costs no more than a rare one. Grouping leads with the key's hash, so
-    sorting compares eight bytes before it ever compares two long texts.
+    Rows whose key's hash does not repeat are kept where they are. Of the others an aggregate rather than a window keeps
+    the first: every map task reduces a key to one row before the shuffle, so a text that makes up a third of the table
+    costs no more than a rare one.
     """
+    hashed = df.withColumn(HASH, F.xxhash64(key))
+    again = repeated_hashes(hashed)
     rest = [c for c in df.columns if c != key]
-    kept = df.groupBy(F.xxhash64(key).alias("_h"), key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_row"))
-    return kept.select(key, "_row.*").select(*df.columns)
+    first = (hashed.join(again, HASH, "left_semi").groupBy(HASH, key)
+             .agg(F.min_by(F.struct(*rest), F.col(order)).alias("_row")).select(key, "_row.*"))
+    return hashed.join(again, HASH, "left_anti").select(*df.columns).unionByName(first.select(*df.columns))
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
@@ -87,27 +106,22 @@ def preview(df: DataFrame, columns: list[str], row_id: str, n: int) -> DataFrame
     return df.select(*columns).orderBy(row_id).limit(n)
 
 
-def drop_columns(df: DataFrame, *columns: str) -> DataFrame:
-    return df.drop(*columns)
-
-
-def with_row_id(df: DataFrame, key: Column) -> DataFrame:
-    """Number rows by their own source key; a generated id would change whenever a task is retried."""
-    return df.withColumn("row_id", key.cast("long"))
-
-
 def cross_split_leakage(train: DataFrame, test: DataFrame, key: str) -> DataFrame:
     """Texts present in both splits, and the test rows they account for.
 
-    Both sides are counted per text first, so one text repeated across much of the data is one row when joined.
+    Only texts whose hash is in both splits are compared. They are counted per text, so one text repeated across much of
+    the data is one row for each map task.
     """
     sides = train.select(key, F.lit(0).alias("_test")).unionByName(test.select(key, F.lit(1).alias("_test")))
-    per_key = sides.groupBy(key).agg(
-        F.sum("_test").alias("_in_test"), F.sum(1 - F.col("_test")).alias("_in_train")
-    )
+    hashed = sides.withColumn(HASH, F.xxhash64(key))
+    counts = [F.sum("_test").alias("_in_test"), F.sum(1 - F.col("_test")).alias("_in_train")]
     both = (F.col("_in_test") > 0) & (F.col("_in_train") > 0)
-    return per_key.agg(
-        F.coalesce(F.sum("_in_test"), F.lit(0)).alias("test_rows"),
-        F.count_if(both).alias("leaked_texts"),
-        F.coalesce(F.sum(F.when(both, F.col("_in_test"))), F.lit(0)).alias("leaked_rows"),
+    shared = written(hashed.groupBy(HASH).agg(*counts).filter(both).select(HASH), "shared")
+    per_key = hashed.join(shared, HASH, "left_semi").groupBy(HASH, key).agg(*counts)
+    leaked = per_key.agg(F.lit(0).cast("long").alias("_rows"), F.count_if(both).alias("leaked_texts"),
+                         F.sum(F.when(both, F.col("_in_test"))).alias("leaked_rows"))
+    rows = test.agg(F.count(F.lit(1)).alias("_rows"), F.lit(0).cast("long").alias("leaked_texts"), F.lit(0).cast("long").alias("leaked_rows"))
+    return rows.unionByName(leaked).agg(
+        F.sum("_rows").alias("test_rows"), F.sum("leaked_texts").alias("leaked_texts"),
+        F.coalesce(F.sum("leaked_rows"), F.lit(0)).alias("leaked_rows"),
     ).withColumn("leaked_pct", share(F.col("leaked_rows") * 100, F.col("test_rows")))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window, functions as F
 
-from caselane.functions.scores import share
 from caselane.operators.ordered import hash_order, take_by_hash
+from caselane.session import written
 
 
 def class_quotas(df: DataFrame, label: str, fraction: float) -> DataFrame:
@@ -36,14 +34,24 @@ def stratified_split(df: DataFrame, label: str, row_id: str, test: float = 0.2,
     return marked.withColumn(column, F.when(F.col("_taken") == 1, names[1]).otherwise(names[0])).drop("_taken")
 
 
+def ids_and_labels(df: DataFrame, label: str, row_id: str) -> DataFrame:
+    """What a split is decided on, written down, so that the input is evaluated once."""
+    return written(df.select(row_id, label), "split-rows")
+
+
+def with_decision(df: DataFrame, decided: DataFrame, label: str, row_id: str) -> DataFrame:
+    """The decided rows with the other columns of ``df``, where it has any."""
+    return decided if set(df.columns) == {row_id, label} else df.join(decided.drop(label), row_id)
+
+
 def three_way_split(df: DataFrame, label: str, row_id: str, test: float = 0.2, val: float = 0.1,
                     seed: int | str = 42) -> DataFrame:
     """Train, validation and test; validation is carved out of the training part only."""
-    first = stratified_split(df, label, row_id, test, seed)
-    training = first.filter("split = 'train'").drop("split")
+    first = stratified_split(ids_and_labels(df, label, row_id), label, row_id, test, seed)
+    training = written(first.filter("split = 'train'").drop("split"), "training")
     held_out = first.filter("split = 'test'")
     inner = stratified_split(training, label, row_id, val, f"{seed}-val", ("train", "val"))
-    return inner.unionByName(held_out)
+    return with_decision(df, inner.unionByName(held_out), label, row_id)
 
 
 def split_rates(df: DataFrame, label: str) -> DataFrame:
@@ -80,14 +88,16 @@ def nested_train_sizes(df: DataFrame, label: str, row_id: str, fractions: dict[s
                        seed: int | str = 42) -> DataFrame:
     """Nested stratified subsets for a learning curve; each size holds all smaller ones.
 
-    All sizes read the same hash order, so a larger quota only extends a smaller one. Rows and cut-offs are
-    matched per (class, size): each row is repeated for the sizes, then kept where its hash comes early enough.
+    All sizes read the same hash order, so a larger quota only extends a smaller one. A row is marked for each size that
+    it belongs to and repeated for those only.
     """
-    names = F.array(*[F.lit(n) for n in fractions])
-    quotas = reduce(DataFrame.unionByName, [
-        class_quotas(df, label, f).withColumn("size_name", F.lit(n)) for n, f in fractions.items()])
-    repeated = df.withColumn("size_name", F.explode(names))
-    return take_by_hash(repeated, [label, "size_name"], row_id, seed, quotas, "_t").filter("_t = 1").drop("_t")
+    rows = ids_and_labels(df, label, row_id)
+    marked = rows
+    for k, fraction in enumerate(fractions.values()):
+        marked = take_by_hash(marked, [label], row_id, seed, class_quotas(rows, label, fraction), f"_t{k}")
+    sizes = F.array_compact(F.array(*[F.when(F.col(f"_t{k}") == 1, F.lit(n)) for k, n in enumerate(fractions)]))
+    decided = marked.select(row_id, label, F.explode(sizes).alias("size_name"))
+    return with_decision(df, decided, label, row_id)
 
 
 def kfold(df: DataFrame, row_id: str, k: int, seed: int | str = 42) -> DataFrame:
@@ -96,11 +106,6 @@ def kfold(df: DataFrame, row_id: str, k: int, seed: int | str = 42) -> DataFrame
     return df.withColumn("fold", F.pmod(prefix, F.lit(k)).cast("int"))
 
 
-def rows_per_part(df: DataFrame, column: str) -> DataFrame:
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).withColumn("share", share(F.col("n"), total))
-
-
 def sample_manifest(df: DataFrame, row_id: str, n: int, seed: int | str = 42) -> DataFrame:
     """A uniform sample of exactly ``n`` ids: the first in hash order, kept as a top-k by every task."""
     return df.withColumn("_hash", hash_order(seed, row_id)).orderBy("_hash", row_id).limit(n).drop("_hash")

@@ -9,11 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from caselane.functions.taxonomy import ESCALATION_INTENTS, SELF_SERVICE
-from caselane.operators.ordered import BROADCAST_ROWS, lookup_join, neighbors
+from caselane.operators.ordered import lookup_join, neighbors
 from caselane.operators.split import sample_manifest  # noqa: F401  (re-exported: sampling belongs to threads)
-from caselane.session import durable
-
-MAX_ROUNDS = 64
+from caselane.session import durable, written
 
 
 def reply_edges(messages: DataFrame) -> DataFrame:
@@ -42,23 +40,22 @@ def present_edges(messages: DataFrame, edges: DataFrame) -> DataFrame:
         "child", F.when(F.col("_known"), F.col("parent")).alias("parent"))
 
 
-def thread_roots(links: DataFrame, node: str = "child", parent: str = "parent",
-                 max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def thread_roots(links: DataFrame, node: str = "child", parent: str = "parent") -> DataFrame:
     """Root and depth of every node by pointer jumping.
 
     ``links`` has one row per node; a NULL parent makes it a root, and every parent must be a node (see
     :func:`present_edges`). Each round replaces a pointer by the pointer it leads to, so the distance covered
     doubles and ``log2(depth)`` rounds suffice. Finished nodes leave the loop, and only nodes that some pointer
-    leads to are looked up: where those are counted few (a star, whatever its size), no row is shuffled.
-    Lineage is cut after each round.
-    Nodes still unfinished when the rounds cover more steps than there are nodes sit on or behind a cycle:
-    they are returned with a NULL root and ``in_cycle`` = 1.
+    leads to are looked up. Lineage is cut after each round.
+    Nodes still unfinished when the rounds cover more steps than there are nodes sit on or behind a cycle: each
+    cycle is a thread of its own, named by its smallest member, with ``in_cycle`` = 1 and no depth.
     """
     state = durable(links.select(
         F.col(node).alias("node"),
         F.coalesce(F.col(parent), F.col(node)).alias("ptr"),
         F.when(F.col(parent).isNull(), 0).otherwise(1).cast("long").alias("depth"),
         F.col(parent).isNull().alias("done"),
+        F.col(node).alias("least"),  # of the nodes passed on the way
     ))
     total = state.count()
     active = state.filter("NOT done")
@@ -66,33 +63,35 @@ def thread_roots(links: DataFrame, node: str = "child", parent: str = "parent",
     finished = [state.filter("done")]
     rounds = 0
     width = max(state.rdd.getNumPartitions(), int(state.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    while pending and rounds < max_rounds and 2 ** rounds <= 2 * total:
+    while pending and 2 ** rounds <= 2 * total:
         rounds += 1
-        needed = durable(active.select(F.col("ptr").alias("node")).distinct())
-        few = needed.count() <= BROADCAST_ROWS
-        target = state.join(F.broadcast(needed) if few else needed, "node", "left_semi").select(
+        needed = written(active.select(F.col("ptr").alias("node")).distinct(), "pointers")
+        target = written(state.join(needed, "node", "left_semi").select(
             F.col("node").alias("ptr"), F.col("ptr").alias("_next"), F.col("depth").alias("_depth"),
-            F.col("done").alias("_done"))
-        jumped = active.join(F.broadcast(target), "ptr") if few else lookup_join(active, target, "ptr", pending)
-        moved = durable(jumped.select(
+            F.col("done").alias("_done"), F.col("least").alias("_least")), "pointed")
+        moved = durable(lookup_join(active, target, "ptr", pending).select(
             "node", F.col("_next").alias("ptr"), (F.col("depth") + F.col("_depth")).alias("depth"),
-            F.col("_done").alias("done"),
+            F.col("_done").alias("done"), F.least("least", "_least").alias("least"),
         ).coalesce(width))
         active = moved.filter("NOT done")
         pending = active.count()
         finished.append(moved.filter("done"))
         state = reduce(DataFrame.unionByName, [*finished, active])
-    return state.select(
-        F.col("node").alias("message_id"),
-        F.when(F.col("done"), F.col("ptr")).alias("thread_id"),
-        F.when(F.col("done"), F.col("depth")).alias("depth"),
-        (~F.col("done")).cast("int").alias("in_cycle"),
-    )
-
-
-def with_threads(messages: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    trees = reduce(DataFrame.unionByName, finished).select(
+        F.col("node").alias("message_id"), F.col("ptr").alias("thread_id"), "depth", F.lit(0).alias("in_cycle"))
+    if not pending:
+        return trees
+    # every pointer now lies on its cycle, and what a node of a cycle has passed is the whole cycle
+    names = active.select(F.col("node").alias("ptr"), F.col("least").alias("_name"))
+    cycles = lookup_join(active, names, "ptr", pending).select(
+        F.col("node").alias("message_id"), F.col("_name").alias("thread_id"), F.lit(None).cast("long").alias("depth"),
+        F.lit(1).alias("in_cycle"))
+    return trees.unionByName(cycles)
+
+
+def with_threads(messages: DataFrame) -> DataFrame:
     """Messages with the id of their thread and their depth in it. A reply to an unknown message starts one."""
-    roots = thread_roots(present_edges(messages, reply_edges(messages)), max_rounds=max_rounds)
+    roots = thread_roots(present_edges(messages, reply_edges(messages)))
     return messages.join(roots, "message_id")
 
 
@@ -140,7 +139,7 @@ def thread_stats(messages: DataFrame, at: str) -> DataFrame:
     ``at`` is a number that grows with time. The first customer position per thread comes from one aggregate
     and is looked up by every message, hot threads apart.
     """
-    opened = messages.filter("inbound").groupBy("thread_id").agg(F.min(at).alias("_opened"))
+    opened = written(messages.filter("inbound").groupBy("thread_id").agg(F.min(at).alias("_opened")), "opened")
     rows = messages.select("thread_id", "inbound", at)
     seen = lookup_join(rows, opened, "thread_id")
     answer = F.min(F.when(~F.col("inbound") & (F.col(at) > F.col("_opened")), F.col(at)))
@@ -154,15 +153,16 @@ def thread_stats(messages: DataFrame, at: str) -> DataFrame:
 
 Labeler = Callable[[pd.DataFrame], pd.DataFrame]
 
-LABEL_SCHEMA = "thread_id long, escalated int, category string, reason string"
+LABELS = "escalated int, category string, reason string"
 
 
-def label_threads(threads: DataFrame, labeler: Labeler, schema: str = LABEL_SCHEMA) -> DataFrame:
+def label_threads(threads: DataFrame, labeler: Labeler, schema: str | None = None) -> DataFrame:
     """Label threads with a caller's function, batch by batch in every task.
 
     ``labeler`` sees (thread_id, first_customer_text) only, as a live system would, and returns the columns
-    of ``schema``.
+    of ``schema``; unless one is given, ``thread_id`` keeps the type that it has in ``threads``.
     """
+    schema = schema or f"thread_id {threads.schema['thread_id'].dataType.simpleString()}, {LABELS}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

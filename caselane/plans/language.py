@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from caselane.functions import text as tx
 from caselane.operators import classify, evaluate, ngrams
 from caselane.plans.registry import query
-from caselane.session import durable
+from caselane.plans.tables import split_sql
+from caselane.session import durable, written
 from caselane.sources.views import with_views
 
 # A short explicit list, so that the checking SQL can hold it.
@@ -19,15 +20,20 @@ STOP_SQL = ", ".join(f"'{w}'" for w in STOP)
 TOKENS_SQL = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
 WORDS_SQL = f"list_filter({TOKENS_SQL}, lambda w: w NOT IN ({STOP_SQL}))"
 
-TERMS = f"""WITH w AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+
+def terms_sql(source: str = "documents") -> str:
+    return f"""words AS (SELECT doc_id, {WORDS_SQL} AS w FROM {source}),
     t AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term
-    FROM w), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
+    FROM words), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
     vocab AS (SELECT term, CAST(sum(tf) AS BIGINT) AS n, count(*) AS df FROM tf GROUP BY term ORDER BY n DESC, term
-    LIMIT 10000), x AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1)
+    LIMIT 10000), x AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM words)) / (1 + df)) + 1)
     AS w FROM tf JOIN vocab USING (term)), weights AS (SELECT doc_id, term, w / sqrt(sum(w * w)
     OVER (PARTITION BY doc_id)) AS weight FROM x) """
 
 
+TERMS = "WITH " + terms_sql()
+
+
 @query("tokenize", f"SELECT doc_id, CAST(len({TOKENS_SQL}) AS INTEGER) AS n, array_to_string({TOKENS_SQL}, ' ') AS tokens FROM documents")
 def tokenize(v):
     out = ngrams.tokenize(v.table("documents"), "text")
@@ -73,8 +79,10 @@ def class_weights(v):
     SELECT doc_id, round(1 / (1 + exp(-(coalesce(sum(weight * coef), 0) - 0.25))), 6) AS y_prob
     FROM weights LEFT JOIN coefs USING (term) GROUP BY doc_id""")
 def linear_score(v):
-    coefs = vocabulary(v).select("term", ((F.length("term").cast("double") - 6) / 4).alias("coef"))
-    return ngrams.linear_score(weights(v), coefs, "doc_id", -0.25)
+    terms = written(vocabulary(v), "vocabulary")
+    coefs = written(terms.select("term", ((F.length("term").cast("double") - 6) / 4).alias("coef")), "coefficients")
+    weighed = ngrams.tfidf(v.table("documents"), "doc_id", "text", STOP, terms=terms)
+    return ngrams.linear_score(weighed, coefs, "doc_id", -0.25)
 
 
 @query("score_with", f"""SELECT doc_id, round(1 / (1 + exp(-(len({TOKENS_SQL}) - 100) / 50.0)), 6) AS y_prob,
@@ -92,52 +100,91 @@ def score_with(v):
     return classify.score_with(sized, make_scorer, "doc_id", "size")
 
 
-# --- fitted models: checked by tests against an independent solver -------------------------------------------
+# --- fitted models: what SQL can state of them; tests compare the rest with an independent solver ------------
 
 def training(v):
     return v.labeled.select("thread_id", F.col("first_customer_text").alias("text"), "escalated", "lang")
 
 
-@query("fit_and_score")
-def fit_and_score(v):
-    """Train on the training part and score the whole table."""
-    from caselane.operators.split import stratified_split
+BASE = ", base AS (SELECT thread_id, escalated FROM labeled), "
+ARM_SQL = "count(*) AS n, CAST(sum(escalated) AS BIGINT) AS positives"
+
+
+def arm_rows(metrics, *keys):
+    """Rows and positives that each arm of an experiment was measured on."""
+    return metrics.select(*keys, (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n"),
+                          (F.col("fn") + F.col("tp")).alias("positives"))
 
-    parts = stratified_split(training(v), "escalated", "thread_id")
-    model = classify.fit(parts.filter("split = 'train'"), "thread_id", "text", "escalated")
-    return classify.score(model, parts).select("thread_id", "split", "escalated", "y_prob", "y_pred")
 
+@query("fit_and_score", with_views("labeled", BASE + split_sql("base", 0.2, "42") + """, train AS (SELECT d.doc_id, d.text
+    FROM part JOIN documents d ON d.doc_id = thread_id WHERE NOT taken), """ + terms_sql("train")
+    + "SELECT term, CAST(0 AS DOUBLE) AS gradient FROM vocab"))
+def fit_and_score(v):
+    """Train on the training part; per term the gradient of the penalised loss at the fit, to three digits.
+
+    It is worked out from the coefficient table by joins, apart from the solver, and is 0 for every term of an optimum.
+    """
+    from caselane.operators.split import stratified_split
 
-@query("table_score")
+    rows = training(v)
+    ids = stratified_split(rows.select("thread_id", "escalated"), "escalated", "thread_id")
+    train = written(rows.join(ids.filter("split = 'train'").select("thread_id"), "thread_id"), "train")
+    model = classify.fit(train, "thread_id", "text", "escalated", stop=STOP)
+    table, intercept = classify.model_table(v.spark, model)
+    counts = ngrams.known_counts(train, table, "thread_id", "text", STOP)
+    weights_ = ngrams.weigh(counts, "thread_id")
+    scored = classify.score(model, train).select("thread_id", "escalated", "y_prob")
+    sizes = {r.label: r for r in ngrams.class_weights(train).collect()}
+    n = sum(r.n for r in sizes.values())
+    gap = F.when(F.col("escalated") == 1, (F.col("y_prob") - 1) * sizes[1].weight).otherwise(F.col("y_prob") * sizes[0].weight)
+    loss = weights_.join(scored.select("thread_id", gap.alias("gap")), "thread_id").groupBy("term").agg(F.sum(F.col("weight") * F.col("gap")).alias("g"))
+    slope = (F.coalesce("g", F.lit(0.0)) + F.col("coef")) / n
+    return table.join(loss, "term", "left").select("term", F.abs(F.round(slope, 3)).alias("gradient"))
+
+
+@query("table_score", "SELECT doc_id, CAST(0 AS DOUBLE) AS difference FROM documents")
 def table_score(v):
-    """The same fit applied as a table of coefficients to every document."""
+    """The same fit applied as a table of coefficients and as a pipeline: how far apart they are, for every document."""
     model = classify.fit(training(v), "thread_id", "text", "escalated", stop=STOP)
     table, intercept = classify.model_table(v.spark, model)
-    return ngrams.table_score(v.table("documents"), table, "doc_id", "text", STOP, intercept)
+    documents = v.table("documents")
+    by_table = ngrams.table_score(documents, table, "doc_id", "text", STOP, intercept)
+    by_model = classify.score(model, documents.select("doc_id", "text")).select("doc_id", F.col("y_prob").alias("p"))
+    return by_table.join(by_model, "doc_id").select("doc_id", F.abs(F.round(F.col("y_prob") - F.col("p"), 6)).alias("difference"))
 
 
-@query("model_selection")
+@query("model_selection", with_views("labeled", BASE + split_sql("base", 0.2, "42")
+    + ", tr AS (SELECT thread_id, escalated FROM part WHERE NOT taken), " + split_sql("tr", 0.1, "42-val", extra="2")
+    + f"""SELECT CAST(c AS DOUBLE) AS setting, CAST(g AS INTEGER) AS ngram, {ARM_SQL} FROM part2, (VALUES (0.1), (1.0), (10.0)) s(c),
+    (VALUES (1), (2)) m(g) WHERE taken GROUP BY 1, 2"""))
 def model_selection(v):
-    return classify.select_on_validation(training(v), "thread_id", "text", "escalated", [0.1, 1.0, 10.0])
+    out = classify.select_on_validation(training(v), "thread_id", "text", "escalated", [0.1, 1.0, 10.0])
+    return arm_rows(out, "setting", "ngram")
+
+
+SEEDS = [42, 1337, 2024]
 
 
-@query("seed_runs")
+@query("seed_runs", with_views("labeled", BASE + ", ".join(split_sql("base", 0.2, str(s), extra=f"_{s}") for s in SEEDS) + " "
+    + " UNION ALL ".join(f"SELECT CAST({s} AS INTEGER) AS seed, {ARM_SQL} FROM part_{s} WHERE taken" for s in SEEDS)))
 def seed_runs(v):
-    return classify.seed_runs(training(v), "thread_id", "text", "escalated", [42, 1337, 2024])
+    return arm_rows(classify.seed_runs(training(v), "thread_id", "text", "escalated", SEEDS), "seed")
 
 
-@query("learning_curve")
+@query("learning_curve", with_views("labeled", BASE + split_sql("base", 0.2, "42") + f"""SELECT size_name, {ARM_SQL}
+    FROM part, (VALUES ('quarter'), ('half'), ('most')) s(size_name) WHERE taken GROUP BY size_name"""))
 def learning_curve(v):
-    return classify.learning_curve(
+    out = classify.learning_curve(
         training(v), "thread_id", "text", "escalated", {"quarter": 0.25, "half": 0.5, "most": 0.9})
+    return arm_rows(out, "size_name")
 
 
-@query("cross_domain")
+@query("cross_domain", with_views("labeled", f" SELECT lang, {ARM_SQL} FROM labeled GROUP BY lang"))
 def cross_domain(v):
     """Fit on English, then score every language without fitting again."""
     rows = training(v)
     model = classify.fit(rows.filter("lang = 'en'"), "thread_id", "text", "escalated")
-    return classify.evaluate(model, rows, "escalated", ("lang",))
+    return arm_rows(classify.evaluate(model, rows, "escalated", ("lang",)), "lang")
 
 
 @query("nearest_intent", TERMS + """, centroid AS (SELECT source, term, sum(weight) AS w FROM weights

@@ -92,12 +92,12 @@ def cohens_kappa(v):
     return audit.agreement(labels(v).join(reviews(v), "thread_id"))
 
 
-MATRIX = ["self_service", *[f"src{k}" for k in range(20)]]
+MATRIX = ["self_service", *[f"src{k}" for k in range(15)]]  # the others are not listed
 
 
 @query("override_matrix", JOINED + "SELECT category, " + ", ".join(
     f"count(*) FILTER (human_category = '{c}') AS to_{c}" for c in MATRIX)
-    + " FROM both_sides WHERE human_category IS NOT NULL GROUP BY category")
+    + ", count(*) FILTER (human_category NOT IN (" + ", ".join(f"'{c}'" for c in MATRIX) + ")) AS to_other FROM both_sides WHERE human_category IS NOT NULL GROUP BY category")
 def override_matrix(v):
     return audit.override_matrix(labels(v), reviews(v), MATRIX)
 

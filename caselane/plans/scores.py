@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from caselane.functions.taxonomy import COARSE_GRID, FINE_GRID
-from caselane.operators import compare, curves, evaluate
+from caselane.operators import compare, curves, evaluate, split
 from caselane.plans.registry import query
-from caselane.sources.runs import union_runs
+from caselane.sources.runs import metric_record, round4, union_runs
+from caselane.plans.tables import split_sql
 from caselane.sources.views import with_views
 
 MODELS = {"a": "p_a", "b": "p_b"}
@@ -65,6 +66,37 @@ def binary_metrics(v):
     return evaluate.binary_metrics(pred(v), ("model",))
 
 
+def four(expr: str) -> str:
+    return f"round(({expr}) * 10000) / 10000"
+
+
+@query("metric_record", LONG + f""", c AS ({cells('model')}), u AS ({auc_sql('model', 'pred')})
+    SELECT 'two scores' AS model_name, model, {four('(tn + tp) / (tn + fp + fn + tp)')} AS accuracy,
+    {four(f'({P0} + {P1}) / 2')} AS precision_macro, {four(f'({R0} + {R1}) / 2')} AS recall_macro,
+    {four(f'({F0} + {F1}) / 2')} AS f1_macro, {four(P1)} AS precision_escalated, {four(R1)} AS recall_escalated,
+    {four(F1)} AS f1_escalated, {four('roc_auc')} AS roc_auc, tn, fp, fn, tp FROM c JOIN u USING (model)""")
+def record(v):
+    nested = metric_record(binary_metrics(v), ["model"], "two scores")
+    return nested.select("model_name", "model", "metrics.*", "confusion_matrix.*")
+
+
+@query("metric_parity", with_views("scored", """, r AS (SELECT category, count(*) AS n,
+    sum(CAST((p_b >= 0.5) = (y_true = 1) AS INTEGER)) AS a, sum(CAST((p_b >= 0.52) = (y_true = 1) AS INTEGER)) AS b
+    FROM scored GROUP BY category), k AS (SELECT category, 'same' AS run, a / n AS recorded, a / n AS recomputed FROM r
+    UNION ALL SELECT category, 'other', a / n, b / n FROM r)
+    SELECT category, run, round(round(recorded * 10000) / 10000, 6) AS recorded, round(recomputed, 6) AS recomputed,
+    CAST(abs(round(recorded * 10000) / 10000 - recomputed) < 0.0005 AS INTEGER) AS parity FROM k"""))
+def metric_parity(v):
+    """Recorded accuracies against the same rows decided again, and against another cut-off."""
+    def accuracy(run, cut):
+        right = ((F.col("p_b") >= cut) == (F.col("y_true") == 1)).cast("int")
+        return v.scored.groupBy("category").agg(F.avg(right).alias("accuracy")).withColumn("run", F.lit(run))
+
+    recorded = accuracy("same", 0.5).unionByName(accuracy("other", 0.5)).withColumn("accuracy", round4(F.col("accuracy")))
+    recomputed = accuracy("same", 0.5).unionByName(accuracy("other", 0.52))
+    return split.metric_parity(recorded, recomputed, ["category", "run"], "accuracy")
+
+
 @query("classification_report", LONG + f""", c AS ({cells('model')}), v AS (SELECT model, {P0} AS p0, {R0} AS r0,
     {F0} AS f0, {P1} AS p1, {R1} AS r1, {F1} AS f1, tn + fp AS s0, fn + tp AS s1 FROM c)
     SELECT model, '0' AS label, round(p0, 6) AS precision, round(r0, 6) AS recall, round(f0, 6) AS f1, s0 AS support FROM v
@@ -189,12 +221,22 @@ def score_distribution(v):
     return evaluate.score_distribution(v.scored.select("y_true", F.col("p_a").alias("y_prob")))
 
 
-@query("operating_point", COARSE_SQL + """, k AS (SELECT *, missed_escalations * 5.0 + false_alarms * 1.0 AS cost
+VALIDATION_SQL = sweep_sql("SELECT CAST(k AS DOUBLE) / 100 AS threshold FROM range(20, 81, 5) g(k)").replace(
+    LONG, with_views("scored", ", base AS (SELECT id AS thread_id, y_true AS escalated FROM scored), " + split_sql("base", 0.2, "42")
+                     + ", tr AS (SELECT thread_id, escalated FROM part WHERE NOT taken), " + split_sql("tr", 0.1, "42-val", extra="2")
+                     + """, val AS (SELECT scored.* FROM scored JOIN part2 ON id = thread_id WHERE taken),
+    long AS (SELECT id, y_true, 'a' AS model, p_a AS y_prob FROM val UNION ALL SELECT id, y_true, 'b', p_b FROM val) """), 1)
+
+
+@query("operating_point", VALIDATION_SQL + """, k AS (SELECT *, missed_escalations * 5.0 + false_alarms * 1.0 AS cost
     FROM sweep) SELECT model, round(threshold, 6) AS threshold, round(CAST(cost AS DOUBLE), 6) AS cost,
     missed_escalations, false_alarms FROM k
     QUALIFY row_number() OVER (PARTITION BY model ORDER BY cost, threshold) = 1""")
 def operating_point(v):
-    return curves.operating_point(threshold_sweep(v), 5, 1, ("model",))
+    """Chosen on validation rows; test rows have no say in it."""
+    parts = split.three_way_split(v.scored.select("id", "y_true"), "y_true", "id")
+    chosen = long(v).join(parts.filter("split = 'val'").select("id"), "id")
+    return curves.operating_point(curves.threshold_sweep(chosen, COARSE_GRID, ("model",)), 5, 1, ("model",))
 
 
 @query("uncertainty_routing", with_views("scored", """, r AS (SELECT CASE WHEN p_b >= 0.4 AND p_b < 0.6 THEN 'hand_off'

@@ -77,9 +77,11 @@ def stream_audit_upsert(v):
 @query("stream_static_join", """SELECT event_id, user_id, CAST(user_id IN (SELECT doc_id FROM labels) AS INTEGER)
     AS audited FROM events""")
 def stream_static_join(v):
-    audited = v.table("labels").select(F.col("doc_id").alias("user_id")).distinct()
-    marked = live.mark_audited(v.message_events.select("event_id", "user_id"), audited, "user_id")
-    return live.run_to_table(marked.select("event_id", "user_id", "audited"), "static")
+    def mark(batch):
+        audited = v.table("labels").select(F.col("doc_id").alias("user_id")).distinct()
+        return live.mark_audited(batch, audited, "user_id").select("event_id", "user_id", "audited")
+
+    return live.run_batches(v.message_events.select("event_id", "user_id"), mark, "static")
 
 
 @query("stream_first_message", """SELECT user_id, event_id, epoch_us(ts) AS first_us FROM events

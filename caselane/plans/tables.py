@@ -294,7 +294,7 @@ def casing_stats(v):
     WHERE escalated = 1 AND lang <> 'fr'"""))
 def filter_class(v):
     mask = (F.col("escalated") == 1) & (F.col("lang") != "fr")
-    return features.filter_rows(v.labeled, mask).select("thread_id", "category")
+    return v.labeled.filter(mask).select("thread_id", "category")
 
 
 # --- exploratory aggregates ----------------------------------------------------------------------------------
@@ -391,8 +391,7 @@ def histogram_density(v):
 
 @query("histogram_width", FEATURED + histogram_sql(
     "word_len", "escalated", "min(x) OVER () AS lo, max(x) OVER () AS hi", "greatest(ceil((hi - lo) / 50), 1)",
-    "floor((x - lo) / 50)", "CAST(50 AS DOUBLE)").replace(
-    "min(lo) AS lo,", "min(lo) AS lo,").replace("GROUP BY 1, 2", "GROUP BY 1, 2"))
+    "floor((x - lo) / 50)", "CAST(50 AS DOUBLE)"))
 def histogram_width(v):
     return profile.histogram(featured(v), "word_len", "escalated", width=50)
 
@@ -480,6 +479,21 @@ def split_parity(v):
     return split.split_parity(two, three, "thread_id")
 
 
+@query("split_parity_differs", with_views("labeled", ", base AS (SELECT thread_id, escalated FROM labeled), "
+                                          + split_sql("base", 0.2, "42") + ", " + split_sql("base", 0.2, "7", extra="2") + """,
+    e AS (SELECT thread_id FROM part WHERE taken), a AS (SELECT thread_id FROM part2 WHERE taken),
+    k AS (SELECT (SELECT count(*) FROM e) AS expected_rows, (SELECT count(*) FROM a) AS actual_rows,
+    (SELECT count(*) FROM e WHERE thread_id NOT IN (SELECT thread_id FROM a)) AS only_expected,
+    (SELECT count(*) FROM a WHERE thread_id NOT IN (SELECT thread_id FROM e)) AS only_actual)
+    SELECT *, CAST(only_expected + only_actual = 0 AS INTEGER) AS same_checksum,
+    CAST(only_expected + only_actual = 0 AND expected_rows = actual_rows AS INTEGER) AS parity FROM k"""))
+def split_parity_differs(v):
+    """Two splits of different seeds."""
+    rows = v.labeled.select("thread_id", "escalated")
+    sides = [split.stratified_split(rows, "escalated", "thread_id", seed=s).filter("split = 'test'") for s in (42, 7)]
+    return split.split_parity(*sides, "thread_id")
+
+
 CURVE = {"quarter": 0.25, "half": 0.5, "most": 0.9}
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 CONFUSION = T.StructType([T.StructField(n, T.LongType()) for n in ("tn", "fp", "fn", "tp")])
 
@@ -28,14 +30,74 @@ RECORD = T.StructType([
 ])
 
 
+# The fields that make a struct of a record a block of metrics.
+BLOCK = ("accuracy", "precision_macro", "recall_macro", "f1_macro", "precision_escalated", "recall_escalated",
+         "f1_escalated", "roc_auc")
+CELLS = ("tn", "fp", "fn", "tp")
+DIGITS = 4
+
+
+def round4(value: Column) -> Column:
+    """Four digits, as records keep their metrics."""
+    return F.round(value * 10**DIGITS) / 10**DIGITS
+
+
+def metric_record(metrics: DataFrame, keys: list[str], model_name: str) -> DataFrame:
+    """Rows of ``binary_metrics`` as records: rounded metrics and the matrix, nested."""
+    return metrics.select(
+        F.lit(model_name).alias("model_name"), *keys,
+        F.struct(*[round4(F.col(c)).alias(c) for c in BLOCK if c in metrics.columns]).alias("metrics"),
+        F.struct(*CELLS).alias("confusion_matrix"))
+
+
 def write_runs(records: DataFrame, path: str, fmt: str = "json") -> str:
     records.write.mode("overwrite").format(fmt).save(path)
     return path
 
 
-def read_runs(spark: SparkSession, path: str, fmt: str = "json", schema: T.StructType = RECORD) -> DataFrame:
+def read_runs(spark: SparkSession, path: str, fmt: str = "json", schema: T.StructType | None = RECORD,
+              pretty: bool = False) -> DataFrame:
+    """Records as JSON lines or, with ``pretty``, as files of one indented record each.
+
+    A text that is no record of the schema is an error, not a row of NULLs. Without a schema the fields are those that
+    the files have, whichever blocks, histories and sweeps a kind of experiment records.
+    """
     reader = spark.read.format(fmt)
-    return (reader.schema(schema) if fmt == "json" else reader).load(path)
+    if fmt != "json":
+        return reader.load(path)
+    reader = reader.option("multiLine", pretty).option("mode", "FAILFAST")
+    return (reader.schema(schema) if schema else reader).load(path)
+
+
+def metric_blocks(records: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per record and block of metrics, with the block's name; a metric that it lacks is NULL."""
+    parts = []
+    for field in records.schema.fields:
+        if not isinstance(field.dataType, T.StructType) or "f1_macro" not in field.dataType.names:
+            continue
+        names, at = field.dataType.names, F.col(field.name)
+        own = "confusion_matrix" in names
+        matrix = at["confusion_matrix"] if own else F.col("confusion_matrix") if "confusion_matrix" in records.columns else None
+        parts.append(records.filter(at.isNotNull()).select(
+            *keys, F.lit(field.name).alias("block"),
+            *[(at[c] if c in names else F.lit(None)).cast("double").alias(c) for c in BLOCK],
+            *[(matrix[c] if matrix is not None else F.lit(None)).cast("long").alias(c) for c in CELLS]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def explode_rows(records: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """A list of structs (training history, sweep, seeds) as one row per entry, with its place."""
+    return records.select(*keys, F.posexplode(column).alias("place", "_v")).select(*keys, "place", "_v.*")
+
+
+def explode_struct(records: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """A struct whose fields are structs (figures per category) as one row per field."""
+    fields = records.schema[column].dataType.names
+    entries = F.array(*[F.struct(F.lit(n).alias("name"), F.to_json(F.col(column)[n]).alias("entry")) for n in fields])
+    shape = records.schema[column].dataType
+    merged = T.StructType(list({f.name: f for n in fields for f in shape[n].dataType.fields}.values()))
+    rows = records.select(*keys, F.explode(entries).alias("_e")).filter("_e.entry IS NOT NULL")
+    return rows.select(*keys, "_e.name", F.from_json("_e.entry", merged).alias("_v")).select(*keys, "name", "_v.*")
 
 
 def explode_category_recall(records: DataFrame, keys: list[str], column: str = "category_recall") -> DataFrame:

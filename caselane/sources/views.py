@@ -151,5 +151,5 @@ class Views:
         from caselane.streaming.live import message_stream
 
         schema = self.table("events").schema
-        stream = message_stream(self.spark, self.folder, schema, "events.parquet")
+        stream = message_stream(self.spark, f"{self.folder}/events.parquet", schema)
         return stream.withColumn("ts", F.col("ts").cast("timestamp"))

@@ -9,37 +9,71 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from caselane.operators.audit import latest
-from caselane.operators.ordered import broadcast_if_small
 from caselane.session import scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def message_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet",
+def message_stream(spark: SparkSession, path: str, schema: T.StructType,
                    files_per_batch: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    """A Parquet table, one file or a folder of part files, as a stream.
+
+    A file source takes a single file only by a glob, so the path is written as one that matches itself alone.
+    """
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def run_to_table(stream: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+def run_to_table(stream: DataFrame, name: str, folder: str | None = None,
+                 settings: dict[str, str] | None = None) -> DataFrame:
     """Process everything available into a Parquet table in the shared folder, and read it back.
 
-    The file sink commits each batch once, so a restarted run neither loses nor repeats rows.
+    The file sink commits each batch once, so a restarted run neither loses nor repeats rows. ``settings`` hold for this
+    query alone.
     """
     spark = stream.sparkSession
     base = folder or scratch_path(spark, name)
-    query = (
+    writer = (
         stream.writeStream.format("parquet").outputMode("append")
-        .option("path", f"{base}/data").option("checkpointLocation", f"{base}/progress")
-        .trigger(availableNow=True).start()
+        .option("path", f"{base}/data").option("checkpointLocation", f"{base}/progress").trigger(availableNow=True)
     )
+    before = {k: spark.conf.get(k) for k in settings or {}}
+    for k, v in (settings or {}).items():
+        spark.conf.set(k, v)
+    try:
+        query = writer.start()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/data")
 
 
+def run_batches(stream: DataFrame, step: Callable[[DataFrame], DataFrame], name: str,
+                folder: str | None = None) -> DataFrame:
+    """Apply ``step`` to every batch and return all results.
+
+    What ``step`` reads besides the batch is read anew for each one, so a running stream sees tables as they are by then.
+    A batch overwrites its own sub-folder, so one replayed after a failure leaves no second copy.
+    """
+    spark = stream.sparkSession
+    base = folder or scratch_path(spark, name)
+    shape = step(spark.createDataFrame([], stream.schema)).schema
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        step(batch).write.mode("overwrite").parquet(f"{base}/results/batch={batch_id}")
+
+    query = (
+        stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{base}/progress")
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(shape).parquet(f"{base}/results").select(*shape.names)
+
+
 def score_stream(stream: DataFrame, scorer: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Any row-wise scorer (a fitted model's ``score``, a rule) works on a stream as it is."""
     return scorer(stream)
@@ -90,10 +124,13 @@ def audit_upserts(stream: DataFrame, name: str, folder: str | None = None, versi
     return latest(versions.select(*stream.columns), version)
 
 
-def mark_audited(stream: DataFrame, audited: DataFrame, key: str) -> DataFrame:
-    """Flag each message whose thread has been reviewed (``audited`` is unique on ``key``)."""
-    side = broadcast_if_small(audited.select(key, F.lit(1).alias("_seen")))
-    return stream.join(side, key, "left").withColumn("audited", F.coalesce("_seen", F.lit(0))).drop("_seen")
+def mark_audited(messages: DataFrame, audited: DataFrame, key: str) -> DataFrame:
+    """Flag each message whose thread has been reviewed (``audited`` is unique on ``key``).
+
+    For a stream, run it in :func:`run_batches` with a table that is opened there, so that later reviews count.
+    """
+    side = audited.select(key, F.lit(1).alias("_seen"))
+    return messages.join(side, key, "left").withColumn("audited", F.coalesce("_seen", F.lit(0))).drop("_seen")
 
 
 class FirstMessage(StatefulProcessor):
@@ -113,7 +150,7 @@ class FirstMessage(StatefulProcessor):
         first, last = None, 0
         for chunk in rows:
             low = chunk.sort_values(["at_us", self.message]).iloc[0]
-            place = (int(low["at_us"]), int(low[self.message]))
+            place = (int(low["at_us"]), low[self.message])
             first = place if first is None or place < first else first
             last = max(last, int(chunk["at_us"].max()))
         if first is None:
@@ -137,14 +174,15 @@ class FirstMessage(StatefulProcessor):
 
 def first_messages(stream: DataFrame, key: str, message: str, at: str, delay: str, idle_ms: int, name: str,
                    folder: str | None = None) -> DataFrame:
-    """Opening message per thread as it arrives; ``key`` and ``message`` are long ids."""
+    """Opening message per thread as it arrives; ``key`` and ``message`` are ids of whole numbers or strings.
+
+    The operator needs another state store than the default. A query copies the session's settings as it starts, so the
+    setting is changed for that moment only and no other stream gets it.
+    """
     spark = stream.sparkSession
-    prior = spark.conf.get(PROVIDER)
+    types = {c: stream.schema[c].dataType.simpleString() for c in (key, message)}
     rows = stream.withWatermark(at, delay).select(key, message, at, F.unix_micros(at).alias("at_us"))
     out = rows.groupBy(key).transformWithStateInPandas(
-        FirstMessage(key, message, idle_ms), f"{key} long, {message} long, first_us long", "append", "eventTime")
-    spark.conf.set(PROVIDER, ROCKSDB)
-    try:
-        return run_to_table(out, name, folder)
-    finally:
-        spark.conf.set(PROVIDER, prior)
+        FirstMessage(key, message, idle_ms), f"{key} {types[key]}, {message} {types[message]}, first_us long",
+        "append", "eventTime")
+    return run_to_table(out, name, folder, {PROVIDER: ROCKSDB})

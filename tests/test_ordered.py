@@ -47,10 +47,9 @@ def test_a_hot_key_spans_partitions(spark):
         spark.conf.set(conf, "true")
 
 
-@pytest.mark.parametrize("floor", [10, 10**9])
-def test_lookup_join_with_hot_and_null_keys(spark, monkeypatch, floor):
-    monkeypatch.setattr(ordered, "HOT_FLOOR", floor)
-    monkeypatch.setattr(ordered, "HOT_SHARE", 10)
+@pytest.mark.parametrize("share", [10, 10**9])
+def test_lookup_join_with_hot_and_null_keys(spark, monkeypatch, share):
+    monkeypatch.setattr(ordered, "HOT_SHARE", share)
     df, rows = hot_rows(spark)
     df = df.withColumn("k", F.when(F.col("v") > 0, F.col("k")))
     lookup = spark.createDataFrame([("hot", 1), *[(f"k{j}", j) for j in range(0, 40, 2)]], "k string, w int")

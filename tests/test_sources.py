@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from caselane.functions.taxonomy import intent_dimension
@@ -60,3 +61,53 @@ def test_dimension(spark):
     dim = intent_dimension(spark)
     assert dim.count() == 27 and dim.select("category").distinct().count() == 11
     assert dim.filter("escalated = 1").count() == 7
+
+
+PUBLISHED = """{
+  "model_name": "m",
+  "train_samples": 3600,
+  "hyperparameters": {"epochs": 4, "learning_rate": 3e-05},
+  "training_history": [
+    {"epoch": 1, "train_loss": 0.5, "val_macro_f1": 0.7},
+    {"epoch": 2, "train_loss": 0.3, "val_macro_f1": 0.8}
+  ],
+  "in_domain": {
+    "accuracy": 0.825, "f1_macro": 0.7842, "recall_escalated": 0.6373, "roc_auc": 0.883,
+    "confusion_matrix": {"tn": 630, "fp": 64, "fn": 111, "tp": 195}
+  },
+  "in_domain_reference": {
+    "accuracy": 0.764, "f1_macro": 0.7327, "roc_auc": 0.8258, "confusion_matrix": {"tn": 553, "fp": 141, "fn": 95, "tp": 211}
+  },
+  "per_category_recall": {
+    "get_refund": {"threads": 18, "base": 0.833},
+    "complaint": {"threads": 153, "base": 0.667, "tuned": 0.699}
+  }
+}
+"""
+
+
+def test_records_as_published(spark, tmp_path):
+    path = tmp_path / "record.json"
+    path.write_text(PUBLISHED)
+    record = runs.read_runs(spark, str(path), schema=None, pretty=True)
+    assert record.count() == 1 and record.first().train_samples == 3600
+    blocks = {r.block: r for r in runs.metric_blocks(record, ["model_name"]).collect()}
+    assert (blocks["in_domain"].tp, blocks["in_domain"].recall_escalated) == (195, 0.6373)
+    assert (blocks["in_domain_reference"].fp, blocks["in_domain_reference"].recall_escalated) == (141, None)
+    history = runs.explode_rows(record, ["model_name"], "training_history").orderBy("place").collect()
+    assert [(r.place, r.epoch, r.val_macro_f1) for r in history] == [(0, 1, 0.7), (1, 2, 0.8)]
+    recall = {r.name: (r.threads, r.base, r.tuned) for r in runs.explode_struct(record, [], "per_category_recall").collect()}
+    assert recall == {"get_refund": (18, 0.833, None), "complaint": (153, 0.667, 0.699)}
+
+
+def test_what_is_no_record_is_an_error(spark, tmp_path):
+    path = tmp_path / "record.json"
+    path.write_text(PUBLISHED)
+    with pytest.raises(Exception, match="(?i)malformed"):
+        runs.read_runs(spark, str(path)).collect()
+
+
+def test_metric_record_has_four_digits(spark):
+    row = spark.createDataFrame([("a", 0.123456, 0.99999, 1, 2, 3, 4)], "setting string, accuracy double, f1_macro double, tn long, fp long, fn long, tp long")
+    out = runs.metric_record(row, ["setting"], "m").first()
+    assert (out.metrics.accuracy, out.metrics.f1_macro, out.confusion_matrix.tp) == (0.1235, 1.0, 4)

@@ -1,8 +1,9 @@
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from caselane.operators import classify
+from caselane.plans import registry
 from caselane.streaming import live
 
 
@@ -25,6 +26,7 @@ BATCHES = [
     [(5, "2024-01-01 03:30", 9, "purchase")],
     [(4, "2024-01-01 00:10", 7, "error"), (6, "2024-01-01 06:00", 8, "view")],   # event 4 is late
 ]
+registry.load()
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string"
 
 
@@ -84,3 +86,48 @@ def test_a_fitted_model_scores_a_stream(spark, tmp_path):
     batch = classify.score(model, df.select("id", "text"))
     assert sorted(out.collect()) == sorted(batch.collect())
     assert out.filter("y_pred <> id % 2").count() == 0
+
+
+STREAMS = ("stream_score", "stream_dedup", "stream_tumbling", "stream_sliding", "stream_sessions", "stream_audit_upsert",
+           "stream_static_join", "stream_first_message")
+
+
+@pytest.fixture(scope="module")
+def part_files(spark, folder, tmp_path_factory):
+    """The same tables with the events as a folder of four part files."""
+    base = tmp_path_factory.mktemp("tables")
+    spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{base}/labels.parquet")
+    spark.read.parquet(f"{folder}/events.parquet").repartitionByRange(4, "event_id").write.parquet(f"{base}/events.parquet")
+    return str(base)
+
+
+@pytest.mark.parametrize("name", STREAMS)
+def test_streams_over_part_files(spark, folder, part_files, name):
+    run = registry.runner(registry.BUILDS[name])
+    want = sorted(map(tuple, run(spark, folder).collect()))
+    assert want and sorted(map(tuple, run(spark, part_files).collect())) == want
+
+
+def test_later_reviews_count(spark, tmp_path):
+    reviews = str(tmp_path / "reviews")
+    (tmp_path / "in").mkdir()
+    write_batches(str(tmp_path / "in"), BATCHES[:2])
+    spark.createDataFrame([(7,)], "user_id long").write.parquet(reviews)
+    seen = []
+
+    def mark(batch):
+        out = live.mark_audited(batch.select("event_id", "user_id"), spark.read.parquet(reviews).distinct(), "user_id")
+        if not seen:
+            seen.append(out.schema)
+            spark.createDataFrame([(8,)], "user_id long").write.mode("append").parquet(reviews)
+        return out
+
+    stream = live.message_stream(spark, str(tmp_path / "in"), T._parse_datatype_string(SCHEMA))
+    out = live.run_batches(stream, mark, "marked")
+    assert {r.user_id: r.audited for r in out.collect()} == {7: 1, 8: 1}
+
+
+def test_no_other_stream_gets_the_state_store(spark, stream):
+    before = spark.conf.get(live.PROVIDER)
+    live.first_messages(stream(), "user_id", "event_id", "ts", "10 minutes", 3_600_000, "f")
+    assert spark.conf.get(live.PROVIDER) == before

@@ -25,14 +25,26 @@ def test_cycles_are_reported_not_looped(spark):
     links = spark.createDataFrame([(1, None), (2, 1), (3, 4), (4, 5), (5, 3), (6, 3)], "child long, parent long")
     got = {r.message_id: (r.thread_id, r.depth, r.in_cycle) for r in threads.thread_roots(links).collect()}
     assert got[2] == (1, 1, 0) and got[1] == (1, 0, 0)
-    assert all(got[k] == (None, None, 1) for k in (3, 4, 5, 6))
+    assert all(got[k] == (3, None, 1) for k in (3, 4, 5, 6))
 
 
-@pytest.mark.parametrize("floor,few", [(5, 0), (10**9, 0), (10**9, 10**6)])
-def test_roots_of_chains_stars_and_forests(spark, monkeypatch, floor, few):
-    monkeypatch.setattr(ordered, "HOT_FLOOR", floor)
-    monkeypatch.setattr(threads, "BROADCAST_ROWS", few)
-    monkeypatch.setattr(ordered, "HOT_SHARE", 20)
+def test_two_cycles_are_two_threads(spark):
+    rows = [(1, 2), (2, 1), (8, 9), (9, 8), (5, 8), (3, None)]
+    df = messages(spark, [(i, p, [], True, f"t{i}", i) for i, p in rows])
+    threaded = threads.with_threads(df)
+    got = {r.thread_id: r.turn_count for r in threads.assemble_threads(threaded, ["seq", "message_id"]).collect()}
+    assert got == {1: 2, 8: 3, 3: 1}
+
+
+def test_a_deep_chain(spark):
+    links = spark.range(10_000).selectExpr("id AS child", "CASE WHEN id > 0 THEN id - 1 END AS parent")
+    out = threads.thread_roots(links)
+    assert out.filter("thread_id <> 0 OR depth <> message_id OR in_cycle <> 0").count() == 0 and out.count() == 10_000
+
+
+@pytest.mark.parametrize("share", [20, 1000])
+def test_roots_of_chains_stars_and_forests(spark, monkeypatch, share):
+    monkeypatch.setattr(ordered, "HOT_SHARE", share)
     rng = random.Random(11)
     parent = {0: None}
     for i in range(1, 40):
