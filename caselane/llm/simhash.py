@@ -40,6 +40,8 @@ SAMPLE = 1 << 16  # fingerprints that the trees are built from at most
 PER_LEAF = 128  # sampled fingerprints of a leaf at most
 RATIO = 16  # fingerprints for each sampled one, below the bound
 CHUNK = 1 << 12  # shingles whose bits are counted at a time
+PART = 1 << 14  # rows that the part of a leaf holds on average
+BLOCK = 1 << 13  # rows above which a part is cut into blocks, each pair of which is a shard of its own
 
 NEAR_WORDS, NEAR_SIMILARITY, NEAR_LANES, NEAR_TREES, NEAR_WIDTH = 5, 0.8, 8, 40, 16
 
@@ -157,13 +159,16 @@ def route(codes: np.ndarray, mask: np.ndarray, tree: dict[str, np.ndarray], radi
     return np.concatenate([r for r, _ in out] or [rows]), np.concatenate([n for _, n in out] or [nodes])
 
 
+def mask_key(codes: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """A number that equal masked fingerprints share."""
+    mixer = np.arange(1, codes.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+    key = ((codes & mask) * mixer).sum(axis=1, dtype=np.uint64)
+    return (key ^ (key >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+
 def shard_links(ids: np.ndarray, codes: np.ndarray, mask: np.ndarray, radius: int, bits: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of a shard within ``bits``. With radius 0 only rows equal on the mask can be a pair."""
-    if radius == 0:
-        mixer = np.arange(1, codes.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
-        key = ((codes & mask) * mixer).sum(axis=1, dtype=np.uint64)
-    else:
-        key = np.zeros(len(ids), np.uint64)
+    key = mask_key(codes, mask) if radius == 0 else np.zeros(len(ids), np.uint64)
     order = np.lexsort((ids, key))
     ids, codes, key = ids[order], codes[order], key[order]
     parent, links = np.arange(len(ids)), []
@@ -197,30 +202,43 @@ def code_array(column: pa.Array, lanes: int) -> np.ndarray:
 
 
 def find_links(prints: DataFrame, masks: np.ndarray, lanes: int, bits: int, radius: int = 0,
-               most: int = SAMPLE, ratio: int = RATIO, per_leaf: int = PER_LEAF) -> DataFrame:
-    """u, v: links between fingerprints (node, code) that connect all pairs which the forest finds within ``bits``."""
+               most: int = SAMPLE, ratio: int = RATIO, per_leaf: int = PER_LEAF, block: int = BLOCK) -> DataFrame:
+    """u, v: links between fingerprints (node, code) that connect all pairs which the forest finds within ``bits``.
+
+    A leaf's share of all rows is fixed by the sample, so with radius 0 leaves are parted further by the masked bits, which
+    no pair crosses. A part that is still too large for a task is cut into blocks and every pair of blocks is a shard, so
+    that no task holds more than two blocks however many fingerprints crowd together.
+    """
     count = prints.count()
     rows = prints.select("code").orderBy(F.xxhash64("code"), "code").limit(min(most, count // ratio + 1)).collect()  # bounded
     sample = np.frombuffer(b"".join(bytes(r.code) for r in rows), np.uint64).reshape(-1, lanes)
     trees = [build_tree(sample, m, per_leaf) for m in masks]
+    parts = max(1, count // PART * per_leaf // max(1, len(sample))) if radius == 0 else 1
 
     def to_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = code_array(batch.column(1), lanes)
             for number, (mask, tree) in enumerate(zip(masks, trees)):
                 at, leaf = route(codes, mask, tree, radius)
-                taken = pa.array(at)
+                taken, part = pa.array(at), (mask_key(codes[at], mask) >> np.uint64(33)) % np.uint64(parts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), number), pa.int32()), pa.array(leaf, pa.int32()), batch.column(0).take(taken), batch.column(1).take(taken)],
-                    ["tree", "leaf", "node", "code"])
+                    [pa.array(np.full(len(at), number), pa.int32()), pa.array(leaf, pa.int32()), pa.array(part.astype("i8")),
+                     batch.column(0).take(taken), batch.column(1).take(taken)], ["tree", "leaf", "part", "node", "code"])
 
     def link(shard: pa.Table) -> pa.Table:
         codes = code_array(shard.column("code").combine_chunks(), lanes)
         found = shard_links(shard.column("node").to_numpy(), codes, masks[shard.column("tree")[0].as_py()], radius, bits)
         return pa.table({"u": pa.array([min(p) for p in found], pa.int64()), "v": pa.array([max(p) for p in found], pa.int64())})
 
-    leaves = prints.select("node", "code").mapInArrow(to_leaves, "tree int, leaf int, node long, code binary")
-    return leaves.groupBy("tree", "leaf").applyInArrow(link, "u long, v long").distinct()
+    leaves = prints.select("node", "code").mapInArrow(to_leaves, "tree int, leaf int, part long, node long, code binary")
+    place = ["tree", "leaf", "part"]
+    crowded = written(leaves.groupBy(*place).count().filter(F.col("count") > block)
+                      .select(*place, F.expr(f"CAST((count - 1) DIV {block} + 1 AS INT)").alias("blocks")), "crowded")
+    blocks = F.coalesce("blocks", F.lit(1))
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j")))
+    shards = leaves.join(crowded, place, "left").select("*", F.explode(pairs).alias("pair"))
+    return shards.groupBy(*place, "pair").applyInArrow(link, "u long, v long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

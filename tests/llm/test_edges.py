@@ -228,6 +228,17 @@ def test_forest_against_all_pairs(spark, masks, radius):
     assert {k: got.get(k, k) for k in want} == want and len(got) > 200
 
 
+def test_crowded_shards_are_split(spark):
+    rng = np.random.default_rng(9)
+    codes = np.unique(np.concatenate([np.uint64(0) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)),
+                                      rng.integers(0, 1 << 63, 50, dtype=np.uint64)]))
+    table = spark.createDataFrame([(k, bytes(c.tobytes())) for k, c in enumerate(codes)], "node long, code binary")
+    links = simhash.find_links(table, simhash.band_masks(), 1, 4, block=20)
+    got = {r.node: r.root for r in simhash.components(links).collect()}
+    want = linked_components(dict(enumerate(codes.tolist())))
+    assert {k: got.get(k, k) for k in want} == want
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(k, k + 1) for k in range(0, 300)] + [(1000, 5), (2000, 2001), (7, 7)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
