@@ -98,17 +98,16 @@ def edited_pairs(docs: DataFrame, row_id: str = "doc_id", text: str = "text") ->
     def key(ident: str, mark: str) -> Column:  # ids may be null, so that the join key is one that never is
         return F.struct(F.col(ident).isNull().alias("nil"), F.coalesce(F.col(ident), F.lit(0)).alias("id"), F.col(mark).alias("mark"))
 
-    keyed = texts.select(key("doc_id", "mark").alias("key"), "doc_id", "body")
-    own = fingerprints(keyed, "body")
+    keyed = texts.select(key("doc_id", "mark").alias("key"), "body")  # shuffled once; both joins read the same exchange
     before = linked.select(key("doc_id", "mark").alias("key"), key("prev_doc_id", "prev_mark").alias("before"), F.col("prev_n"))
-    heads = (own.join(before, "key").groupBy("before").agg(  # one document, however often it is repeated
-        F.first(F.struct(F.expr("left(body, CAST(prev_n DIV 4 AS INT))").alias("head"), F.col("fingerprint").alias("next_print"))).alias("next"))
-        .select(F.col("before").alias("key"), "next.head", "next.next_print"))
-    n = F.char_length("body")
-    tail = F.floor(n / 4)
-    joined = own.join(heads, "key").select(
-        "doc_id", n.cast("long").alias("n_chars"), "fingerprint", "next_print",
-        F.concat(F.expr("left(body, CAST(char_length(body) - char_length(body) DIV 4 AS INT))"), F.expr("left(head, CAST(char_length(body) DIV 4 AS INT))")).alias("edited"))
+    printed = fingerprints(keyed.join(before, "key").select(
+        "before", F.expr("left(body, CAST(prev_n DIV 4 AS INT))").alias("head"), "body"), "body", "next_print")
+    heads = (printed.groupBy("before").agg(F.first(F.struct("head", "next_print")).alias("next"))  # repeated rows count once
+             .select(F.col("before").alias("key"), "next.head", "next.next_print"))
+    joined = fingerprints(keyed.join(heads, "key").select(
+        F.when(~F.col("key.nil"), F.col("key.id")).alias("doc_id"), F.char_length("body").cast("long").alias("n_chars"), "body", "next_print",
+        F.concat(F.expr("left(body, CAST(char_length(body) - char_length(body) DIV 4 AS INT))"),
+                 F.expr("left(head, CAST(char_length(body) DIV 4 AS INT))")).alias("edited")), "body")
     both = fingerprints(joined, "edited", "edited_fingerprint")
     return both.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
@@ -118,3 +117,33 @@ def edited_pairs(docs: DataFrame, row_id: str = "doc_id", text: str = "text") ->
 
 def report(docs: DataFrame) -> DataFrame:
     return edited_pairs(docs)
+
+
+def tree_sql(text: str) -> str:
+    plain = [p.replace("++", "+").replace("?+", "?").replace("*+", "*").replace("}+", "}") for p in (SECTION, PARAGRAPH, PIECE)]
+    section, paragraph, piece = plain  # the checking engine has no possessive repeats; these cuts never need to go back
+    return f"""list_transform(regexp_extract_all({text}, '{section}'), lambda s: list_transform(regexp_extract_all(s, '{paragraph}'),
+        lambda p: list_transform(regexp_extract_all(p, '{piece}'), lambda x: sha256(x))))"""
+
+
+def print_sql(tree: str) -> str:
+    return f"""sha256(array_to_string(list_transform({tree}, lambda s: sha256(array_to_string(list_transform(s,
+        lambda p: sha256(array_to_string(p, ','))), ','))), ',')) || ':' || array_to_string(list_transform({tree}, lambda s:
+        array_to_string(list_transform(s, lambda p: array_to_string(list_transform(p, lambda x: substr(x, 1, {TAG})), ',')), ';')), '|')"""
+
+
+def likeness_sql(a: str, b: str) -> str:
+    x, y = (f"list_distinct(string_split_regex(split_part({p}, ':', 2), '[,;|]'))" for p in (a, b))
+    return f"""CASE WHEN split_part({a}, ':', 1) = split_part({b}, ':', 1) THEN 1.0
+        ELSE 2 * len(list_intersect({x}, {y})) / CAST(len({x}) + len({y}) AS DOUBLE) END"""
+
+
+SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS u FROM d),
+e AS (SELECT *, left(t, length(t) - length(t) // 4) || left(u, length(t) // 4) AS v FROM n),
+trees AS (SELECT *, {tree_sql('t')} AS a, {tree_sql('u')} AS b, {tree_sql('v')} AS c FROM e),
+prints AS (SELECT *, {print_sql('a')} AS p, {print_sql('b')} AS q, {print_sql('c')} AS r FROM trees)
+SELECT doc_id, length(t) AS n_chars, sha256(v) AS edited_sha256, p AS fingerprint, r AS edited_fingerprint,
+  CAST({likeness_sql('p', 'r')} AS DOUBLE) AS near_edited, CAST({likeness_sql('p', 'q')} AS DOUBLE) AS near_next FROM prints
+"""

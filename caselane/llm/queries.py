@@ -28,4 +28,5 @@ QUERIES: dict[str, Query] = {
     "op10_simhash": over("documents", simhash.report),
 }
 
-SQL: dict[str, str] = {"op1_mixing": mixing.SQL, "op2_exact_dedup": exactdup.SQL, "op4_warc": warc.SQL}
+SQL: dict[str, str] = {"op1_mixing": mixing.SQL, "op2_exact_dedup": exactdup.SQL, "op4_warc": warc.SQL,
+                       "op9_merkle": merkle.SQL}
