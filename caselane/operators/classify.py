@@ -141,10 +141,10 @@ def fit_terms(terms: DataFrame, label: str, c: float = 1.0, column: str = "_term
     return PipelineModel([*stages, fit_weights(featurize(PipelineModel(stages), terms), label, c, max_iter)])
 
 
-def side_by_side(run: Callable[[object], DataFrame], arms: Iterable) -> DataFrame:
+def side_by_side(spark: SparkSession, run: Callable[[object], DataFrame], arms: Iterable) -> DataFrame:
     """The union of what ``run`` returns for each arm; a few arms are fitted at a time."""
     with ThreadPoolExecutor(ARMS) as pool:
-        return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(run), list(arms)))
+        return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(spark)(run), list(arms)))
 
 
 def score(model: PipelineModel, df: DataFrame, threshold: float = 0.5, spread_by: str | None = None) -> DataFrame:
@@ -226,7 +226,7 @@ def select_on_validation(df: DataFrame, doc_id: str, text: str, label: str, grid
         scored = score(model, val.select("y_true", columns[n])).drop(columns[n])
         return scored.withColumns({"setting": F.lit(float(c)), "ngram": F.lit(n)})
 
-    kept = durable(binary_metrics(side_by_side(run, [(c, n) for n in ngrams for c in grid]), ("setting", "ngram")))
+    kept = durable(binary_metrics(side_by_side(df.sparkSession, run, [(c, n) for n in ngrams for c in grid]), ("setting", "ngram")))
     place = F.struct("f1_macro", -F.col("setting"), -F.col("ngram"))
     winner = kept.agg(F.max_by(F.struct("setting", "ngram"), place)).scalar()
     return kept.withColumn("selected", (F.struct("setting", "ngram") == winner).cast("int"))
@@ -244,7 +244,7 @@ def seed_runs(df: DataFrame, doc_id: str, text: str, label: str, seeds: list[int
         test = _truth(score(model, parts.filter("split = 'test'")), label)
         return test.select(F.lit(seed).alias("seed"), "y_true", "y_prob", "y_pred")
 
-    return binary_metrics(side_by_side(run, seeds), ("seed",))
+    return binary_metrics(side_by_side(df.sparkSession, run, seeds), ("seed",))
 
 
 def learning_curve(df: DataFrame, doc_id: str, text: str, label: str, fractions: dict[str, float],
@@ -260,4 +260,4 @@ def learning_curve(df: DataFrame, doc_id: str, text: str, label: str, fractions:
         scored = _truth(score(fit_terms(train, label, size=size), test), label)
         return scored.select(F.lit(name).alias("size_name"), "y_true", "y_prob", "y_pred")
 
-    return binary_metrics(side_by_side(run, fractions), ("size_name",))
+    return binary_metrics(side_by_side(df.sparkSession, run, fractions), ("size_name",))

@@ -10,7 +10,8 @@ from caselane.functions import text as tx
 from caselane.operators import classify, evaluate, ngrams
 from caselane.plans.registry import query
 from caselane.plans.tables import split_sql
-from caselane.session import durable, written
+from caselane.session import durable, scratch_path, written
+from caselane.sources.readers import load_model, save_model
 from caselane.sources.views import with_views
 
 # A short explicit list, so that the checking SQL can hold it.
@@ -181,9 +182,10 @@ def learning_curve(v):
 
 @query("cross_domain", with_views("labeled", f" SELECT lang, {ARM_SQL} FROM labeled GROUP BY lang"))
 def cross_domain(v):
-    """Fit on English, then score every language without fitting again."""
+    """Fit on English and save; the loaded model scores every language without fitting again."""
     rows = training(v)
     model = classify.fit(rows.filter("lang = 'en'"), "thread_id", "text", "escalated")
+    model = load_model(save_model(model, scratch_path(v.spark, "model")))
     return arm_rows(classify.evaluate(model, rows, "escalated", ("lang",)), "lang")
 
 

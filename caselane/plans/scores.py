@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from caselane.functions.taxonomy import COARSE_GRID, FINE_GRID
 from caselane.operators import compare, curves, evaluate, split
+from caselane.plans import registry
 from caselane.plans.registry import query
-from caselane.sources.runs import metric_record, round4, union_runs
+from caselane.sources.runs import metric_record, read_runs, round4, union_runs, write_runs
 from caselane.plans.tables import split_sql
+from caselane.session import scratch_path
 from caselane.sources.views import with_views
 
 MODELS = {"a": "p_a", "b": "p_b"}
@@ -80,6 +82,14 @@ def record(v):
     return nested.select("model_name", "model", "metrics.*", "confusion_matrix.*")
 
 
+@query("runs_round_trip", registry.CHECKS["metric_record"])
+def runs_round_trip(v):
+    """The same records written as JSON and read back."""
+    nested = metric_record(binary_metrics(v), ["model"], "two scores")
+    path = write_runs(nested, scratch_path(v.spark, "runs"))
+    return read_runs(v.spark, path, schema=nested.schema).select("model_name", "model", "metrics.*", "confusion_matrix.*")
+
+
 @query("metric_parity", with_views("scored", """, r AS (SELECT category, count(*) AS n,
     sum(CAST((p_b >= 0.5) = (y_true = 1) AS INTEGER)) AS a, sum(CAST((p_b >= 0.52) = (y_true = 1) AS INTEGER)) AS b
     FROM scored GROUP BY category), k AS (SELECT category, 'same' AS run, a / n AS recorded, a / n AS recomputed FROM r

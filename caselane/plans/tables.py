@@ -8,6 +8,7 @@ from caselane.functions import scores as sc, text as tx
 from caselane.functions.taxonomy import FLAG_NAMES
 from caselane.operators import features, profile, quality, split
 from caselane.plans.registry import query
+from caselane.session import scratch_path
 from caselane.sources import readers, runs
 from caselane.sources.views import with_views
 
@@ -56,6 +57,37 @@ def messages_typed(v):
         F.get("response_ids", F.lit(0)).alias("first_response"), "parent_id")
 
 
+REQUESTS_SQL = """SELECT lang AS flags, text AS instruction, source AS category, lang AS intent, source AS response
+    FROM documents"""
+
+
+def requests_file(v):
+    """The documents in the shared folder the way a file of requests has them."""
+    rows = v.table("documents").select(
+        F.col("lang").alias("flags"), F.col("text").alias("instruction"), F.col("source").alias("category"),
+        F.col("lang").alias("intent"), F.col("source").alias("response"))
+    return readers.write_quoted_csv(rows, scratch_path(v.spark, "requests"))
+
+
+@query("requests_csv", REQUESTS_SQL)
+def requests_csv(v):
+    return readers.read_requests(v.spark, requests_file(v))
+
+
+@query("requests_bronze", REQUESTS_SQL)
+def requests_bronze(v):
+    return readers.bronze(readers.read_requests(v.spark, requests_file(v)), scratch_path(v.spark, "bronze"), "instruction")
+
+
+@query("labeled_csv", with_views("labeled", """SELECT CAST(thread_id AS VARCHAR) AS thread_id, CAST(quality AS INTEGER) AS turn_count,
+    escalated, category, lang AS reason, source AS labeler, first_customer_text FROM labeled"""))
+def labeled_csv(v):
+    rows = v.labeled.select(
+        F.col("thread_id").cast("string").alias("thread_id"), F.col("quality").alias("turn_count"), "escalated", "category",
+        F.col("lang").alias("reason"), F.col("source").alias("labeler"), "first_customer_text")
+    return readers.read_labeled(v.spark, readers.write_quoted_csv(rows, scratch_path(v.spark, "labeled")))
+
+
 @query("json_explode", """SELECT event_id, 'k' AS name, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS value
     FROM events""")
 def json_explode(v):

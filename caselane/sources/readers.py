@@ -56,6 +56,12 @@ def read_quoted_csv(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     )
 
 
+def write_quoted_csv(df: DataFrame, path: str) -> str:
+    """CSV that :func:`read_quoted_csv` reads back: every field quoted, so that empty text is not taken for a missing one."""
+    df.write.option("header", True).option("quoteAll", True).option("quote", '"').option("escape", '"').csv(path)
+    return path
+
+
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
     return read_quoted_csv(spark, path, REQUESTS)
 

@@ -64,7 +64,7 @@ def test_table_scores_equal_the_model(spark, rows, model):
     blank = spark.createDataFrame([(-1, "", 0), (-2, None, 0)], rows.schema)
     everything = rows.unionByName(blank)
     flat = {r.thread_id: r.y_prob for r in ngrams.table_score(
-        everything, table, "thread_id", "text", STOP, intercept, 400).collect()}
+        everything, table, "thread_id", "text", STOP, intercept).collect()}
     ml = {r.thread_id: r.y_prob for r in classify.score(model, everything.na.fill({"text": ""})).collect()}
     assert flat.keys() == ml.keys()
     assert max(abs(flat[k] - ml[k]) for k in ml) < 1e-9
