@@ -15,10 +15,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from caselane.llm.rows import objects
 from caselane.operators.ordered import take_by_hash
 from caselane.session import durable
 
@@ -74,7 +74,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, table = np.zeros(BUCKETS + 1, np.int64), letters()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in objects(batch.column(0)):
                 if found := grams(text, table):
                     seen[found[0]] += 1
                     seen[BUCKETS] += 1
@@ -181,11 +181,13 @@ def predict_text(text: str | None, model: dict | None, table: np.ndarray) -> tup
 
 def identify(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
     """Every row with lang_pred and score."""
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = letters()
         for batch in batches:
-            yield pd.DataFrame([predict_text(t, model, table) for t in batch], columns=["lang_pred", "score"])
+            found = [predict_text(t, model, table) for t in objects(batch)]
+            yield pa.StructArray.from_arrays([pa.array([n for n, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
+                                             names=["lang_pred", "score"])
 
     plain = [c for c in docs.columns if c not in ("lang_pred", "score")]
     return docs.select(*plain, predict(F.col(text)).alias("_lang")).select(*plain, "_lang.lang_pred", "_lang.score")

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from caselane.llm.rows import objects
 from caselane.session import written
 
 LIMIT = 2048  # tokens of a sequence
@@ -32,7 +33,7 @@ OPEN = 1024  # bins that a task keeps open
 END = 0  # id after each document
 FULL = 0.9  # share from which on a bin is left as it is
 UNITS = 50_000  # bins that a task of the second round takes
-WORDS, PARTS = 400_000, 600_000  # words and parts of words that a worker remembers
+WORDS, PARTS = 250_000, 400_000  # words and parts of words that a worker remembers
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, place long"
 
@@ -141,7 +142,7 @@ def pieces(docs: DataFrame, row_id: str = "doc_id", text: str = "text", vocabula
         bins, known = OpenBins(limit, most, TaskContext.get().partitionId() << 32), words(vocabulary)
         for batch in batches:
             rows, kept = [], []
-            for ident, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for ident, body in zip(batch.column(0).to_pylist(), objects(batch.column(1))):
                 ids = known.ids(body)
                 for k, at in enumerate(range(0, len(ids), 4 * limit)):
                     part = ids[at:at + 4 * limit]

@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 KEY_ID, KEY_MARK = "_key_id", "_key_mark"
 
 
+ROWS_AT_A_TIME = 512
+
+
+def objects(column: pa.Array) -> Iterator:
+    """The values of an Arrow column, of which only some are Python objects at any time."""
+    for at in range(0, len(column), ROWS_AT_A_TIME):
+        yield from column.slice(at, ROWS_AT_A_TIME).to_pylist()
+
+
 def take_rows(docs: DataFrame, row_id: str, mark: Column, kept: DataFrame, repeated: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose (id, mark) is in ``kept``, one for each key, with the columns of ``docs``.
 

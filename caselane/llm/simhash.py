@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from caselane.llm.rows import KEY_ID, KEY_MARK, take_rows
+from caselane.llm.rows import KEY_ID, KEY_MARK, objects, take_rows
 from caselane.session import written
 
 WORDS = 4  # of a shingle
@@ -82,7 +82,7 @@ def coded(docs: DataFrame, row_id: str, text: str, words: int, lanes: int) -> Da
     """doc_id, mark (a hash of the text) and code (the fingerprint, 8 bytes a lane) of every row, written down."""
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [majority(shingle_hashes(t, words), lanes) for t in batch.column(2).to_pylist()]
+            found = [majority(shingle_hashes(t, words), lanes) for t in objects(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["doc_id", "mark", "code"])
 
     narrow = docs.select(F.col(row_id).cast("long").alias("doc_id"), text_mark(text).alias("mark"), F.col(text).alias("body"))
