@@ -110,10 +110,13 @@ def train(samples: DataFrame) -> list[float] | None:
 
 def labelled(docs: DataFrame, text: str = "text", most: int = SAMPLE_DOCUMENTS) -> DataFrame:
     """Random strings: what the base patterns find in all documents. Identifiers: the words, outside of these, of at most
-    ``most`` documents, those first in hash order."""
+    ``most`` different documents, those first in hash order. The order is found on hashes alone, so that no text is moved
+    but those taken."""
     body = F.coalesce(F.col(text), F.lit(""))
     secrets = docs.select(F.explode(base_values(body)).alias("value"), F.lit(True).alias("random"))
-    taken = docs.select(body.alias("body")).orderBy(F.xxhash64("body")).limit(most)
+    hashed = docs.select(F.xxhash64(body).alias("h"), body.alias("body"))
+    last = hashed.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    taken = hashed.filter(F.col("h") <= F.lit(last)).groupBy("h").agg(F.first("body").alias("body"))
     rest = F.regexp_replace(F.regexp_replace("body", ASSIGN, " "), long_runs(HEX, LEAST["hex"]), " ")
     words = taken.select(F.explode(F.regexp_extract_all(rest, F.lit(IDENTIFIER), F.lit(0))).alias("value"), F.lit(False).alias("random"))
     return secrets.unionByName(words)
