@@ -8,8 +8,12 @@ a shuffle, and within a shard pairs are settled exactly.
 On 64 bits the distances to any vantage point lie within a few bits of 32, so with the whole fingerprint and radius 4 about
 70 % of all rows would overlap every border. Therefore each tree looks at some bits only, its mask: of six bands that part
 the 64 bits, four differing bits touch four at most, so the pair agrees in some two bands, and the 15 trees over pairs of
-bands need radius 0 there. The triangle bound holds on masked bits as well, nothing is missed and nothing overlaps. Wider
-fingerprints for a similarity bound use many narrow masks instead.
+bands need radius 0 there. The triangle bound holds on masked bits as well, nothing is missed and nothing overlaps.
+
+``dedup``, for a similarity bound, takes candidates from the same forest over other codes, a byte of each of 96 minhashes
+of the set of shingles, so that neither repeats nor short texts count more or less than their sets. A mask is four bytes
+and a pair at the bound of 0.8 shares one of 24 with more than 99.999 %. A loose bound on the distance gives groups, and
+within a group texts are linked by the exact similarity of their sets alone.
 
 Trees are built from a bounded sample of distinct fingerprints (``SAMPLE``) and every distinct fingerprint is routed. A
 shard reports a spanning forest of its links, never all pairs of a group; components follow from contracting the
@@ -23,8 +27,8 @@ values. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
-from math import acos, pi
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +47,10 @@ CHUNK = 1 << 12  # shingles whose bits are counted at a time
 PART = 1 << 14  # rows that the part of a leaf holds on average
 BLOCK = 1 << 13  # rows above which a part is cut into blocks, each pair of which is a shard of its own
 
-NEAR_WORDS, NEAR_SIMILARITY, NEAR_LANES, NEAR_TREES, NEAR_WIDTH = 5, 0.8, 8, 40, 16
+NEAR_WORDS, NEAR_SIMILARITY, NEAR_LANES, NEAR_TREES = 5, 0.8, 12, 24  # eight minhashes a lane
+LOOSER = 0.2  # how far below the bound the estimated similarity of candidates may lie: over four standard deviations
+NEAR_BLOCK = 1 << 20  # shingles above which a group is cut into blocks, each pair of which is a shard of its own
+LEAST_SIZE = 1 << 7  # shingles that a text counts for at least
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -61,28 +68,34 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.fromiter((xxh64_intdigest(line[s:e], SEED) for s, e in zip(starts, ends[words - 1:].tolist())), np.uint64, len(found) - words + 1)
 
 
-def majority(hashes: np.ndarray, lanes: int = 1) -> bytes:
-    """The fingerprint: lane 0 takes the hashes as they are, further lanes mix them with a constant of their own."""
-    counts = np.zeros(64 * lanes, np.int64)
+def majority(hashes: np.ndarray) -> bytes:
+    """The fingerprint: the bits that more than half of the hashes have."""
+    counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), CHUNK):
-        part = hashes[at:at + CHUNK, None]
-        if lanes > 1:
-            mixed = (part ^ (np.arange(lanes, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
-            mixed ^= mixed >> np.uint64(32)
-            mixed *= np.uint64(0xD6E8FEB86659FD93)
-            mixed ^= mixed >> np.uint64(29)
-            mixed[:, :1] = part
-            part = np.ascontiguousarray(mixed)
-        bits = np.unpackbits(np.ascontiguousarray(part).view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
+        bits = np.unpackbits(hashes[at:at + CHUNK, None].view(np.uint8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
     return np.packbits(2 * counts > len(hashes), bitorder="little").tobytes()
 
 
-def coded(docs: DataFrame, row_id: str, text: str, words: int, lanes: int) -> DataFrame:
-    """doc_id, mark (a hash of the text) and code (the fingerprint, 8 bytes a lane) of every row, written down."""
+def minhash(grams: np.ndarray, lanes: int) -> bytes:
+    """The lowest byte of the least mixed hash, for each of eight mixings a lane; zeros without a shingle."""
+    if not len(grams):
+        return bytes(8 * lanes)
+    keys = np.arange(1, 8 * lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    least = np.full(len(keys), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(grams), CHUNK):
+        mixed = (grams[at:at + CHUNK, None] ^ keys) * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        least = np.minimum(least, mixed.min(axis=0))
+    return ((least ^ (least >> np.uint64(32))) & np.uint64(255)).astype(np.uint8).tobytes()
+
+
+def coded(docs: DataFrame, row_id: str, text: str, words: int) -> DataFrame:
+    """doc_id, mark (a hash of the text) and code (the fingerprint, 8 bytes) of every row, written down."""
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [majority(shingle_hashes(t, words), lanes) for t in objects(batch.column(2))]
+            found = [majority(shingle_hashes(t, words)) for t in objects(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["doc_id", "mark", "code"])
 
     narrow = docs.select(F.col(row_id).cast("long").alias("doc_id"), text_mark(text).alias("mark"), F.col(text).alias("body"))
@@ -100,21 +113,15 @@ def band_masks(lanes: int = 1, bands: int = 6, joined: int = 2) -> np.ndarray:
     return np.array(rows, np.uint64)
 
 
-def random_masks(lanes: int, trees: int, width: int, seed: int = 0) -> np.ndarray:
-    """Masks of ``width`` bits drawn without return, begun anew when all bits are used."""
-    rng, rows, order = np.random.default_rng(seed), [], []
-    for _ in range(trees):
-        if len(order) < width:
-            order = rng.permutation(64 * lanes).tolist()
-        bits = np.zeros(64 * lanes, np.uint8)
-        bits[[order.pop() for _ in range(width)]] = 1
-        rows.append(np.packbits(bits, bitorder="little").view(np.uint64))
-    return np.array(rows, np.uint64)
+def byte_masks(lanes: int, trees: int) -> np.ndarray:
+    """Masks that part the bytes of a code among the trees."""
+    tree = np.repeat(np.arange(64 * lanes // 8) * trees // (64 * lanes // 8), 8)
+    return np.array([np.packbits(tree == t, bitorder="little").view(np.uint64) for t in range(trees)], np.uint64)
 
 
-def similar_bits(similarity: float, lanes: int) -> int:
-    """Expected differing bits of two sets of equal size with this Jaccard similarity."""
-    return int(64 * lanes * acos(2 * similarity / (1 + similarity)) / pi)
+def loose_bits(similarity: float, lanes: int) -> int:
+    """Differing bits of two minhash codes, four for each minhash that differs, at a similarity below the given one."""
+    return int(32 * lanes * (1 - similarity + LOOSER))
 
 
 def distances(codes: np.ndarray, point: np.ndarray) -> np.ndarray:
@@ -282,24 +289,108 @@ def classes(codes: DataFrame, masks: np.ndarray, lanes: int, bits: int, radius:
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint and component_id with shingles of four words and links within four bits."""
-    codes = coded(docs, "doc_id", "text", WORDS, 1)
+    codes = coded(docs, "doc_id", "text", WORDS)
     rows = written(classes(codes, band_masks(), 1, BITS), "classes")
     first = written(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "firsts")
     highest_first = F.concat(*[F.substring("code", 8 - k, 1) for k in range(8)])
     return rows.join(first, "root").select("doc_id", F.lower(F.hex(highest_first)).alias("fingerprint"), "component_id")
 
 
+def sketched(docs: DataFrame, row_id: str, text: str, words: int, lanes: int) -> DataFrame:
+    """doc_id, mark, code (minhashes), grams (a hash of the set of shingles) and size (of the set) of every row, written down."""
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            found = []
+            for t in objects(batch.column(2)):
+                grams = np.unique(shingle_hashes(t, words))
+                found.append((minhash(grams, lanes), xxh64_intdigest(grams.tobytes(), SEED) - (1 << 63), len(grams)))
+            code, mark, size = list(zip(*found)) or [()] * 3
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(code, pa.binary()), pa.array(mark, pa.int64()), pa.array(size, pa.int64())],
+                ["doc_id", "mark", "code", "grams", "size"])
+
+    narrow = docs.select(F.col(row_id).cast("long").alias("doc_id"), text_mark(text).alias("mark"), F.col(text).alias("body"))
+    return written(narrow.mapInArrow(sketch, "doc_id long, mark long, code binary, grams long, size long"), "sketches")
+
+
+def set_links(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets (sorted arrays) whose Jaccard similarity is at least the given one.
+
+    One set after the other is compared with all, from the smallest component; what has been compared is settled, and when
+    the others are all of one component no pair is left that could tell anything.
+    """
+    bound = Fraction(str(similarity))
+    sizes = np.array([len(s) for s in sets], np.int64)
+    grams, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(grams, kind="stable")
+    grams, owner = grams[order], owner[order]
+    label, waiting, links = np.arange(len(sets)), np.ones(len(sets), bool), []
+    while True:
+        counts = np.bincount(label[waiting], minlength=len(sets))
+        if np.count_nonzero(counts) < 2:
+            return links
+        smallest = np.argmin(np.where(counts > 0, counts, len(sets) + 1))
+        at = np.flatnonzero(waiting & (label == smallest))[0]
+        first, last = np.searchsorted(grams, sets[at], "left"), np.searchsorted(grams, sets[at], "right")
+        many = last - first
+        places = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+        shared = np.bincount(owner[places], minlength=len(sets))
+        alike = shared * bound.denominator >= bound.numerator * (sizes[at] + sizes - shared)
+        for k in np.flatnonzero(alike).tolist():
+            if label[k] != label[at]:
+                links.append((int(nodes[at]), int(nodes[k])))
+                label[label == label[k]] = label[at]
+        waiting[at] = False
+
+
+def verified(docs: DataFrame, row_id: str, text: str, rows: DataFrame, words: int, similarity: float, block: int) -> DataFrame:
+    """u, v: links between the sets of shingles (their hashes) of a root that connect all pairs of at least this similarity.
+
+    Each set is taken from one text. The sets of a root are one shard; a root with too many shingles for a task is cut
+    into blocks, and every pair of blocks is a shard.
+    """
+    sets = rows.groupBy("root", "grams").agg(F.max(F.greatest("size", F.lit(LEAST_SIZE))).alias("size"),
+                                             F.min(F.struct("doc_id", "mark")).alias("least"))
+    sets = written(sets.select("root", "grams", "size", F.col("least.doc_id").alias(KEY_ID), F.col("least.mark").alias(KEY_MARK)), "sets")
+    crowds = written(sets.groupBy("root").agg(F.count(F.lit(1)).alias("many"), F.sum("size").alias("size")).filter("many > 1")
+                     .select("root", F.expr(f"CAST((size - 1) DIV {block} + 1 AS INT)").alias("blocks")), "crowds")
+    wanted = written(sets.select("root", "grams", KEY_ID, KEY_MARK).join(crowds, "root"), "wanted")
+
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t, words)).tobytes() for t in objects(batch.column(3))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], ["root", "grams", "blocks", "members"])
+
+    def link(shard: pa.Table) -> pa.Table:
+        nodes, at = np.unique(shard.column("grams").to_numpy(), return_index=True)
+        members = shard.column("members")
+        found = set_links(nodes, [np.frombuffer(members[k].as_py(), np.uint64) for k in at.tolist()], similarity)
+        return pa.table({"u": pa.array([min(p) for p in found], pa.int64()), "v": pa.array([max(p) for p in found], pa.int64())})
+
+    narrow = docs.select(F.col(row_id).cast("long").alias("_id"), text_mark(text).alias("_mark"), F.col(text).alias("_body"))
+    texts = narrow.join(wanted, F.col("_id").eqNullSafe(F.col(KEY_ID)) & (F.col("_mark") == F.col(KEY_MARK)))
+    taken = texts.select("root", "grams", "blocks", "_body").mapInArrow(to_sets, "root long, grams long, blocks int, members binary")
+    own = F.pmod(F.xxhash64("grams"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j")))
+    shards = taken.select("root", "grams", "members", F.explode(pairs).alias("pair"))
+    return shards.groupBy("root", "pair").applyInArrow(link, "u long, v long").distinct()
+
+
 def dedup(docs: DataFrame, row_id: str = "doc_id", text: str = "text", words: int = NEAR_WORDS,
-          similarity: float = NEAR_SIMILARITY, lanes: int = NEAR_LANES) -> DataFrame:
+          similarity: float = NEAR_SIMILARITY, lanes: int = NEAR_LANES, block: int = NEAR_BLOCK) -> DataFrame:
     """One row of each group of near-duplicates, that with the smallest id, with the input's columns.
 
-    Similarity is estimated from fingerprints of 64 bits a lane: documents are linked if they differ in no more bits than
-    documents of the given Jaccard similarity do on average. Rows that agree in id and text are told apart by the others.
+    Documents are linked if the Jaccard similarity of their sets of shingles is at least the given one; a group is what
+    links connect, directly or by others. Texts without words are alike. Rows that agree in id and text are told apart by
+    the others.
     """
-    codes = coded(docs, row_id, text, words, lanes)
-    rows = written(classes(codes, random_masks(lanes, NEAR_TREES, NEAR_WIDTH), lanes, similar_bits(similarity, lanes)), "classes")
+    codes = sketched(docs, row_id, text, words, lanes)
+    rows = written(classes(codes, byte_masks(lanes, NEAR_TREES), lanes, loose_bits(similarity, lanes)).drop("code"), "classes")
+    near = components(verified(docs, row_id, text, rows, words, similarity, block)).select(F.col("node").alias("grams"), F.col("root").alias("_near"))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("mark"))
-    kept = written(rows.groupBy("root").agg(F.min(order).alias("least"))
+    kept = written(rows.join(near, "grams", "left").groupBy(F.coalesce("_near", "grams").alias("group")).agg(F.min(order).alias("least"))
                    .select(F.col("least.doc_id").alias(KEY_ID), F.col("least.mark").alias(KEY_MARK)), "kept")
     repeated = written(codes.groupBy(F.col("doc_id").alias(KEY_ID), F.col("mark").alias(KEY_MARK)).count()
                        .filter("count > 1").drop("count"), "repeated")

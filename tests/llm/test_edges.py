@@ -252,6 +252,37 @@ def test_near_dedup(spark):
     assert sorted(r.doc_id for r in simhash.dedup(documents(spark, rows)).collect()) == list(range(30))
 
 
+def test_near_dedup_at_the_bound(spark):
+    def text(k, changed=()):
+        return " ".join(f"new{k}x{i}" if i in changed else f"w{k}x{i}" for i in range(454))  # 450 shingles
+
+    bound, under = range(20, 440, 42), range(20, 440, 38)  # 400 of 500 and 390 of 510 or so alike
+    assert len(bound) == 10 and len(under) > 10
+    rows = [(k, text(k, c), "en", "a") for k in range(120) for c in ((), bound)]
+    rows = [(2 * k + (k % 2), t, lang, s) for k, (_, t, lang, s) in enumerate(rows)]
+    firsts = {r[0] for r in rows[::2]}
+    rows += [(10_000 + 2 * k + j, text(5000 + k, c), "en", "a") for k in range(30) for j, c in enumerate(((), under))]
+    firsts |= set(range(10_000, 10_060))
+    short = [" ".join(f"s{k}y{i}" for i in range(9)) for k in range(120)]  # 5 shingles, of which the copy has 4
+    rows += [(20_000 + 2 * k + j, t, "en", "a") for k, s in enumerate(short) for j, t in enumerate((s, s.rsplit(" ", 1)[0]))]
+    firsts |= set(range(20_000, 20_240, 2))
+    assert {r.doc_id for r in simhash.dedup(documents(spark, rows)).collect()} == firsts
+    assert {r.doc_id for r in simhash.dedup(documents(spark, rows[:40]), block=600).collect()} == {r[0] for r in rows[:40:2]}
+
+
+def test_set_links_connect_every_pair():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.choice(40, rng.integers(0, 12))).astype(np.uint64) for _ in range(150)]
+    sets += [np.unique(np.append(s, np.uint64(99))) for s in sets[:60]]
+    near = [(i, j) for i in range(210) for j in range(i) if 5 * len(set(sets[i]) & set(sets[j])) >= 4 * len(set(sets[i]) | set(sets[j]))]
+    links = simhash.set_links(np.arange(210), sets, 0.8)
+    assert {(max(p), min(p)) for p in links} <= set(near) and len(near) > len(links)
+    label = list(range(210))
+    for u, v in links:
+        label = [label[u] if x == label[v] else x for x in label]
+    assert all(label[i] == label[j] for i, j in near)
+
+
 PAGES = [(1, "http://a.example/x", "<p>" + "same payload " * 20), (2, "http://a.example/ä b\r\n%41", "<p>" + "same payload " * 20), (3, None, None), (4, "http://b.example", ""),
          (5, "http://b.example", "short"), (6, "http://b.example", "short"), (None, "http://c.example", "<p>" + "same payload " * 20), (7, "http://a.example/x", "é" * 3_000_000),
          (1, "http://a.example/x", "<p>" + "same payload " * 20)]
