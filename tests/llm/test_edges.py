@@ -270,6 +270,13 @@ def test_near_dedup_at_the_bound(spark):
     assert {r.doc_id for r in simhash.dedup(documents(spark, rows[:40]), block=600).collect()} == {r[0] for r in rows[:40:2]}
 
 
+def test_repeated_lines_link_nothing(spark):
+    line = "this line of eleven words stands in each of the documents "
+    rows = [(k, line * 60 + " ".join(f"own{k}x{i}" for i in range(404)), "en", "a") for k in range(8)]
+    rows += [(100 + k, rows[k][1].replace(line, line * 2, 1), "en", "a") for k in range(8)]  # the same set
+    assert {r.doc_id for r in simhash.dedup(documents(spark, rows)).collect()} == set(range(8))
+
+
 def test_set_links_connect_every_pair():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.choice(40, rng.integers(0, 12))).astype(np.uint64) for _ in range(150)]
