@@ -1,14 +1,14 @@
 """Main text of web pages by site style trees.
 
 The pages of a host are merged into one tree whose nodes are paths of presentation styles (tag, role, class words). For
-each node the tree counts pages, distinct contents and distinct child sequences. Its importance combines the entropy of its
-presentation and of its contents over the pages that have it: what looks and reads the same everywhere is low, what differs
+each node the tree counts pages, contents and child sequences. Its importance combines the entropy of its presentation and of its
+contents, 1 - sum(n log n) / (N log N), over the pages that have it, copies of a whole page on a host counted once: what looks and reads the same everywhere is low, what differs
 from page to page is high. Styles that declare themselves (nav, footer, adverts, comments, scripts, ...) have importance 0,
 declared main content (article, main) has 1; a node that fewer than ``FEW`` pages have proves nothing and keeps the importance
 of a neutral style. Each page is then cut at its low nodes, and the text of what is left is read, only of declared main
 content where the page has some.
 
-Counting is a two-level aggregate over (host, node, content) with map-side folding, so a host with a third of all pages is
+Pages are folded by host and hash of their html. Counting is a two-level aggregate over (host, node, content) with map-side folding, so a host with a third of all pages is
 no hot task. Only the low nodes of each host are joined to its pages: the table has been written, so Spark broadcasts it
 below its own size limit and joins by shuffle, splitting hot hosts, above.
 
@@ -56,6 +56,7 @@ CUT_OFF = re.compile(r"<[/!?a-zA-Z]")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 NEUTRAL, NOISE, MAIN = 0, 1, 2
+NODES = pa.list_(pa.struct([("node", pa.int64()), ("kind", pa.int64()), ("content", pa.int64()), ("children", pa.int64()), ("first", pa.bool_())]))
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -225,25 +226,29 @@ def style_tree(pages: DataFrame) -> DataFrame:
     """host, node, kind, pages, importance: the merged trees of all hosts."""
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, rows = [], []
-            for name, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = page_nodes(html or "")
-                hosts += [name] * len(found)
-                rows += found
-            columns = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *[pa.array(c, pa.int64()) for c in columns]],
-                                             ["host", "node", "kind", "content", "children"])
-
-    found = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(nodes, "host string, node long, kind long, content long, children long")
-    each = found.select("host", "node", "kind", F.explode(F.array(F.struct(F.lit(True).alias("is_content"), F.col("content").alias("value")),
-                                                                  F.struct(F.lit(False).alias("is_content"), F.col("children").alias("value")))).alias("f"))
-    alike = each.groupBy("host", "node", "f.is_content", "f.value").agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind"))
+            found = []
+            for html in batch.column(2).to_pylist():
+                seen, rows = set(), []
+                for path, kind, content, children in page_nodes(html or ""):
+                    rows.append({"node": path, "kind": kind, "content": content, "children": children, "first": path not in seen})
+                    seen.add(path)
+                found.append(rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, NODES)], ["host", "mark", "nodes"])
+
+    marked = pages.select(host(F.col("url")).alias("host"), F.xxhash64(F.coalesce("html", F.lit(""))).alias("mark"), "html")
+    whole = marked.mapInArrow(nodes, "host string, mark long, nodes array<struct<node:long,kind:long,content:long,children:long,first:boolean>>")
+    once = whole.groupBy("host", "mark").agg(F.first("nodes").alias("nodes"))  # a page and its copies on a host
+    found = once.select("host", F.explode("nodes").alias("n")).select("host", "n.*")
+    each = found.select("host", "node", "kind", "first", F.explode(F.array(F.struct(F.lit(True).alias("is_content"), F.col("content").alias("value")),
+                                                                           F.struct(F.lit(False).alias("is_content"), F.col("children").alias("value")))).alias("f"))
+    alike = each.groupBy("host", "node", "f.is_content", "f.value").agg(
+        F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind"), F.sum(F.col("first").cast("long")).alias("firsts"))
     n = F.col("n").cast("double")
     tree = alike.groupBy("host", "node").agg(
-        F.max("kind").alias("kind"), F.sum(F.when(F.col("is_content"), F.col("n"))).alias("pages"),
-        F.avg(F.when(F.col("is_content"), F.log(n))).alias("repeats"), F.sum(F.when(~F.col("is_content"), n * F.log(n))).alias("shapes"))
-    size = F.log(F.col("pages").cast("double"))
-    contents, presentation = 1 - F.col("repeats") / size, 1 - F.col("shapes") / (F.col("pages") * size)
+        F.max("kind").alias("kind"), F.sum(F.when(F.col("is_content"), F.col("firsts"))).alias("pages"), F.sum(F.when(F.col("is_content"), n)).alias("times"),
+        F.sum(F.when(F.col("is_content"), n * F.log(n))).alias("repeats"), F.sum(F.when(~F.col("is_content"), n * F.log(n))).alias("shapes"))
+    most = F.col("times") * F.log("times")
+    contents, presentation = 1 - F.col("repeats") / most, 1 - F.col("shapes") / most
     judged = F.when(F.col("pages") < FEW, F.lit(1.0)).otherwise(CONTENT * contents + (1 - CONTENT) * presentation)
     importance = F.when(F.col("kind") == NOISE, F.lit(0.0)).when(F.col("kind") == MAIN, F.lit(1.0)).otherwise(judged)
     return tree.select("host", "node", "kind", "pages", importance.alias("importance"))

@@ -348,6 +348,15 @@ def test_low_branches_go(spark):
     assert tree == {True: 30, False: 60} or tree.keys() == {True, False}
 
 
+def test_menu_with_variants_goes(spark):
+    page = "<html><body><div class=top>{0}</div><div class=story><p>story {1} alone</p></div></body></html>"
+    rows = [(k, "http://h.example/" + str(k), page.format(f"Menu {k}" if k % 10 == 0 else "Menu", k)) for k in range(200)]
+    got = {r.page_id: r.text for r in styletree.report(pages(spark, rows)).collect()}
+    assert got == {k: f"story {k} alone" for k in range(200)}
+    copied = [(k, "http://c.example/" + str(k), page.format("Menu", 7)) for k in range(40)]
+    assert {r.text for r in styletree.report(pages(spark, copied)).collect()} == {"Menu\nstory 7 alone"}
+
+
 def test_copies_of_one_article_stay(spark):
     page = SITE.format(main="<article><h1>Same</h1><p>The same words</p></article>")
     got = {r.text for r in styletree.report(pages(spark, [(k, "http://h.example/", page) for k in range(40)])).collect()}
