@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caselane.llm import exactdup, langid, merkle, mixing, packing, secrets, sharding, simhash, styletree, warc
+from caselane.llm import (
+    exactdup, filteraudit, langid, merkle, mixing, nndescent, packing, secrets, sharding, simhash, styletree, variants, warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def over(table: str, report: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, folder: report(spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet"))
+def over(*tables_and_report) -> Query:
+    """A query that gives the named tables to the operator."""
+    *tables, report = tables_and_report
+    return lambda spark, folder: report(*[spark.read.parquet(f"{folder.rstrip('/')}/{t}.parquet") for t in tables])
 
 
 QUERIES: dict[str, Query] = {
@@ -26,7 +30,10 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": over("documents", sharding.report),
     "op9_merkle": over("documents", merkle.report),
     "op10_simhash": over("documents", simhash.report),
+    "op11_variants": over("documents", variants.report),
+    "op12_filter_audit": over("documents", "labels", filteraudit.report),
+    "op13_nn_descent": over("embeddings", nndescent.report),
 }
 
 SQL: dict[str, str] = {"op1_mixing": mixing.SQL, "op2_exact_dedup": exactdup.SQL, "op4_warc": warc.SQL,
-                       "op9_merkle": merkle.SQL}
+                       "op9_merkle": merkle.SQL, "op12_filter_audit": filteraudit.SQL, "op13_nn_descent": nndescent.SQL}

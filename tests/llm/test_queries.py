@@ -13,7 +13,7 @@ from xxhash import xxh64_intdigest
 import __spark_entry__ as contract
 from caselane.llm import queries
 
-TABLES = ("documents", "pages")
+TABLES = ("documents", "pages", "labels", "embeddings")
 
 
 @pytest.fixture(scope="module")
@@ -41,7 +41,7 @@ def test_query_equals_sql(spark, folder, name):
 
 def test_every_operator_is_registered():
     names = contract.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13 and "pipeline" in names
 
 
 def test_languages(spark, folder, docs):
