@@ -6,7 +6,8 @@ leaves less than nine tenths full is then dealt out again, whole bins as pieces,
 number asks for; the same rule packs them together. So the loss does not grow with the number of tasks.
 
 Tokens are found per white-space separated word, each distinct word once per Python worker while it is remembered; the
-tokenizer has no token across white space, so this gives the ids of the whole text.
+tokenizer has no token across white space, so this gives the ids of the whole text. The strings of its added tokens are
+taken out first, wherever they stand.
 
 Defined cases: a null or empty text is the end token alone. Repeated rows are packed as rows of their own. An empty table
 gives an empty result. Only documents longer than a sequence are cut.
@@ -89,7 +90,9 @@ class Words(dict):
 
         super().__init__()
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = {t.content: number for number, t in self.whole.get_added_tokens_decoder().items()}
+        # the tokenizer takes these strings out of the text as it is, before anything else
+        self.apart = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
         self.part, self.parts, self.letters = self.whole.model.tokenize, {}, byte_letters()
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         # letters whose lower case and normal form depend on nothing else; other words go to the tokenizer as they are
@@ -119,8 +122,15 @@ class Words(dict):
     def ids(self, text: str | None) -> bytes:
         """The ids of a text followed by the end token."""
         text = text or ""
+        if self.apart and any(t in text for t in self.added):
+            found = [self.added[part].to_bytes(4, "little") if part in self.added else self.of_text(part) for part in self.apart(text)]
+        else:
+            found = [self.of_text(text)]
+        return b"".join(found) + END.to_bytes(4, "little")
+
+    def of_text(self, text: str) -> bytes:
         words = re.split("[ \t\n\r]+", text) if re.search("[\x1c-\x1f]", text) else text.split()
-        return b"".join(map(self.__getitem__, words)) + END.to_bytes(4, "little")
+        return b"".join(map(self.__getitem__, words))
 
 
 def words(path: str | None) -> Words:

@@ -164,9 +164,9 @@ def test_words_of_any_script():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     known = packing.Words(public_tokenizers.path("word_bpe_49k.json"))
     for text in ("", "It's I'M we'll 'sx d'd", "ΑΣ ΣΑΣ.σ İstanbul ǅ", "é é ẛ̣ ﬁ", "a\x1cb\x1f c\x85d\xa0e f　g", "日本語 テスト 123 ４５", "😀👍🏽 <|endoftext|> x",
+                 "a <|endoftext|> b", "a<|startoftext|>é<|endoftext|><|endoftext|>c d <|EndOfText|> <|endoftext", "<|endoftext|>", " <|endoftext|>́x",
                  "mixed,CASE...and--dashes 3.14", "İı", "नमस्ते दुनिया", "a​b ﻿c", GERMAN, LONG[:5000]):
         assert np.frombuffer(known.ids(text), "<u4").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0], text
 

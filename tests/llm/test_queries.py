@@ -76,7 +76,6 @@ def test_packing(spark, folder, docs):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     by_doc, places = defaultdict(dict), defaultdict(list)
     for r in run(spark, folder, "op7_packing").collect():
         by_doc[r.doc_id][r.piece] = r
