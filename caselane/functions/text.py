@@ -98,6 +98,20 @@ def unigrams_and_bigrams(items: Column) -> Column:
     return let(items, both)
 
 
+def folded(items: Column) -> Column:
+    """The distinct items in order, each a struct of ``term`` and ``tf``, how often it occurs.
+
+    The items are sorted and runs of equals counted in place, so a row is folded before anything moves.
+    """
+
+    def runs(ordered: Column) -> Column:
+        starts = F.array_compact(F.transform(ordered, lambda x, i: F.when((i == 0) | (F.get(ordered, i - 1) != x), i)))
+        return let(starts, lambda at: F.transform(at, lambda i, k: F.struct(
+            F.get(ordered, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(ordered)) - i).cast("long").alias("tf"))))
+
+    return let(F.sort_array(items), runs)
+
+
 def normalize(text: Column) -> Column:
     """Handles and links become single tokens."""
     linked = F.regexp_replace(clean(text), URL, "HTTPURL")

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.feature import (
     CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, SQLTransformer, StopWordsRemover,
 )
@@ -19,22 +17,20 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.wrapper import JavaWrapper
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from caselane.functions.scores import decide
 from caselane.functions.text import WORD
 from caselane.operators.evaluate import binary_metrics
 from caselane.functions import text as tx
-from caselane.operators.ngrams import MAX_FEATURES, class_weights, count_terms
+from caselane.operators.ngrams import MAX_FEATURES, count_terms
 from caselane.operators.ordered import fill_cores
+from caselane.operators.solver import Arm, Fit, prepare, score as score_rows, solve
 from caselane.operators.split import nested_train_sizes, stratified_split, three_way_split
 from caselane.session import durable, written
 
 
-# Fits that run side by side; each is a chain of small jobs that leaves cores idle.
-ARMS = 4
-
-
 @F.arrow_udf(VectorUDT())
 def _one_plus_log(vectors: pa.Array) -> pa.Array:
     """Replace the counts inside sparse vectors by ``1 + ln(count)``, a whole batch at a time."""
@@ -81,19 +77,23 @@ def term_table(df: DataFrame, doc_id: str, text: str, label: str, stop: list[str
     return written(rows.withColumn("_terms", tx.unigrams_and_bigrams(F.col("_words"))), "terms")
 
 
-def vector_stages(terms: DataFrame, column: str = "_terms", size: int = MAX_FEATURES) -> list:
-    """Stages from terms to unit-length TF-IDF vectors; only the vocabulary (at most ``size`` rows) reaches the driver."""
-    rows = count_terms(terms.select(F.col(column).alias("_terms")), size).collect()
-    n_docs = terms.count()
-    scale = Vectors.dense([float(np.log((n_docs + 1) / (r.df + 1)) + 1) for r in rows])
+def weighing_stages(vocabulary: list[str], idf: np.ndarray, column: str = "_terms") -> list:
+    """Stages from terms to unit-length TF-IDF vectors."""
     return [
-        CountVectorizerModel.from_vocabulary([r.term for r in rows], inputCol=column, outputCol="_counts"),
+        CountVectorizerModel.from_vocabulary(vocabulary, inputCol=column, outputCol="_counts"),
         SublinearTf("_counts", "_damped"),
-        ElementwiseProduct(scalingVec=scale, inputCol="_damped", outputCol="_weighted"),
+        ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_damped", outputCol="_weighted"),
         Normalizer(p=2.0, inputCol="_weighted", outputCol="features"),
     ]
 
 
+def vector_stages(terms: DataFrame, column: str = "_terms", size: int = MAX_FEATURES) -> list:
+    """The stages fitted on a table of terms; only the vocabulary (at most ``size`` rows) reaches the driver."""
+    rows = count_terms(terms.select(F.col(column).alias("_terms")), size).collect()
+    n_docs = terms.count()
+    return weighing_stages([r.term for r in rows], np.array([np.log((n_docs + 1) / (r.df + 1)) + 1 for r in rows]), column)
+
+
 def fit_features(df: DataFrame, doc_id: str, text: str, stop: list[str] | None = None,
                  size: int = MAX_FEATURES) -> PipelineModel:
     """Text → unit-length TF-IDF vector."""
@@ -107,44 +107,33 @@ def featurize(features: PipelineModel, df: DataFrame) -> DataFrame:
     return features.transform(df).select(*df.columns, "features")
 
 
-def fit_weights(train: DataFrame, label: str, c: float = 1.0, max_iter: int = 1000):
-    """L2 logistic regression on balanced classes, over rows that already carry ``features``.
+def linear_model(coefficients: np.ndarray, intercept: float) -> LogisticRegressionModel:
+    """Coefficients found elsewhere as a Spark ML model on ``features``, which scores, saves and loads as any other."""
+    made = JavaWrapper._new_java_obj(
+        "org.apache.spark.ml.classification.LogisticRegressionModel", f"LogisticRegression_{uuid.uuid4().hex[:12]}",
+        Vectors.dense(coefficients), float(intercept))
+    return LogisticRegressionModel(made).setFeaturesCol("features")
 
-    The class weights sum to the row count n, so a penalty of ``1 / (C n)`` weighs loss against size as the
-    usual C does. Every iteration is a job over all partitions, so partitions beyond one per core are merged first
-    where they are nearly empty; Spark ML keeps the blocks of rows in memory while it iterates.
-    """
-    weights = {r.label: r for r in class_weights(train, label).collect()}
-    n = sum(r.n for r in weights.values())
-    parts = max(train.sparkSession.sparkContext.defaultParallelism, n // 5_000)
-    dealt = train.coalesce(parts) if parts < train.rdd.getNumPartitions() else train
-    weighted = dealt.withColumn(
-        "_weight", F.when(F.col(label) == 1, F.lit(weights[1].weight)).otherwise(F.lit(weights[0].weight)))
-    return LogisticRegression(
-        featuresCol="features", labelCol=label, weightCol="_weight", regParam=1.0 / (c * n),
-        elasticNetParam=0.0, standardization=False, maxIter=max_iter,
-    ).fit(weighted)
+
+def model_stages(fit: Fit, column: str = "_terms") -> list:
+    """A fitted arm as stages from terms to probabilities."""
+    return [*weighing_stages(fit.terms, fit.idf, column), linear_model(fit.coefficients, fit.intercept)]
 
 
 def fit(train: DataFrame, doc_id: str, text: str, label: str, c: float = 1.0, stop: list[str] | None = None,
         size: int = MAX_FEATURES, max_iter: int = 1000) -> PipelineModel:
-    """The whole classifier as one model that can be saved and loaded."""
+    """The whole classifier as one model that can be saved and loaded: L2 logistic regression on balanced classes."""
     stop = default_stopwords() if stop is None else stop
-    terms = term_table(train, doc_id, text, label, stop)
-    return PipelineModel([*term_stages(text, stop), *fit_terms(terms, label, c, "_terms", size, max_iter).stages])
+    terms = term_table(train, doc_id, text, label, stop).withColumn("_all", F.lit(1))
+    problem = prepare(terms, doc_id, label, [Arm("fit", "_all", c)], size)
+    return PipelineModel([*term_stages(text, stop), *model_stages(solve(problem, most=max_iter)[0])])
 
 
-def fit_terms(terms: DataFrame, label: str, c: float = 1.0, column: str = "_terms", size: int = MAX_FEATURES,
-              max_iter: int = 1000, stages: list | None = None) -> PipelineModel:
-    """The classifier on texts that have been taken apart; ``stages`` are vector stages fitted before on the same rows."""
-    stages = stages or vector_stages(terms, column, size)
-    return PipelineModel([*stages, fit_weights(featurize(PipelineModel(stages), terms), label, c, max_iter)])
-
-
-def side_by_side(spark: SparkSession, run: Callable[[object], DataFrame], arms: Iterable) -> DataFrame:
-    """The union of what ``run`` returns for each arm; a few arms are fitted at a time."""
-    with ThreadPoolExecutor(ARMS) as pool:
-        return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(spark)(run), list(arms)))
+def scored_arms(rows: DataFrame, row_id: str, label: str, arms: list[Arm], size: int = MAX_FEATURES) -> DataFrame:
+    """row_id, y_true, arm, y_prob and y_pred: every row scored by every arm, all of them fitted in shared passes."""
+    problem = prepare(rows, row_id, label, arms, size)
+    scored = score_rows(problem, solve(problem))
+    return scored.select(F.col("id").alias(row_id), F.col("label").alias("y_true"), "arm", "y_prob", decide(F.col("y_prob")).alias("y_pred"))
 
 
 def score(model: PipelineModel, df: DataFrame, threshold: float = 0.5, spread_by: str | None = None) -> DataFrame:
@@ -206,58 +195,67 @@ def evaluate(model: PipelineModel, df: DataFrame, label: str, keep: tuple[str, .
     return binary_metrics(_truth(score(model, df), label).select(*keep, "y_true", "y_prob", "y_pred"), keep)
 
 
+def selection_scores(df: DataFrame, doc_id: str, text: str, label: str, grid: list[float], ngrams: tuple[int, ...] = (1, 2),
+                     seed: int = 42, stop: list[str] | None = None, size: int = MAX_FEATURES) -> DataFrame:
+    """Scores of the validation rows under each setting, C with single words or with pairs too, fitted on training rows."""
+    terms = term_table(df, doc_id, text, label, stop)
+    ids = three_way_split(terms.select(doc_id, label), label, doc_id, seed=seed).filter("split <> 'test'")
+    parts = written(terms.join(ids.select(doc_id, "split"), doc_id).withColumn("_train", (F.col("split") == "train").cast("int")), "parts")
+    settings = {f"{c}|{n}": (float(c), n) for n in ngrams for c in grid}
+    arms = [Arm(name, "_train", c, n > 1) for name, (c, n) in settings.items()]
+    scored = scored_arms(parts, doc_id, label, arms, size).join(parts.filter("_train = 0").select(doc_id), doc_id, "left_semi")
+    known = F.split("arm", r"\|")
+    return scored.select(doc_id, known[0].cast("double").alias("setting"), known[1].cast("int").alias("ngram"), "y_true", "y_prob", "y_pred")
+
+
 def select_on_validation(df: DataFrame, doc_id: str, text: str, label: str, grid: list[float], ngrams: tuple[int, ...] = (1, 2),
                          seed: int = 42, stop: list[str] | None = None, size: int = MAX_FEATURES) -> DataFrame:
-    """Fit each setting, C with single words or with pairs too, on training rows and compare on validation rows.
+    """The metrics of each setting on validation rows, and which is ``selected``.
 
-    Test rows are not touched. Features are computed once per n-gram setting. Of equals the smaller C, then the shorter
-    n-gram wins.
+    Test rows are not touched. Of equals the smaller C, then the shorter n-gram wins.
     """
-    terms = term_table(df, doc_id, text, label, stop)
-    ids = three_way_split(terms.select(doc_id, label), label, doc_id, seed=seed).filter("split <> 'test'")
-    parts = written(terms.join(ids.select(doc_id, "split"), doc_id), "parts")
-    train, val = parts.filter("split = 'train'"), _truth(parts.filter("split = 'val'"), label)
-    columns = {n: "_words" if n == 1 else "_terms" for n in ngrams}
-    stages = {n: vector_stages(train, column, size) for n, column in columns.items()}
-
-    def run(arm: tuple[float, int]) -> DataFrame:
-        c, n = arm
-        model = fit_terms(train, label, c, columns[n], size, stages=stages[n])
-        scored = score(model, val.select("y_true", columns[n])).drop(columns[n])
-        return scored.withColumns({"setting": F.lit(float(c)), "ngram": F.lit(n)})
-
-    kept = durable(binary_metrics(side_by_side(df.sparkSession, run, [(c, n) for n in ngrams for c in grid]), ("setting", "ngram")))
+    scored = selection_scores(df, doc_id, text, label, grid, ngrams, seed, stop, size)
+    kept = durable(binary_metrics(scored, ("setting", "ngram")))
     place = F.struct("f1_macro", -F.col("setting"), -F.col("ngram"))
     winner = kept.agg(F.max_by(F.struct("setting", "ngram"), place)).scalar()
     return kept.withColumn("selected", (F.struct("setting", "ngram") == winner).cast("int"))
 
 
+def seed_scores(df: DataFrame, doc_id: str, text: str, label: str, seeds: list[int],
+                stop: list[str] | None = None, size: int = MAX_FEATURES) -> DataFrame:
+    """Scores of each seed's test rows by the fit on its training rows."""
+    terms = term_table(df, doc_id, text, label, stop)
+    marked = terms.select(doc_id, label)
+    for seed in seeds:
+        marked = stratified_split(marked, label, doc_id, seed=seed, names=("1", "0"), column=f"_m{seed}")
+    marked = written(marked.select(doc_id, *[F.col(f"_m{s}").cast("int").alias(f"_m{s}") for s in seeds]), "seeds")
+    rows = written(terms.join(marked, doc_id), "parts")
+    scored = scored_arms(rows, doc_id, label, [Arm(str(s), f"_m{s}") for s in seeds], size)
+    held_out = marked.select(doc_id, F.explode(F.array_compact(F.array(*[F.when(F.col(f"_m{s}") == 0, F.lit(str(s))) for s in seeds]))).alias("arm"))
+    return scored.join(held_out, [doc_id, "arm"]).select(doc_id, F.col("arm").cast("int").alias("seed"), "y_true", "y_prob", "y_pred")
+
+
 def seed_runs(df: DataFrame, doc_id: str, text: str, label: str, seeds: list[int],
               stop: list[str] | None = None, size: int = MAX_FEATURES) -> DataFrame:
     """The same setting on several splits: one metric record per seed."""
-    terms = term_table(df, doc_id, text, label, stop)
+    return binary_metrics(seed_scores(df, doc_id, text, label, seeds, stop, size), ("seed",))
 
-    def run(seed: int) -> DataFrame:
-        ids = stratified_split(terms.select(doc_id, label), label, doc_id, seed=seed)
-        parts = written(terms.join(ids.select(doc_id, "split"), doc_id), "parts")
-        model = fit_terms(parts.filter("split = 'train'"), label, size=size)
-        test = _truth(score(model, parts.filter("split = 'test'")), label)
-        return test.select(F.lit(seed).alias("seed"), "y_true", "y_prob", "y_pred")
 
-    return binary_metrics(side_by_side(df.sparkSession, run, seeds), ("seed",))
+def curve_scores(df: DataFrame, doc_id: str, text: str, label: str, fractions: dict[str, float],
+                 seed: int = 42, stop: list[str] | None = None, size: int = MAX_FEATURES) -> DataFrame:
+    """Scores of the test rows by fits on nested shares of the training rows."""
+    terms = term_table(df, doc_id, text, label, stop)
+    ids = written(stratified_split(terms.select(doc_id, label), label, doc_id, seed=seed), "split")
+    sizes = nested_train_sizes(ids.filter("split = 'train'").drop("split"), label, doc_id, fractions, seed)
+    flags = sizes.groupBy(doc_id).agg(*[F.max((F.col("size_name") == n).cast("int")).alias(f"_s{k}") for k, n in enumerate(fractions)])
+    known = ids.select(doc_id, "split").join(flags, doc_id, "left")
+    rows = written(terms.join(known, doc_id).na.fill(0, [f"_s{k}" for k in range(len(fractions))]), "parts")
+    scored = scored_arms(rows, doc_id, label, [Arm(n, f"_s{k}") for k, n in enumerate(fractions)], size)
+    test = rows.filter("split = 'test'").select(doc_id)
+    return scored.join(test, doc_id, "left_semi").select(doc_id, F.col("arm").alias("size_name"), "y_true", "y_prob", "y_pred")
 
 
 def learning_curve(df: DataFrame, doc_id: str, text: str, label: str, fractions: dict[str, float],
                    seed: int = 42, stop: list[str] | None = None, size: int = MAX_FEATURES) -> DataFrame:
     """Test metrics after training on nested shares of the training rows."""
-    terms = term_table(df, doc_id, text, label, stop)
-    ids = written(stratified_split(terms.select(doc_id, label), label, doc_id, seed=seed), "split")
-    test = written(terms.join(ids.filter("split = 'test'").select(doc_id), doc_id), "test")
-    sizes = written(nested_train_sizes(ids.filter("split = 'train'").drop("split"), label, doc_id, fractions, seed), "sizes")
-
-    def run(name: str) -> DataFrame:
-        train = terms.join(sizes.filter(F.col("size_name") == name).select(doc_id), doc_id)
-        scored = _truth(score(fit_terms(train, label, size=size), test), label)
-        return scored.select(F.lit(name).alias("size_name"), "y_true", "y_prob", "y_pred")
-
-    return binary_metrics(side_by_side(df.sparkSession, run, fractions), ("size_name",))
+    return binary_metrics(curve_scores(df, doc_id, text, label, fractions, seed, stop, size), ("size_name",))

@@ -35,38 +35,40 @@ def terms_of(text: Column, stop: list[str]) -> Column:
 def vocabulary(df: DataFrame, doc_id: str, text: str, stop: list[str], size: int = MAX_FEATURES) -> DataFrame:
     """The most frequent terms of the corpus, ties in term order, with their document frequency.
 
-    Each text yields its terms once per occurrence and once per document, so both counts come from one
-    aggregate over terms; (document, term) pairs are never shuffled, and a word found in most texts is one
-    row per map task.
+    Each text is folded to its distinct terms and their counts where it lies, so both counts come from one aggregate over
+    terms; (document, term) pairs are never shuffled, and a word found in most texts is one row per map task.
     """
     return count_terms(fill_cores(df.select(doc_id, text), doc_id).select(terms_of(F.col(text), stop).alias("_terms")), size)
 
 
 def count_terms(taken: DataFrame, size: int = MAX_FEATURES) -> DataFrame:
     """The vocabulary of texts that have been taken apart into ``_terms``."""
-    def marks(items: Column, tf: int, df_: int) -> Column:
-        return F.transform(items, lambda t: F.struct(t.alias("term"), F.lit(tf).alias("_tf"), F.lit(df_).alias("_df")))
-
-    both = F.concat(marks(F.col("_terms"), 1, 0), marks(F.array_distinct("_terms"), 0, 1))
     return (
-        taken.select(F.inline(both))
-        .groupBy("term").agg(F.sum("_tf").alias("n"), F.sum("_df").alias("df"))
+        taken.select(F.inline(tx.folded(F.col("_terms"))))
+        .groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
         .orderBy(F.desc("n"), "term").limit(size)
     )
 
 
+def count_terms_of(taken: DataFrame, members: list[str]) -> DataFrame:
+    """term, and ``n_<m>`` and ``df_<m>`` for each 0/1 column m: the counts among its rows. One pass serves all."""
+    rows = taken.select(*members, F.inline(tx.folded(F.col("_terms"))))
+    return rows.groupBy("term").agg(
+        *[F.sum(F.when(F.col(m) == 1, F.col("tf")).otherwise(0)).alias(f"n_{m}") for m in members],
+        *[F.count_if(F.col(m) == 1).alias(f"df_{m}") for m in members])
+
+
 def known_counts(df: DataFrame, table: DataFrame, doc_id: str, text: str, stop: list[str]) -> DataFrame:
     """(doc, term, tf, columns of ``table``) for the terms of a table, which Spark broadcasts if its bytes are few.
 
-    Texts are spread by document before they are taken apart: whole texts are smaller than their n-grams, and
-    every later step per document finds its rows already together. Unknown terms drop out before counting.
+    Texts are folded where they lie and unknown terms drop out; what moves, once, is the counts of known terms.
     """
     extra = [c for c in table.columns if c != "term"]
-    spread = df.select(doc_id, text).repartition(doc_id)
+    terms = F.concat(F.array(F.lit(NO_TERM)), terms_of(F.col(text), stop))
+    counted = fill_cores(df.select(doc_id, text), doc_id).select(doc_id, F.inline(tx.folded(terms)))
     return (
-        spread.select(doc_id, F.explode(F.concat(F.array(F.lit(NO_TERM)), terms_of(F.col(text), stop))).alias("term"))
-        .join(table, "term")
-        .groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"), *[F.first(c).alias(c) for c in extra])
+        counted.join(table, "term").repartition(doc_id)
+        .groupBy(doc_id, "term").agg(F.sum("tf").alias("tf"), *[F.first(c).alias(c) for c in extra])
     )
 
 

@@ -86,44 +86,113 @@ def linear_score(v):
     return ngrams.linear_score(weighed, coefs, "doc_id", -0.25)
 
 
-@query("score_with", f"""SELECT doc_id, round(1 / (1 + exp(-(len({TOKENS_SQL}) - 100) / 50.0)), 6) AS y_prob,
-    CAST(1 / (1 + exp(-(len({TOKENS_SQL}) - 100) / 50.0)) >= 0.5 AS INTEGER) AS y_pred FROM documents""")
+@query("score_with", f"""WITH s AS (SELECT doc_id, (len(text) % 1009 + 1009.0 * len({TOKENS_SQL})) / 1e6 AS z FROM documents)
+    SELECT doc_id, round(1 / (1 + exp(-(z - 0.1) * 5)), 6) AS y_prob, CAST(1 / (1 + exp(-(z - 0.1) * 5)) >= 0.5 AS INTEGER) AS y_pred FROM s""")
 def score_with(v):
-    """Any Python model over whole texts; here one that reads the number of tokens."""
+    """Any Python model over whole texts; here one that reads the length and counts the tokens itself."""
 
     def make_scorer():
-        def scorer(sizes):
-            return [1 / (1 + math.exp(-(int(s) - 100) / 50.0)) for s in sizes]
+        import regex
+
+        word = regex.compile(r"[\p{L}\p{N}_]{2,}")
+
+        def scorer(texts):
+            marks = [(len(t) % 1009 + 1009.0 * len(word.findall(t.lower()))) / 1e6 for t in texts]
+            return [1 / (1 + math.exp(-(z - 0.1) * 5)) for z in marks]
 
         return scorer
 
-    sized = v.table("documents").select("doc_id", F.size(tx.tokens(F.col("text"))).cast("string").alias("size"))
-    return classify.score_with(sized, make_scorer, "doc_id", "size")
+    return classify.score_with(v.table("documents"), make_scorer, "doc_id", "text")
 
 
-# --- fitted models: what SQL can state of them; tests compare the rest with an independent solver ------------
+# --- fitted models: the SQL fits them again, another way ---------------------------------------------------------
 
 def training(v):
     return v.labeled.select("thread_id", F.col("first_customer_text").alias("text"), "escalated", "lang")
 
 
 BASE = ", base AS (SELECT thread_id, escalated FROM labeled), "
-ARM_SQL = "count(*) AS n, CAST(sum(escalated) AS BIGINT) AS positives"
+ROUNDS = 1000  # accelerated gradient steps of the SQL
+
 
+def refit_sql(arms: str, stop: str) -> str:
+    """Common tables that fit every arm and score its rows; ends in table ``scored`` (arm, thread_id, y, member, p).
+
+    ``arms`` is SQL of rows (arm, c, pairs, thread_id, member): the labelled rows that an arm is trained on (member 1) or scores
+    alone (0). The coefficients at the optimum are sums of training rows, so the steps (Nesterov's, in the number of rows, from
+    inner products alone) share nothing with the optimiser that they check.
+    """
+    words = f"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: w NOT IN ({stop}))"
+    return f"""arms AS MATERIALIZED ({arms}),
+    words AS (SELECT thread_id, escalated AS y, {words} AS w FROM (SELECT thread_id, escalated, first_customer_text AS text FROM labeled)),
+    terms AS (SELECT thread_id, unnest(w) AS term, false AS pair FROM words UNION ALL
+        SELECT thread_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), true FROM words),
+    tf AS (SELECT thread_id, term, pair, count(*) AS tf FROM terms GROUP BY ALL),
+    vocab AS (SELECT arm, term, count(*) AS df FROM tf JOIN arms USING (thread_id) WHERE member = 1 AND (pairs = 1 OR NOT pair)
+        GROUP BY arm, term QUALIFY row_number() OVER (PARTITION BY arm ORDER BY sum(tf) DESC, term) <= 10000),
+    sizes AS (SELECT arm, any_value(c) AS c, count(*) AS n, sum(y) AS n1 FROM arms JOIN words USING (thread_id) WHERE member = 1 GROUP BY arm),
+    raw AS (SELECT arm, thread_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w
+        FROM arms JOIN tf USING (thread_id) JOIN vocab USING (arm, term) JOIN sizes USING (arm)),
+    x AS MATERIALIZED (SELECT arm, thread_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY arm, thread_id)) AS w FROM raw),
+    rows_ AS MATERIALIZED (SELECT arm, thread_id, member, y, sizes.c * CASE WHEN y = 1 THEN n / (2.0 * n1) ELSE n / (2.0 * (n - n1)) END AS cost,
+        CASE WHEN member = 1 THEN row_number() OVER (PARTITION BY arm, member ORDER BY thread_id) END AS j
+        FROM arms JOIN words USING (thread_id) JOIN sizes USING (arm)),
+    products AS (SELECT a.arm, a.thread_id, r.j, sum(a.w * b.w) AS k FROM x a JOIN x b ON a.arm = b.arm AND a.term = b.term
+        JOIN rows_ r ON r.arm = b.arm AND r.thread_id = b.thread_id AND r.member = 1 GROUP BY ALL),
+    pairs_ AS (SELECT r.arm, r.thread_id, t.j, coalesce(k, 0) AS k, sqrt(r.cost * t.cost) AS cost FROM rows_ r
+        JOIN rows_ t ON r.arm = t.arm AND t.member = 1 LEFT JOIN products p ON p.arm = r.arm AND p.thread_id = r.thread_id AND p.j = t.j),
+    kernel AS MATERIALIZED (SELECT arm, thread_id, list(k ORDER BY j) AS k, sum(cost * (k + 1)) AS bound FROM pairs_ GROUP BY arm, thread_id),
+    steps AS MATERIALIZED (SELECT arm, 1 + max(bound) / 4 AS l, (sqrt(1 + max(bound) / 4) - 1) / (sqrt(1 + max(bound) / 4) + 1) AS m
+        FROM kernel JOIN rows_ USING (arm, thread_id) WHERE member = 1 GROUP BY arm),
+    trained AS MATERIALIZED (SELECT arm, j, k, y, cost FROM rows_ JOIN kernel USING (arm, thread_id) WHERE member = 1),
+    fit AS (SELECT arm, 0 AS round_, list_transform(range(n), lambda i: 0.0::DOUBLE) AS beta, list_transform(range(n), lambda i: 0.0::DOUBLE) AS was,
+            0.0::DOUBLE AS b, 0.0::DOUBLE AS b_was FROM sizes
+        UNION ALL
+        SELECT arm, round_ + 1, list(v[j] + (cost * (y - 1 / (1 + exp(-(list_dot_product(k, v) + bv)))) - v[j]) / l ORDER BY j), any_value(beta),
+            any_value(bv) + sum(cost * (y - 1 / (1 + exp(-(list_dot_product(k, v) + bv))))) / any_value(l), any_value(b)
+        FROM (SELECT fit.arm, round_, beta, b, l, b + m * (b - b_was) AS bv,
+                list_transform(list_zip(beta, was), lambda z: z[1] + m * (z[1] - z[2])) AS v FROM fit JOIN steps ON fit.arm = steps.arm
+              WHERE round_ < {ROUNDS}) f JOIN trained USING (arm) GROUP BY arm, round_),
+    scored AS (SELECT arm, thread_id, y, member, 1 / (1 + exp(-(list_dot_product(k, beta) + b))) AS p
+        FROM rows_ JOIN kernel USING (arm, thread_id) JOIN fit USING (arm) WHERE round_ = {ROUNDS}) """
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+CELLS_SQL = """count(*) FILTER (y = 0 AND p < 0.5) AS tn, count(*) FILTER (y = 0 AND p >= 0.5) AS fp,
+    count(*) FILTER (y = 1 AND p < 0.5) AS fn, count(*) FILTER (y = 1 AND p >= 0.5) AS tp"""
+MEASURED_SQL = """round((2.0 * tn / greatest(2 * tn + fn + fp, 1) + 2.0 * tp / greatest(2 * tp + fn + fp, 1)) / 2, 6) AS f1_macro, tn, fp, fn, tp"""
+
+
+def measured(metrics, *keys):
+    """Macro F1 and the confusion cells of each arm."""
+    return metrics.select(*keys, "f1_macro", "tn", "fp", "fn", "tp")
+
+
+@query("fit_and_score", recursive(with_views("labeled", BASE + split_sql("base", 0.2, "42") + ", "
+    + refit_sql("SELECT 0 AS arm, 1.0 AS c, 1 AS pairs, thread_id, CAST(NOT taken AS INTEGER) AS member FROM part", STOP_SQL)
+    + "SELECT thread_id, member AS trained, y AS escalated, round(p, 4) AS y_prob FROM scored")))
+def fit_and_score(v):
+    """Train on the training part and score every labelled thread, to four digits."""
+    from caselane.operators.split import stratified_split
 
-def arm_rows(metrics, *keys):
-    """Rows and positives that each arm of an experiment was measured on."""
-    return metrics.select(*keys, (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n"),
-                          (F.col("fn") + F.col("tp")).alias("positives"))
+    rows = training(v)
+    ids = stratified_split(rows.select("thread_id", "escalated"), "escalated", "thread_id")
+    parts = written(rows.join(ids.select("thread_id", (F.col("split") == "train").cast("int").alias("trained")), "thread_id"), "parts")
+    model = classify.fit(parts.filter("trained = 1"), "thread_id", "text", "escalated", stop=STOP)
+    scored = classify.score(model, parts)
+    return scored.select("thread_id", "trained", "escalated", (F.round(F.col("y_prob") * 1e4) / 1e4).alias("y_prob"))
 
 
-@query("fit_and_score", with_views("labeled", BASE + split_sql("base", 0.2, "42") + """, train AS (SELECT d.doc_id, d.text
+@query("fit_gradient", with_views("labeled", BASE + split_sql("base", 0.2, "42") + """, train AS (SELECT d.doc_id, d.text
     FROM part JOIN documents d ON d.doc_id = thread_id WHERE NOT taken), """ + terms_sql("train")
     + "SELECT term, CAST(0 AS DOUBLE) AS gradient FROM vocab"))
-def fit_and_score(v):
-    """Train on the training part; per term the gradient of the penalised loss at the fit, to three digits.
+def fit_gradient(v):
+    """Per term the gradient of the penalised loss at the fit, to five digits: 0 for every term of an optimum.
 
-    It is worked out from the coefficient table by joins, apart from the solver, and is 0 for every term of an optimum.
+    It is worked out from the coefficient table by joins, apart from the solver.
     """
     from caselane.operators.split import stratified_split
 
@@ -136,11 +205,10 @@ def fit_and_score(v):
     weights_ = ngrams.weigh(counts, "thread_id")
     scored = classify.score(model, train).select("thread_id", "escalated", "y_prob")
     sizes = {r.label: r for r in ngrams.class_weights(train).collect()}
-    n = sum(r.n for r in sizes.values())
     gap = F.when(F.col("escalated") == 1, (F.col("y_prob") - 1) * sizes[1].weight).otherwise(F.col("y_prob") * sizes[0].weight)
     loss = weights_.join(scored.select("thread_id", gap.alias("gap")), "thread_id").groupBy("term").agg(F.sum(F.col("weight") * F.col("gap")).alias("g"))
-    slope = (F.coalesce("g", F.lit(0.0)) + F.col("coef")) / n
-    return table.join(loss, "term", "left").select("term", F.abs(F.round(slope, 3)).alias("gradient"))
+    slope = F.coalesce("g", F.lit(0.0)) + F.col("coef")
+    return table.join(loss, "term", "left").select("term", F.abs(F.round(slope, 5)).alias("gradient"))
 
 
 @query("table_score", "SELECT doc_id, CAST(0 AS DOUBLE) AS difference FROM documents")
@@ -154,39 +222,55 @@ def table_score(v):
     return by_table.join(by_model, "doc_id").select("doc_id", F.abs(F.round(F.col("y_prob") - F.col("p"), 6)).alias("difference"))
 
 
-@query("model_selection", with_views("labeled", BASE + split_sql("base", 0.2, "42")
-    + ", tr AS (SELECT thread_id, escalated FROM part WHERE NOT taken), " + split_sql("tr", 0.1, "42-val", extra="2")
-    + f"""SELECT CAST(c AS DOUBLE) AS setting, CAST(g AS INTEGER) AS ngram, {ARM_SQL} FROM part2, (VALUES (0.1), (1.0), (10.0)) s(c),
-    (VALUES (1), (2)) m(g) WHERE taken GROUP BY 1, 2"""))
+@query("model_selection", recursive(with_views("labeled", BASE + split_sql("base", 0.2, "42")
+    + ", tr AS (SELECT thread_id, escalated FROM part WHERE NOT taken), " + split_sql("tr", 0.1, "42-val", extra="2") + ", "
+    + refit_sql("""SELECT CAST(k + g * 10 AS INTEGER) AS arm, [0.1, 1.0, 10.0][k] AS c, g - 1 AS pairs, thread_id, CAST(NOT taken AS INTEGER) AS member
+        FROM part2, range(1, 4) s(k), range(1, 3) m(g)""", STOP_SQL)
+    + f""", cells AS (SELECT [0.1, 1.0, 10.0][arm % 10] AS setting, arm // 10 AS ngram, {CELLS_SQL} FROM scored WHERE member = 0 GROUP BY arm)
+    SELECT CAST(setting AS DOUBLE) AS setting, CAST(ngram AS INTEGER) AS ngram, {MEASURED_SQL}, CAST(row_number() OVER (ORDER BY
+    round((2.0 * tn / greatest(2 * tn + fn + fp, 1) + 2.0 * tp / greatest(2 * tp + fn + fp, 1)) / 2, 12) DESC, setting, ngram) = 1 AS INTEGER)
+    AS selected FROM cells""")))
 def model_selection(v):
-    out = classify.select_on_validation(training(v), "thread_id", "text", "escalated", [0.1, 1.0, 10.0])
-    return arm_rows(out, "setting", "ngram")
+    out = classify.select_on_validation(training(v), "thread_id", "text", "escalated", [0.1, 1.0, 10.0], stop=STOP)
+    return measured(out, "setting", "ngram").join(out.select("setting", "ngram", "selected"), ["setting", "ngram"])
 
 
 SEEDS = [42, 1337, 2024]
 
 
-@query("seed_runs", with_views("labeled", BASE + ", ".join(split_sql("base", 0.2, str(s), extra=f"_{s}") for s in SEEDS) + " "
-    + " UNION ALL ".join(f"SELECT CAST({s} AS INTEGER) AS seed, {ARM_SQL} FROM part_{s} WHERE taken" for s in SEEDS)))
+@query("seed_runs", recursive(with_views("labeled", BASE + ", ".join(split_sql("base", 0.2, str(s), extra=f"_{s}") for s in SEEDS) + ", "
+    + refit_sql(" UNION ALL ".join(f"SELECT {s} AS arm, 1.0 AS c, 1 AS pairs, thread_id, CAST(NOT taken AS INTEGER) AS member FROM part_{s}"
+                                   for s in SEEDS), STOP_SQL)
+    + f""", cells AS (SELECT arm, {CELLS_SQL} FROM scored WHERE member = 0 GROUP BY arm)
+    SELECT CAST(arm AS INTEGER) AS seed, {MEASURED_SQL} FROM cells""")))
 def seed_runs(v):
-    return arm_rows(classify.seed_runs(training(v), "thread_id", "text", "escalated", SEEDS), "seed")
+    return measured(classify.seed_runs(training(v), "thread_id", "text", "escalated", SEEDS, stop=STOP), "seed")
+
+
+CURVE_SHARES = {"quarter": 0.25, "half": 0.5, "most": 0.9}
 
 
-@query("learning_curve", with_views("labeled", BASE + split_sql("base", 0.2, "42") + f"""SELECT size_name, {ARM_SQL}
-    FROM part, (VALUES ('quarter'), ('half'), ('most')) s(size_name) WHERE taken GROUP BY size_name"""))
+@query("learning_curve", recursive(with_views("labeled", BASE + split_sql("base", 0.2, "42")
+    + ", inner_ AS (SELECT thread_id, escalated FROM part WHERE NOT taken), "
+    + ", ".join(split_sql("inner_", f, "42", extra=f"_{n}") for n, f in CURVE_SHARES.items()) + ", "
+    + refit_sql(" UNION ALL ".join(f"""SELECT {k} AS arm, 1.0 AS c, 1 AS pairs, thread_id, 1 AS member FROM part_{n} WHERE taken UNION ALL
+        SELECT {k}, 1.0, 1, thread_id, 0 FROM part WHERE taken""" for k, n in enumerate(CURVE_SHARES)), STOP_SQL)
+    + f""", cells AS (SELECT arm, {CELLS_SQL} FROM scored WHERE member = 0 GROUP BY arm)
+    SELECT {list(CURVE_SHARES)}[arm + 1] AS size_name, {MEASURED_SQL} FROM cells""")))
 def learning_curve(v):
-    out = classify.learning_curve(
-        training(v), "thread_id", "text", "escalated", {"quarter": 0.25, "half": 0.5, "most": 0.9})
-    return arm_rows(out, "size_name")
+    return measured(classify.learning_curve(training(v), "thread_id", "text", "escalated", CURVE_SHARES, stop=STOP), "size_name")
 
 
-@query("cross_domain", with_views("labeled", f" SELECT lang, {ARM_SQL} FROM labeled GROUP BY lang"))
+@query("cross_domain", recursive(with_views("labeled", ", "
+    + refit_sql("SELECT 0 AS arm, 1.0 AS c, 1 AS pairs, thread_id, CAST(lang = 'en' AS INTEGER) AS member FROM labeled", STOP_SQL)
+    + f""", cells AS (SELECT lang, {CELLS_SQL} FROM scored JOIN labeled USING (thread_id) GROUP BY lang)
+    SELECT lang, {MEASURED_SQL} FROM cells""")))
 def cross_domain(v):
     """Fit on English and save; the loaded model scores every language without fitting again."""
     rows = training(v)
-    model = classify.fit(rows.filter("lang = 'en'"), "thread_id", "text", "escalated")
+    model = classify.fit(rows.filter("lang = 'en'"), "thread_id", "text", "escalated", stop=STOP)
     model = load_model(save_model(model, scratch_path(v.spark, "model")))
-    return arm_rows(classify.evaluate(model, rows, "escalated", ("lang",)), "lang")
+    return measured(classify.evaluate(model, rows, "escalated", ("lang",)), "lang")
 
 
 @query("nearest_intent", TERMS + """, centroid AS (SELECT source, term, sum(weight) AS w FROM weights

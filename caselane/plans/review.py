@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from caselane.operators import audit, evaluate
 from caselane.plans.registry import query
 from caselane.plans.scores import F0, F1, METRICS, auc_sql, cells
+from caselane.session import scratch_path
+from caselane.sources.review_store import ReviewStore
 from caselane.sources.views import with_views
 
 JOINED = with_views("reviews", """, both_sides AS (SELECT l.thread_id, l.escalated, l.category, l.source, r.human_escalated,
@@ -55,6 +57,20 @@ def audit_upsert(v):
     return audit.submit(log.filter("version = 1"), log.filter("version = 2"))
 
 
+@query("review_store", with_views("reviews", """SELECT thread_id, human_escalated, human_category, human_notes, version
+    FROM reviews"""))
+def review_store(v):
+    """First looks are stored, second looks are applied to the buckets that they touch, and a part of them comes twice."""
+    log = v.audit_log
+    store = ReviewStore(v.spark, scratch_path(v.spark, "reviews"), log.schema)
+    store.upsert(log.filter("version = 1"))
+    store.upsert(log.filter("version = 2 AND thread_id % 2 = 0"))
+    store.append(log.filter("version = 2 AND thread_id % 2 = 1"), 0)
+    store.append(log.filter("version = 1"), 1)
+    store.compact(2)
+    return store.read()
+
+
 @query("audit_confirm", with_views("reviews", """SELECT thread_id, human_escalated, human_category, human_notes FROM reviews
     UNION ALL SELECT thread_id, escalated, category, 'confirmed' FROM labeled
     WHERE thread_id NOT IN (SELECT thread_id FROM reviews)"""))

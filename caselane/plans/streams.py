@@ -8,7 +8,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from caselane.functions.scores import decide
+from caselane.operators import classify
+from caselane.plans.language import STOP, STOP_SQL, recursive, refit_sql, training
 from caselane.plans.registry import query
+from caselane.sources.views import with_views
 from caselane.streaming import live
 
 TARGET_SQL = "event_type IN ('error', 'purchase')"
@@ -84,7 +87,22 @@ def stream_static_join(v):
     return live.run_batches(v.message_events.select("event_id", "user_id"), mark, "static")
 
 
-@query("stream_first_message", """SELECT user_id, event_id, epoch_us(ts) AS first_us FROM events
-    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1""")
+@query("stream_first_message", """WITH w AS (SELECT epoch_us(max(ts)) // 1000 - 600000 AS watermark FROM events)
+    SELECT user_id, event_id, epoch_us(ts) AS first_us FROM events, w
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1 AND epoch_us(ts) // 1000 < watermark""")
 def stream_first_message(v):
-    return live.first_messages(v.message_events, "user_id", "event_id", "ts", "10 minutes", 86_400_000, "first")
+    """The opening message of every user that the watermark has passed; nobody is forgotten within the table's time."""
+    return live.first_messages(v.message_events, "user_id", "event_id", "ts", "10 minutes", 366 * 86_400_000, "first")
+
+
+@query("stream_score_fitted", recursive(with_views("labeled", ", "
+    + refit_sql("SELECT 0 AS arm, 1.0 AS c, 1 AS pairs, thread_id, 1 AS member FROM labeled", STOP_SQL)
+    + "SELECT thread_id, round(p, 4) AS y_prob, CAST(p >= 0.5 AS INTEGER) AS y_pred FROM scored")))
+def stream_score_fitted(v):
+    """A model fitted on the labelled threads scores the documents as they arrive; those with a label are given."""
+    model = classify.fit(training(v), "thread_id", "text", "escalated", stop=STOP)
+    documents = v.table("documents").select("doc_id", "text")
+    arriving = live.message_stream(v.spark, f"{v.folder}/documents.parquet", documents.schema)
+    rows = arriving.join(v.table("labels").select("doc_id"), "doc_id").withColumnRenamed("doc_id", "thread_id")
+    scored = live.run_to_table(live.score_stream(rows, lambda r: classify.score(model, r)), "score-fitted")
+    return scored.select("thread_id", (F.round(F.col("y_prob") * 1e4) / 1e4).alias("y_prob"), "y_pred")

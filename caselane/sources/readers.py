@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from caselane.sources.quoted import read_split_csv
+
 REQUESTS = T.StructType([
     T.StructField("flags", T.StringType()),
     T.StructField("instruction", T.StringType()),
@@ -47,13 +49,8 @@ AUDIT = T.StructType([
 
 
 def read_quoted_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV whose quoted fields may hold commas, doubled quotes and line breaks."""
-    return (
-        spark.read.schema(schema)
-        .option("header", True).option("multiLine", True)
-        .option("quote", '"').option("escape", '"')
-        .csv(path)
-    )
+    """CSV whose quoted fields may hold commas, doubled quotes and line breaks; one file is read by many tasks."""
+    return read_split_csv(spark, path, schema)
 
 
 def write_quoted_csv(df: DataFrame, path: str) -> str:
@@ -104,7 +101,7 @@ def read_audit(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bronze(df: DataFrame, path: str, key: str, partitions: int | None = None) -> DataFrame:
-    """Rewrite a multi-line CSV (which Spark cannot split) to Parquet once, spread over ``key``."""
+    """Rewrite a CSV to Parquet once, spread over ``key``."""
     spread = df.repartition(partitions, key) if partitions else df.repartition(key)
     spread.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from caselane.operators.audit import latest
 from caselane.session import scratch_path
+from caselane.sources.review_store import ReviewStore
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -104,24 +104,26 @@ def sessions(stream: DataFrame, user: str, at: str, delay: str, gap: str) -> Dat
     )
 
 
-def audit_upserts(stream: DataFrame, name: str, folder: str | None = None, version: str = "version") -> DataFrame:
-    """Append review events batch by batch and return the newest review per thread.
+def audit_upserts(stream: DataFrame, name: str, folder: str | None = None, version: str = "version",
+                  key: str = "thread_id", buckets: int = 64, log_batches: int = 16) -> DataFrame:
+    """Add review events batch by batch to a keyed store and return the newest review per thread.
 
-    Each batch overwrites its own sub-folder, so a batch replayed after a failure leaves no second copy.
+    A batch is added to the store's log under its number, so one replayed after a failure leaves no second copy; every
+    ``log_batches`` batches the log is folded into the buckets that it touches.
     """
-    spark = stream.sparkSession
-    base = folder or scratch_path(spark, name)
+    store = ReviewStore(stream.sparkSession, f"{folder or scratch_path(stream.sparkSession, name)}", stream.schema, key, version, buckets)
 
-    def append(batch: DataFrame, batch_id: int) -> None:
-        latest(batch, version).write.mode("overwrite").parquet(f"{base}/versions/batch={batch_id}")
+    def add(batch: DataFrame, batch_id: int) -> None:
+        store.append(batch, batch_id)
+        if batch_id % log_batches == log_batches - 1:
+            store.compact()
 
     query = (
-        stream.writeStream.foreachBatch(append).option("checkpointLocation", f"{base}/progress")
+        stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{store.path}/progress")
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    versions = spark.read.schema(stream.schema).parquet(f"{base}/versions")
-    return latest(versions.select(*stream.columns), version)
+    return store.read()
 
 
 def mark_audited(messages: DataFrame, audited: DataFrame, key: str) -> DataFrame:
@@ -134,17 +136,27 @@ def mark_audited(messages: DataFrame, audited: DataFrame, key: str) -> DataFrame
 
 
 class FirstMessage(StatefulProcessor):
-    """Emit a thread's earliest message in the batch that first mentions the thread.
+    """Emit a thread's earliest message once the watermark tells that no earlier one can come.
 
-    State per thread is the pending timer; a thread silent for ``idle_ms`` is forgotten.
+    State per thread is the earliest message so far and the time of the latest. Which message is emitted does not depend on how
+    the rows are cut into batches. A thread that has been silent for ``idle_ms`` behind the watermark is forgotten; what comes
+    later opens it anew.
     """
 
-    def __init__(self, key: str, message: str, idle_ms: int):
-        self.key, self.message, self.idle_ms = key, message, idle_ms
+    def __init__(self, key: str, message: str, kind: T.DataType, idle_ms: int):
+        self.key, self.message, self.kind, self.idle_ms = key, message, kind, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.timer = handle.getValueState("timer", T.StructType([T.StructField("at", T.LongType())]))
+        self.state = handle.getValueState("thread", T.StructType([
+            T.StructField("first_us", T.LongType()), T.StructField("message", self.kind), T.StructField("last_us", T.LongType()),
+            T.StructField("told", T.BooleanType()), T.StructField("due", T.LongType())]))
+
+    def keep(self, first: int, message: object, last: int, told: bool) -> None:
+        """Wake up when no message before the first can come any more, and later when the thread may be forgotten."""
+        due = last // 1000 + self.idle_ms if told else first // 1000 + 1
+        self.state.update((first, message, last, told, due))
+        self.handle.registerTimer(due)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first, last = None, 0
@@ -153,20 +165,22 @@ class FirstMessage(StatefulProcessor):
             place = (int(low["at_us"]), low[self.message])
             first = place if first is None or place < first else first
             last = max(last, int(chunk["at_us"].max()))
-        if first is None:
-            return
-        known = self.timer.exists()
-        if known:
-            self.handle.deleteTimer(self.timer.get()[0])
-        due = last // 1000 + self.idle_ms
-        self.timer.update((due,))
-        self.handle.registerTimer(due)
-        if not known:
-            yield pd.DataFrame({self.key: [key[0]], self.message: [first[1]], "first_us": [first[0]]})
+        if first is not None:
+            told = False
+            if self.state.exists():
+                was_first, message, was_last, told, due = self.state.get()
+                self.handle.deleteTimer(due)
+                first, last = (was_first, message) if told else min(first, (was_first, message)), max(last, was_last)
+            self.keep(*first, last, told)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.timer.clear()
-        return iter(())
+        first, message, last, told, _ = self.state.get()
+        if told:
+            self.state.clear()
+            return
+        self.keep(first, message, last, True)
+        yield pd.DataFrame({self.key: [key[0]], self.message: [message], "first_us": [first]})
 
     def close(self) -> None:
         pass
@@ -174,7 +188,7 @@ class FirstMessage(StatefulProcessor):
 
 def first_messages(stream: DataFrame, key: str, message: str, at: str, delay: str, idle_ms: int, name: str,
                    folder: str | None = None) -> DataFrame:
-    """Opening message per thread as it arrives; ``key`` and ``message`` are ids of whole numbers or strings.
+    """Opening message per thread, once the watermark has passed it; ``key`` and ``message`` are ids of whole numbers or strings.
 
     The operator needs another state store than the default. A query copies the session's settings as it starts, so the
     setting is changed for that moment only and no other stream gets it.
@@ -183,6 +197,6 @@ def first_messages(stream: DataFrame, key: str, message: str, at: str, delay: st
     types = {c: stream.schema[c].dataType.simpleString() for c in (key, message)}
     rows = stream.withWatermark(at, delay).select(key, message, at, F.unix_micros(at).alias("at_us"))
     out = rows.groupBy(key).transformWithStateInPandas(
-        FirstMessage(key, message, idle_ms), f"{key} {types[key]}, {message} {types[message]}, first_us long",
+        FirstMessage(key, message, stream.schema[message].dataType, idle_ms), f"{key} {types[key]}, {message} {types[message]}, first_us long",
         "append", "eventTime")
     return run_to_table(out, name, folder, {PROVIDER: ROCKSDB})

@@ -1,3 +1,5 @@
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F, types as T
@@ -71,11 +73,41 @@ def test_first_message_once_per_thread(stream):
     assert sorted((r.user_id, r.event_id) for r in out.collect()) == [(7, 1), (8, 2), (9, 5)]
 
 
-def test_a_silent_thread_is_forgotten(stream):
-    out = live.first_messages(stream(), "user_id", "event_id", "ts", "10 minutes", 3_600_000, "f")
+def test_a_silent_thread_is_forgotten(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    write_batches(str(tmp_path / "in"), [*BATCHES, [(9, "2024-01-01 12:00", 1, "view")]])
+    stream = live.message_stream(spark, str(tmp_path / "in"), T._parse_datatype_string(SCHEMA), files_per_batch=1)
+    out = live.first_messages(stream, "user_id", "event_id", "ts", "10 minutes", 3_600_000, "f")
     assert (8, 6) in {(r.user_id, r.event_id) for r in out.collect()}
 
 
+def test_first_message_does_not_depend_on_batches(spark, folder, tmp_path):
+    """Rows out of order within the delay, in one batch and in twenty: the same messages, the earliest ones."""
+    events = spark.read.parquet(f"{folder}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    rows = sorted(((r.ts, r.event_id, r.user_id, r.event_type) for r in events.collect()))
+    step = -(-len(rows) // 20)
+    hours = 3 * max((rows[min(k + step, len(rows) - 1)][0] - rows[k][0]).total_seconds() for k in range(0, len(rows), step)) / 3600
+    rng = random.Random(3)
+    for at in range(0, len(rows), 2 * step):
+        part = rows[at:at + 2 * step]
+        rng.shuffle(part)
+        rows[at:at + 2 * step] = part
+    results = []
+    for n in (1, 20):
+        path = tmp_path / str(n)
+        path.mkdir()
+        size = -(-len(rows) // n)
+        write_batches(str(path), [[(e, t, u, k) for t, e, u, k in rows[at:at + size]] for at in range(0, len(rows), size)])
+        stream = live.message_stream(spark, str(path), T._parse_datatype_string(SCHEMA), files_per_batch=1)
+        out = live.first_messages(stream, "user_id", "event_id", "ts", f"{int(hours) + 1} hours", 366 * 86_400_000, "f")
+        results.append(sorted(map(tuple, out.collect())))
+    first = {}
+    for t, e, u, _ in sorted(rows):
+        first.setdefault(u, e)
+    assert results[0] == results[1] and len(results[0]) > 10
+    assert all(first[u] == e for u, e, _ in results[0])
+
+
 def test_a_fitted_model_scores_a_stream(spark, tmp_path):
     rows = [(i, "refund my money now" if i % 2 else "track my order please", i % 2) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, text string, escalated int")
@@ -89,7 +121,7 @@ def test_a_fitted_model_scores_a_stream(spark, tmp_path):
 
 
 STREAMS = ("stream_score", "stream_dedup", "stream_tumbling", "stream_sliding", "stream_sessions", "stream_audit_upsert",
-           "stream_static_join", "stream_first_message")
+           "stream_static_join", "stream_first_message", "stream_score_fitted")
 
 
 @pytest.fixture(scope="module")
@@ -97,6 +129,7 @@ def part_files(spark, folder, tmp_path_factory):
     """The same tables with the events as a folder of four part files."""
     base = tmp_path_factory.mktemp("tables")
     spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{base}/labels.parquet")
+    spark.read.parquet(f"{folder}/documents.parquet").repartition(3).write.parquet(f"{base}/documents.parquet")
     spark.read.parquet(f"{folder}/events.parquet").repartitionByRange(4, "event_id").write.parquet(f"{base}/events.parquet")
     return str(base)
 
