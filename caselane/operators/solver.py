@@ -6,8 +6,9 @@ packed into blocks of rows. An arm's feature vector is that row times the arm's
 under these weights. So the margins of all arms are one block product of the counts and a matrix with a column per arm, and so
 are the gradients, which every task sums over its blocks before anything moves; many partitions are summed in a tree.
 
-Each arm walks to its own optimum by limited-memory quasi-Newton steps with a diagonal start, one trial point per pass. Arms that have
-arrived leave the product. An arm has arrived when its gradient tells, by the convexity of the penalty, that its coefficients lie within
+Each arm walks to its own optimum by limited-memory quasi-Newton steps, one trial point per pass. They start from the second
+derivatives: those along the axes, or, where all rows are few enough to be sent to every worker (``FEW_ROWS``, ``FEW_COUNTS``), the whole
+matrix, never formed but solved with by conjugate gradients, each arm in a task of its own. Arms that have arrived leave the product. An arm has arrived when its gradient tells, by the convexity of the penalty, that its coefficients lie within
 ``TOLERANCE`` of the optimum, so the passes an experiment takes are those of its slowest arm.
 """
 
@@ -31,12 +32,30 @@ from caselane.session import written
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # what runs in tasks travels with the task
 
 TOLERANCE = 1e-6  # distance of the coefficients from the optimum
-MEMORY = 10  # steps that the curvature is estimated from
+MEMORY = 100  # steps that the curvature is estimated from
+FEW_ROWS, FEW_COUNTS = 1 << 14, 1 << 23  # rows and counts up to which workers solve with the whole second derivatives
 BLOCK_ROWS = 1 << 11
 BLOCK_COUNTS = 1 << 19  # counts of a block, above which it is closed early
 TREE = 64  # partitions whose sums one task adds up
 
-Walk = Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]
+
+@dataclass(frozen=True)
+class Trial:
+    """A walk asks for value and gradient at a point."""
+
+    point: np.ndarray
+
+
+@dataclass(frozen=True)
+class Solve:
+    """A walk asks for ``u`` with second derivatives at ``point`` times ``u`` near ``right``."""
+
+    point: np.ndarray
+    right: np.ndarray
+    nearness: float  # of the product, as a share of the right-hand side
+
+
+Walk = Generator[Trial | Solve, tuple[float, np.ndarray] | np.ndarray, np.ndarray]
 
 
 @dataclass(frozen=True)
@@ -233,19 +252,24 @@ def curvatures(problem: Problem) -> np.ndarray:
     return np.concatenate((along.T, found[:count, None]), axis=1)
 
 
-def walk(curvature: np.ndarray, nearness: float, most: int) -> Walk:
-    """Quasi-Newton steps from 0: yields trial points, takes value and gradient there, returns the last point."""
+def walk(curvature: np.ndarray, nearness: float, most: int, whole: bool) -> Walk:
+    """Quasi-Newton steps from 0 to the returned point. With ``whole`` second derivatives they are Newton's steps, and none is remembered."""
     x = np.zeros_like(curvature)
-    value, gradient = yield x
-    steps: deque = deque(maxlen=MEMORY)
+    value, gradient = yield Trial(x)
+    first = np.linalg.norm(gradient)
+    steps: deque = deque(maxlen=0 if whole else MEMORY)
     for _ in range(most):
-        if np.linalg.norm(gradient) <= nearness:
+        size = np.linalg.norm(gradient)
+        if size <= nearness:
             break
         direction, taken = gradient.copy(), []
         for s, y, r in reversed(steps):
             taken.append(r * (s @ direction))
             direction -= taken[-1] * y
-        direction /= curvature
+        if whole:
+            direction = yield Solve(x, direction, min(0.1, max(1e-4, np.sqrt(size / first))))
+        else:
+            direction /= curvature
         if steps:
             s, y, r = steps[-1]
             direction /= r * (y @ (y / curvature))
@@ -254,7 +278,7 @@ def walk(curvature: np.ndarray, nearness: float, most: int) -> Walk:
         slope, length = -(gradient @ direction), 1.0
         while True:
             trial = x - length * direction
-            new_value, new_gradient = yield trial
+            new_value, new_gradient = yield Trial(trial)
             if new_value <= value + 1e-4 * length * slope + 1e-12 * abs(value) or length < 1e-9:
                 break
             length /= 2
@@ -265,6 +289,78 @@ def walk(curvature: np.ndarray, nearness: float, most: int) -> Walk:
     return x
 
 
+class AllRows:
+    """All rows as one block, where they are few: sent to the workers once, for solving with second derivatives."""
+
+    def __init__(self, problem: Problem):
+        width, spaces = len(problem.members), problem.scale.shape[1]
+        table = problem.blocks.toArrow().combine_chunks()
+        blocks = [Block(batch, at, width, spaces) for batch in table.to_batches() for at in range(len(batch))]
+        starts = np.cumsum([0] + [len(b.labels) for b in blocks])
+        together = {name: np.concatenate([getattr(b, name) for b in blocks]) for name in ("labels", "members", "shrink", "index", "value")}
+        together["row"] = np.concatenate([b.row + at for b, at in zip(blocks, starts)])
+        self.sent = problem.blocks.sparkSession.sparkContext.broadcast((together, problem.scale, problem.class_weights))
+        self.problem = problem
+
+    def solve(self, arms: list[int], asked: list[Solve]) -> list[np.ndarray]:
+        """What each arm asked for, each in a task of its own."""
+        problem, sent = self.problem, self.sent
+        space = [problem.space[a] for a in arms]
+        member = [problem.members.index(problem.arms[a].member) for a in arms]
+        penalty, count = [1 / problem.arms[a].c for a in arms], len(arms)
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows, scale, class_weights = sent.value
+            for batch in batches:
+                for k in batch.column(0).to_pylist():
+                    found = conjugate(rows, scale[:, space[k]], space[k], member[k], class_weights[arms[k]], penalty[k], asked[k])
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([found.tobytes()], pa.binary())], ["k", "u"])
+
+        tasks = problem.blocks.sparkSession.range(0, count, 1, count).mapInArrow(each, "k long, u binary")
+        return [np.frombuffer(bytes(r.u)) for r in sorted(tasks.collect(), key=lambda r: r.k)]
+
+
+def conjugate(rows: dict[str, np.ndarray], scale: np.ndarray, space: int, member: int, class_weights: np.ndarray, penalty: float,
+              asked: Solve, most: int = 1000) -> np.ndarray:
+    """Conjugate gradients, scaled by the second derivatives along the axes."""
+    terms = len(scale)
+    taken = np.flatnonzero(rows["members"][:, member])
+    place = np.full(len(rows["labels"]), -1)
+    place[taken] = np.arange(len(taken))
+    inside = place[rows["row"]] >= 0
+    index, row = rows["index"][inside], place[rows["row"][inside]]
+    value = rows["value"][inside] * scale[index] * rows["shrink"][rows["row"][inside], space]
+    weight = np.where(rows["labels"][taken] == 1, class_weights[1], class_weights[0])
+
+    def times(u: np.ndarray) -> np.ndarray:
+        return np.bincount(row, value * u[index], len(taken)) + u[terms]
+
+    margin = times(asked.point)
+    bend = weight * np.exp(-np.logaddexp(0, margin) - np.logaddexp(0, -margin))
+    flat = np.append(np.full(terms, penalty), 1e-12)
+    axes = np.append(np.bincount(index, value ** 2 * bend[row], terms), bend.sum()) + flat
+
+    def product(u: np.ndarray) -> np.ndarray:
+        bent = bend * times(u)
+        return np.append(np.bincount(index, value * bent[row], terms), bent.sum()) + flat * u
+
+    found, left = np.zeros(terms + 1), asked.right.copy()
+    scaled = left / axes
+    search, dot = scaled.copy(), left @ scaled
+    enough = asked.nearness * np.linalg.norm(left)
+    for _ in range(most):
+        if np.linalg.norm(left) <= enough:
+            break
+        ahead = product(search)
+        step = dot / (search @ ahead)
+        found += step * search
+        left -= step * ahead
+        scaled = left / axes
+        dot, before = left @ scaled, dot
+        search = scaled + dot / before * search
+    return found
+
+
 def solve(problem: Problem, tolerance: float = TOLERANCE, most: int = 1000) -> list[Fit]:
     """Minimise, for every arm, ``sum of weight * loss + |coefficients|^2 / (2 C)``; the intercept is not penalised."""
     problem.blocks.persist(StorageLevel.MEMORY_AND_DISK)  # the written blocks stand behind what is lost
@@ -275,31 +371,46 @@ def solve(problem: Problem, tolerance: float = TOLERANCE, most: int = 1000) -> l
 
 
 def _solve(problem: Problem, tolerance: float, most: int) -> list[Fit]:
-    terms = len(problem.terms)
+    terms, every = len(problem.terms), range(len(problem.arms))
+    sums = problem.blocks.agg(F.sum(F.size("ids")).alias("rows"), F.sum(F.length("index") / 4).alias("counts")).first()
+    few = (sums.rows or 0) <= FEW_ROWS and (sums.counts or 0) <= FEW_COUNTS and bool(sums.rows)
+    everything = AllRows(problem) if few else None
     penalty = np.array([1 / a.c for a in problem.arms])
-    curvature = curvatures(problem)
+    curvature = np.ones((len(problem.arms), terms + 1)) if few else curvatures(problem)
     curvature[:, :terms] += penalty[:, None]
     curvature[:, terms] = np.maximum(curvature[:, terms], 1e-12)
-    walks = [walk(h, tolerance * p, most) for h, p in zip(curvature, penalty)]
-    points = np.array([next(w) for w in walks])
-    active, ended, passes = list(range(len(walks))), {}, 0
-    while active:
-        passes += 1
-        losses, slopes = evaluate(problem, active, points[active])
-        for k, loss, slope in zip(list(active), losses, slopes):
-            coefficients = points[k, :terms]
-            slope[:terms] += penalty[k] * coefficients
-            try:
-                points[k] = walks[k].send((loss + penalty[k] * (coefficients @ coefficients) / 2, slope))
-            except StopIteration as end:
-                points[k], ended[k] = end.value, passes
-                active.remove(k)
+    walks = [walk(h, tolerance * p, most, few) for h, p in zip(curvature, penalty)]
+    asked: dict[int, Trial | Solve] = {k: next(walks[k]) for k in every}
+    points, ended, passes = {}, {}, 0
+
+    def answer(k: int, found: tuple[float, np.ndarray] | np.ndarray) -> None:
+        try:
+            asked[k] = walks[k].send(found)
+        except StopIteration as end:
+            points[k], ended[k] = end.value, passes
+            del asked[k]
+
+    while asked:
+        trials = [k for k in every if isinstance(asked.get(k), Trial)]
+        if trials:
+            passes += 1
+            losses, slopes = evaluate(problem, trials, np.array([asked[k].point for k in trials]))
+            for k, loss, slope in zip(trials, losses, slopes):
+                coefficients = asked[k].point[:terms]
+                slope[:terms] += penalty[k] * coefficients
+                answer(k, (loss + penalty[k] * (coefficients @ coefficients) / 2, slope))
+        waiting = [k for k in every if isinstance(asked.get(k), Solve)]
+        if waiting:
+            for k, found in zip(waiting, everything.solve(waiting, [asked[k] for k in waiting])):
+                answer(k, found)
+    if everything:
+        everything.sent.unpersist()
     place = {t: k for k, t in enumerate(problem.terms)}
     fits = []
     for k, arm in enumerate(problem.arms):
         own = problem.vocabularies[problem.space[k]]
         at = np.array([place[t] for t in own], np.int64)
-        fits.append(Fit(arm, own, problem.scale[at, problem.space[k]], points[k, at], float(points[k, terms]), ended[k]))
+        fits.append(Fit(arm, own, problem.scale[at, problem.space[k]], points[k][at], float(points[k][terms]), ended[k]))
     return fits
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from caselane.functions.taxonomy import ESCALATION_INTENTS, SELF_SERVICE
 from caselane.operators.ordered import lookup_join, neighbors
 from caselane.operators.split import sample_manifest  # noqa: F401  (re-exported: sampling belongs to threads)
-from caselane.session import durable, written
+from caselane.session import written
 
 
 def reply_edges(messages: DataFrame) -> DataFrame:
@@ -40,50 +40,47 @@ def present_edges(messages: DataFrame, edges: DataFrame) -> DataFrame:
         "child", F.when(F.col("_known"), F.col("parent")).alias("parent"))
 
 
+FEW_STEPS = 64
+
+
 def thread_roots(links: DataFrame, node: str = "child", parent: str = "parent") -> DataFrame:
     """Root and depth of every node by pointer jumping.
 
     ``links`` has one row per node; a NULL parent makes it a root, and every parent must be a node (see
     :func:`present_edges`). Each round replaces a pointer by the pointer it leads to, so the distance covered
-    doubles and ``log2(depth)`` rounds suffice. Finished nodes leave the loop, and only nodes that some pointer
-    leads to are looked up. Lineage is cut after each round.
+    doubles and ``log2(depth)`` rounds suffice. A round is one join, written down; finished nodes are written once and moved no
+    more. Where many pointers lead to one node Spark splits their join, as of any skewed key.
     Nodes still unfinished when the rounds cover more steps than there are nodes sit on or behind a cycle: each
     cycle is a thread of its own, named by its smallest member, with ``in_cycle`` = 1 and no depth.
     """
-    state = durable(links.select(
+    state = written(links.select(
         F.col(node).alias("node"),
         F.coalesce(F.col(parent), F.col(node)).alias("ptr"),
         F.when(F.col(parent).isNull(), 0).otherwise(1).cast("long").alias("depth"),
         F.col(parent).isNull().alias("done"),
         F.col(node).alias("least"),  # of the nodes passed on the way
-    ))
-    total = state.count()
-    active = state.filter("NOT done")
-    pending = active.count()
-    finished = [state.filter("done")]
-    rounds = 0
-    width = max(state.rdd.getNumPartitions(), int(state.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    while pending and 2 ** rounds <= 2 * total:
-        rounds += 1
-        needed = written(active.select(F.col("ptr").alias("node")).distinct(), "pointers")
-        target = written(state.join(needed, "node", "left_semi").select(
+    ), "pointers")
+    active, finished, covered, total = state.filter("NOT done"), [state.filter("done")], 1, None
+    while pending := not active.isEmpty():
+        if covered > FEW_STEPS:  # only then a cycle is likely enough to count
+            total = state.count() if total is None else total
+            if covered > 2 * total:
+                break
+        target = reduce(DataFrame.unionByName, [*finished, active]).select(
             F.col("node").alias("ptr"), F.col("ptr").alias("_next"), F.col("depth").alias("_depth"),
-            F.col("done").alias("_done"), F.col("least").alias("_least")), "pointed")
-        moved = durable(lookup_join(active, target, "ptr", pending).select(
+            F.col("done").alias("_done"), F.col("least").alias("_least"))
+        moved = written(active.join(target, "ptr").select(
             "node", F.col("_next").alias("ptr"), (F.col("depth") + F.col("_depth")).alias("depth"),
-            F.col("_done").alias("done"), F.least("least", "_least").alias("least"),
-        ).coalesce(width))
-        active = moved.filter("NOT done")
-        pending = active.count()
+            F.col("_done").alias("done"), F.least("least", "_least").alias("least")), "pointers")
+        active, covered = moved.filter("NOT done"), 2 * covered
         finished.append(moved.filter("done"))
-        state = reduce(DataFrame.unionByName, [*finished, active])
     trees = reduce(DataFrame.unionByName, finished).select(
         F.col("node").alias("message_id"), F.col("ptr").alias("thread_id"), "depth", F.lit(0).alias("in_cycle"))
     if not pending:
         return trees
     # every pointer now lies on its cycle, and what a node of a cycle has passed is the whole cycle
     names = active.select(F.col("node").alias("ptr"), F.col("least").alias("_name"))
-    cycles = lookup_join(active, names, "ptr", pending).select(
+    cycles = active.join(names, "ptr").select(
         F.col("node").alias("message_id"), F.col("_name").alias("thread_id"), F.lit(None).cast("long").alias("depth"),
         F.lit(1).alias("in_cycle"))
     return trees.unionByName(cycles)

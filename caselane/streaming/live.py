@@ -170,7 +170,12 @@ class FirstMessage(StatefulProcessor):
             if self.state.exists():
                 was_first, message, was_last, told, due = self.state.get()
                 self.handle.deleteTimer(due)
-                first, last = (was_first, message) if told else min(first, (was_first, message)), max(last, was_last)
+                again = told and first[0] // 1000 > was_last // 1000 + self.idle_ms  # forgotten by now, if no timer said so yet
+                if told and not again:
+                    first, last = (was_first, message), max(last, was_last)
+                elif not told:
+                    first, last = min(first, (was_first, message)), max(last, was_last)
+                told = told and not again
             self.keep(*first, last, told)
         return iter(())
 

@@ -61,7 +61,11 @@ def rows():
     return texts(400)
 
 
-def test_every_arm_reaches_its_optimum(spark, rows):
+@pytest.mark.parametrize("few", [True, False])
+def test_every_arm_reaches_its_optimum(spark, rows, monkeypatch, few):
+    """With the whole second derivatives and with those along the axes."""
+    if not few:
+        monkeypatch.setattr(solver, "FEW_ROWS", 10)
     problem = solver.prepare(spark.createDataFrame(rows, SHAPE).repartition(5), "id", "y", ARMS, 300)
     fits = solver.solve(problem)
     scores = {(r.arm, r.id): r.y_prob for r in solver.score(problem, fits).collect()}
@@ -80,9 +84,9 @@ def test_arms_share_their_passes(spark, rows, monkeypatch):
     df = spark.createDataFrame(rows, SHAPE)
     fits = solver.solve(solver.prepare(df, "id", "y", ARMS, 300))
     shared = len(passes)
-    assert shared == 1 + max(f.passes for f in fits)
+    assert shared == max(f.passes for f in fits) < 40
     alone = solver.solve(solver.prepare(df, "id", "y", ARMS[2:3], 300))[0]
-    assert np.abs(alone.coefficients - fits[2].coefficients).max() < 1e-6 and len(passes) - shared == 1 + alone.passes
+    assert np.abs(alone.coefficients - fits[2].coefficients).max() < 1e-6 and len(passes) - shared == alone.passes
 
 
 def test_sums_in_a_tree(spark, rows, monkeypatch):
