@@ -8,6 +8,8 @@ from caselane.functions import text as tx
 from caselane.functions.scores import share
 from caselane.functions.taxonomy import ESCALATION_INTENTS, FLAG_NAMES
 from caselane.operators.ordered import broadcast_if_small
+from caselane.operators.quantiles import EVERYTHING, exact_quantiles, join_groups
+from caselane.session import written
 
 
 def map_target(df: DataFrame, intents: tuple[str, ...] = ESCALATION_INTENTS, intent: str = "intent") -> DataFrame:
@@ -56,15 +58,14 @@ def slot_table(df: DataFrame, by: str, text: str) -> DataFrame:
 
 def token_profile(df: DataFrame, text: str, cap: int, tokenize=tx.pieces, by: tuple[str, ...] = ()) -> DataFrame:
     """Tokens per text, and the share of texts longer than ``cap``."""
-    sized = df.select(*by, F.size(tokenize(F.col(text))).alias("_n"))
-    return sized.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_texts"),
-        F.avg("_n").alias("mean"),
-        F.percentile("_n", F.array(F.lit(0.5), F.lit(0.99))).alias("_q"),
-        F.max("_n").alias("max"),
-        F.avg((F.col("_n") > cap).cast("double")).alias("share_over_cap"),
-    ).select(*by, "n_texts", "mean", F.col("_q")[0].alias("median"), F.col("_q")[1].alias("p99"), "max",
-             "share_over_cap")
+    sizes = written(df.groupBy(*by, F.size(tokenize(F.col(text))).alias("_n")).agg(F.count(F.lit(1)).alias("_rows")), "sizes")
+    of = lambda value: F.sum(value * F.col("_rows")) / F.sum("_rows")
+    base = sizes.groupBy(*by).agg(
+        F.sum("_rows").alias("n_texts"), of(F.col("_n")).alias("mean"), F.max("_n").alias("max"),
+        of((F.col("_n") > cap).cast("double")).alias("share_over_cap")).withColumn(EVERYTHING, F.lit(0))
+    q = exact_quantiles(sizes, by, "_n", (0.5, 0.99), "_rows").withColumn(EVERYTHING, F.lit(0))
+    return join_groups(base, q, [*by, EVERYTHING]).select(
+        *by, "n_texts", "mean", F.get("quantiles", F.lit(0)).alias("median"), F.get("quantiles", F.lit(1)).alias("p99"), "max", "share_over_cap")
 
 
 def token_counts(df: DataFrame, text: str, tokenize=tx.pieces) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caselane.functions import text as tx
 from caselane.functions.scores import share
+from caselane.operators.heavy import most_frequent
 from caselane.operators.ordered import fill_cores
 from caselane.session import written
 
@@ -35,19 +36,14 @@ def terms_of(text: Column, stop: list[str]) -> Column:
 def vocabulary(df: DataFrame, doc_id: str, text: str, stop: list[str], size: int = MAX_FEATURES) -> DataFrame:
     """The most frequent terms of the corpus, ties in term order, with their document frequency.
 
-    Each text is folded to its distinct terms and their counts where it lies, so both counts come from one aggregate over
-    terms; (document, term) pairs are never shuffled, and a word found in most texts is one row per map task.
+    Tasks hand on bounded summaries of what they count; see :mod:`caselane.operators.heavy`.
     """
     return count_terms(fill_cores(df.select(doc_id, text), doc_id).select(terms_of(F.col(text), stop).alias("_terms")), size)
 
 
 def count_terms(taken: DataFrame, size: int = MAX_FEATURES) -> DataFrame:
     """The vocabulary of texts that have been taken apart into ``_terms``."""
-    return (
-        taken.select(F.inline(tx.folded(F.col("_terms"))))
-        .groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
-        .orderBy(F.desc("n"), "term").limit(size)
-    )
+    return most_frequent(taken, size)
 
 
 def count_terms_of(taken: DataFrame, members: list[str]) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from caselane.functions.scores import share
 from caselane.operators.ordered import broadcast_if_small
 from caselane.operators.quality import value_share
-from caselane.session import durable
+from caselane.operators.quantiles import exact_quantiles, join_groups
+from caselane.session import durable, written
 
 
 def category_by_class(df: DataFrame, category: str = "category", target: str = "escalated") -> DataFrame:
@@ -123,13 +124,12 @@ def box_stats(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     Rows are first counted per (group, value); the second pass reads that small table, not the rows.
     """
     counted = durable(df.groupBy(*by, F.col(column).alias("_x")).agg(F.count(F.lit(1)).alias("_n")))
-    boxes = counted.groupBy(*by).agg(
-        F.sum("_n").alias("n"),
-        F.percentile(F.col("_x"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_n")).alias("_q"),
-    ).select(*by, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    quartiles = exact_quantiles(counted, by, "_x", (0.25, 0.5, 0.75), "_n").select(
+        *by, *[F.get("quantiles", F.lit(k)).alias(name) for k, name in enumerate(("q1", "median", "q3"))])
+    boxes = written(join_groups(counted.groupBy(*by).agg(F.sum("_n").alias("n")), quartiles, by, "left"), "boxes")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("_x") >= F.col("q1") - reach) & (F.col("_x") <= F.col("q3") + reach)
-    return counted.join(boxes, by).groupBy(*by, "n", "q1", "median", "q3").agg(
+    return join_groups(counted, boxes, by).groupBy(*by, "n", "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("_x"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("_x"))).alias("whisker_high"),
         F.coalesce(F.sum(F.when(~inside, F.col("_n"))), F.lit(0)).alias("outliers"),

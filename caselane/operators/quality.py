@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from caselane.functions import text as tx
 from caselane.functions.scores import share
+from caselane.operators.quantiles import exact_quantiles
 from caselane.session import written
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -61,20 +62,13 @@ def dedup_first(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
-    """Count, mean, sample deviation, minimum, interpolated quartiles, maximum.
-
-    Exact quartiles keep a value → count map, so this is for columns with few distinct values, such as lengths.
-    """
-    q = F.percentile(F.col(column), F.array(*[F.lit(p) for p in QUARTILES]))
-    return df.agg(
-        F.count(column).alias("n"),
-        F.avg(column).alias("mean"),
-        F.stddev_samp(column).alias("std"),
-        F.min(column).alias("min"),
-        q.alias("_q"),
-        F.max(column).alias("max"),
-    ).select("n", "mean", "std", "min", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"),
-             F.col("_q")[2].alias("q75"), "max")
+    """Count, mean, sample deviation, minimum, interpolated quartiles, maximum."""
+    values = written(df.groupBy(F.col(column).alias("_x")).agg(F.count(F.lit(1)).alias("_n")), "values")
+    q = exact_quantiles(values, [], "_x", QUARTILES, "_n").select(F.lit(1).alias("_one"), "quantiles")
+    base = df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"),
+                  F.min(column).alias("min"), F.max(column).alias("max"), F.lit(1).alias("_one"))
+    at = [F.get("quantiles", F.lit(k)).alias(name) for k, name in enumerate(("q25", "q50", "q75"))]
+    return base.join(q, "_one", "left").select("n", "mean", "std", "min", *at, "max")
 
 
 def describe_lengths(df: DataFrame, text: str) -> DataFrame:
