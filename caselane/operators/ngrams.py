@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caselane.functions import text as tx
 from caselane.functions.scores import share
-from caselane.operators.heavy import most_frequent
-from caselane.operators.ordered import fill_cores
+from caselane.operators.heavy import all_counts, most_frequent
+from caselane.operators.ordered import FEW_SPLITS, fill_cores
 from caselane.session import written
 
 MAX_FEATURES = 10_000
@@ -38,11 +38,18 @@ def vocabulary(df: DataFrame, doc_id: str, text: str, stop: list[str], size: int
 
     Tasks hand on bounded summaries of what they count; see :mod:`caselane.operators.heavy`.
     """
-    return count_terms(fill_cores(df.select(doc_id, text), doc_id).select(terms_of(F.col(text), stop).alias("_terms")), size)
+    splits = df.rdd.getNumPartitions()
+    return count_terms(fill_cores(df.select(doc_id, text), doc_id).select(terms_of(F.col(text), stop).alias("_terms")), size, splits)
 
 
-def count_terms(taken: DataFrame, size: int = MAX_FEATURES) -> DataFrame:
-    """The vocabulary of texts that have been taken apart into ``_terms``."""
+def count_terms(taken: DataFrame, size: int = MAX_FEATURES, splits: int | None = None) -> DataFrame:
+    """The vocabulary of texts that have been taken apart into ``_terms``.
+
+    Summaries pay where many tasks hold the same terms; what a scan of few splits counts is not worth them. Either way gives
+    the same terms.
+    """
+    if splits is not None and splits <= FEW_SPLITS:
+        return all_counts(taken).orderBy(F.desc("n"), "term").limit(size)
     return most_frequent(taken, size)
 
 

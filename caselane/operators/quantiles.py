@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caselane.session import written
 
-BUCKETS = 4096  # that a range is cut into
+BUCKETS = 1 << 16  # that a range is cut into
 EVERYTHING = "_all"  # the group of all rows
 
 
