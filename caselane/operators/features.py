@@ -63,7 +63,7 @@ def token_profile(df: DataFrame, text: str, cap: int, tokenize=tx.pieces, by: tu
     base = sizes.groupBy(*by).agg(
         F.sum("_rows").alias("n_texts"), of(F.col("_n")).alias("mean"), F.max("_n").alias("max"),
         of((F.col("_n") > cap).cast("double")).alias("share_over_cap")).withColumn(EVERYTHING, F.lit(0))
-    q = exact_quantiles(sizes, by, "_n", (0.5, 0.99), "_rows").withColumn(EVERYTHING, F.lit(0))
+    q = exact_quantiles(sizes, by, "_n", (0.5, 0.99), "_rows", True).withColumn(EVERYTHING, F.lit(0))
     return join_groups(base, q, [*by, EVERYTHING]).select(
         *by, "n_texts", "mean", F.get("quantiles", F.lit(0)).alias("median"), F.get("quantiles", F.lit(1)).alias("p99"), "max", "share_over_cap")
 

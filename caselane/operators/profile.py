@@ -124,7 +124,7 @@ def box_stats(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     Rows are first counted per (group, value); the second pass reads that small table, not the rows.
     """
     counted = durable(df.groupBy(*by, F.col(column).alias("_x")).agg(F.count(F.lit(1)).alias("_n")))
-    quartiles = exact_quantiles(counted, by, "_x", (0.25, 0.5, 0.75), "_n").select(
+    quartiles = exact_quantiles(counted, by, "_x", (0.25, 0.5, 0.75), "_n", True).select(
         *by, *[F.get("quantiles", F.lit(k)).alias(name) for k, name in enumerate(("q1", "median", "q3"))])
     boxes = written(join_groups(counted.groupBy(*by).agg(F.sum("_n").alias("n")), quartiles, by, "left"), "boxes")
     reach = 1.5 * (F.col("q3") - F.col("q1"))

@@ -64,7 +64,7 @@ def dedup_first(df: DataFrame, key: str, order: str) -> DataFrame:
 def describe(df: DataFrame, column: str) -> DataFrame:
     """Count, mean, sample deviation, minimum, interpolated quartiles, maximum."""
     values = written(df.groupBy(F.col(column).alias("_x")).agg(F.count(F.lit(1)).alias("_n")), "values")
-    q = exact_quantiles(values, [], "_x", QUARTILES, "_n").select(F.lit(1).alias("_one"), "quantiles")
+    q = exact_quantiles(values, [], "_x", QUARTILES, "_n", True).select(F.lit(1).alias("_one"), "quantiles")
     base = df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"),
                   F.min(column).alias("min"), F.max(column).alias("max"), F.lit(1).alias("_one"))
     at = [F.get("quantiles", F.lit(k)).alias(name) for k, name in enumerate(("q25", "q50", "q75"))]

@@ -30,16 +30,18 @@ def join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def exact_quantiles(rows: DataFrame, by: Sequence[str], column: str, shares: Sequence[float], weight: str | None = None) -> DataFrame:
+def exact_quantiles(rows: DataFrame, by: Sequence[str], column: str, shares: Sequence[float], weight: str | None = None,
+                    stored: bool = False) -> DataFrame:
     """``by`` and ``quantiles``, an array with the interpolated value at each share, per group that has a value.
 
-    ``weight`` names a column that tells how often a row counts. NULL values do not count; infinite values and NaN do, in this
+    ``weight`` names a column that tells how often a row counts; ``stored`` rows are a written table already. NULL values do not count; infinite values and NaN do, in this
     order, as the largest.
     """
     keys = [*by, EVERYTHING]
     x = F.col(column).cast("double")
     counted = rows.select(*by, F.lit(0).alias(EVERYTHING), x.alias("_x"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"))
-    data = written(counted.filter("_x IS NOT NULL"), "values")
+    known = counted.filter("_x IS NOT NULL")
+    data = known if stored else written(known, "values")
     plain = ~F.isnan("_x") & (F.abs("_x") < float("inf"))
     ends = {"_below": F.col("_x") == float("-inf"), "_plain": plain, "_above": F.col("_x") == float("inf")}
     span = data.groupBy(*keys).agg(
