@@ -2,13 +2,15 @@
 
 The pages of a host are merged into one tree whose nodes are paths of presentation styles (tag, role, class words). For
 each node the tree counts pages, contents and child sequences. Its importance combines the entropy of its presentation and of its
-contents, 1 - sum(n log n) / (N log N), over the pages that have it, copies of a whole page on a host counted once: what looks and reads the same everywhere is low, what differs
-from page to page is high. Styles that declare themselves (nav, footer, adverts, comments, scripts, ...) have importance 0,
-declared main content (article, main) has 1; a node that fewer than ``FEW`` pages have proves nothing and keeps the importance
-of a neutral style. Each page is then cut at its low nodes, and the text of what is left is read, only of declared main
-content where the page has some.
-
-Pages are folded by host and hash of their html. Counting is a two-level aggregate over (host, node, content) with map-side folding, so a host with a third of all pages is
+contents, 1 - sum(n log n) / (N log N), over the pages that have it: what looks and reads the same everywhere is low, what
+differs from page to page is high. Pages of a host whose main content is the same count once, so copies of an article do not
+make it boilerplate. Styles that declare themselves (nav, footer, adverts, comments, scripts, ...) have importance 0. A prior
+of 1 have the declared main element (article, main), what holds it, the page title in it (h1) and its bulk: a style that
+holds half or more of the main text on half or more of its pages. Everything else, inside main content as outside, is judged by its
+entropy; a node that fewer than ``FEW`` distinct pages have proves nothing and keeps the importance of a neutral style. Each page is
+then cut at its low nodes, and the text of what is left is read, only of declared main content where the page has some.
+
+Pages are folded by host and hash of their main content (of the html where none is declared). Counting is a two-level aggregate over (host, node, content) with map-side folding, so a host with a third of all pages is
 no hot task. Only the low nodes of each host are joined to its pages: the table has been written, so Spark broadcasts it
 below its own size limit and joins by shuffle, splitting hot hosts, above.
 
@@ -21,16 +23,19 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from caselane.llm.rows import objects
 from caselane.session import written
 
 FEW = 8  # pages that a node must have to be judged by its entropy
 LOW = 0.3  # importance below which a branch goes
+BULK = 0.5  # share of a page's main text from which on a style is its bulk; share of its pages on which it must be
 CONTENT = 0.9  # weight of contents against presentation
 
 # How styles declare themselves.
@@ -44,6 +49,7 @@ NOISE_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising b
 NOISE_ARTICLES = frozenset("comment comments reply replies ad ads advert advertisement sponsored promo related".split())
 ONLY_SAID = frozenset("has with no without is".split())  # "has-sidebar" is no sidebar
 MAIN_TAGS, MAIN_ROLES = frozenset(("article", "main")), frozenset(("article", "main"))
+TITLE = "h1"
 ROOTS = frozenset(("html", "body"))  # never a branch to cut
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("""a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q ruby rt rp s samp
@@ -56,7 +62,7 @@ CUT_OFF = re.compile(r"<[/!?a-zA-Z]")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 NEUTRAL, NOISE, MAIN = 0, 1, 2
-NODES = pa.list_(pa.struct([("node", pa.int64()), ("kind", pa.int64()), ("content", pa.int64()), ("children", pa.int64()), ("first", pa.bool_())]))
+NODES = pa.list_(pa.struct([("node", pa.int64()), ("kind", pa.int64()), ("content", pa.int64()), ("children", pa.int64()), ("first", pa.bool_()), ("bulk", pa.bool_())]))
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -140,12 +146,15 @@ def events(html: str) -> Iterator[tuple]:
     yield from closing(0)
 
 
-def page_nodes(html: str) -> list[tuple[int, int, int, int]]:
-    """(path, kind, hash of the content, hash of the child styles) of each branch down to the first that declares itself noise.
+def page_nodes(html: str) -> tuple[list[tuple[int, int, int, int]], frozenset[int], bytes]:
+    """(path, kind, hash of the content, hash of the child styles) of each branch down to the first that declares itself noise;
+    the paths that are the bulk of the main content; a digest of the main content, empty if none is declared.
 
-    What holds main content or is held by it counts as main content.
+    Of kind MAIN are the declared main elements, what holds them and the title in them.
     """
-    out, open_, depth = [], [], 0
+    out, open_, depth, within, total = [], [], 0, 0, 0
+    sizes: dict[int, int] = {}
+    digest = blake2b(digest_size=8)
     for event in events(html):
         if event[0] == "open":
             _, tag, path, kind = event
@@ -156,22 +165,32 @@ def page_nodes(html: str) -> list[tuple[int, int, int, int]]:
                     out.append((path, kind, 0, 0))
                 depth += 1
             elif tag not in INLINE and tag not in ROOTS:
-                if kind == MAIN:
+                declared = kind == MAIN
+                if declared:
                     for entry in open_:
                         entry[1] = MAIN
-                open_.append([path, max(kind, open_[-1][1] if open_ else NEUTRAL), 0, 0, tag])
+                elif within and tag == TITLE:
+                    kind = MAIN
+                open_.append([path, kind, 0, 0, tag, declared])
+                within += declared
         elif event[0] == "close":
             if depth:
                 depth -= 1
             elif open_ and open_[-1][4] == event[1]:
-                path, kind, content, children, _ = open_.pop()
+                path, kind, content, children, _, declared = open_.pop()
                 out.append((path, kind, content, children))
+                within -= declared
         elif not depth:
             code = " ".join(event[1].split()).encode("utf-8", "replace")
             if code:
                 for entry in open_:
                     entry[2] = crc32(code, entry[2])
-    return out
+                if within:
+                    digest.update(code + b"\n")
+                    total += len(code)
+                    for path in {entry[0] for entry in open_}:
+                        sizes[path] = sizes.get(path, 0) + len(code)
+    return out, frozenset(p for p, size in sizes.items() if size >= BULK * total), digest.digest() if total else b""
 
 
 def page_text(html: str, low: frozenset[int]) -> str:
@@ -226,31 +245,37 @@ def style_tree(pages: DataFrame) -> DataFrame:
     """host, node, kind, pages, importance: the merged trees of all hosts."""
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for html in batch.column(2).to_pylist():
+            found, marks = [], []
+            for html in objects(batch.column(1)):
+                branches, bulk, mark = page_nodes(html or "")
                 seen, rows = set(), []
-                for path, kind, content, children in page_nodes(html or ""):
-                    rows.append({"node": path, "kind": kind, "content": content, "children": children, "first": path not in seen})
+                for path, kind, content, children in branches:
+                    first = path not in seen
+                    rows.append({"node": path, "kind": kind, "content": content, "children": children, "first": first, "bulk": first and path in bulk})
                     seen.add(path)
                 found.append(rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, NODES)], ["host", "mark", "nodes"])
+                marks.append(mark or blake2b((html or "").encode("utf-8", "replace"), digest_size=8).digest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary()), pa.array(found, NODES)], ["host", "mark", "nodes"])
 
-    marked = pages.select(host(F.col("url")).alias("host"), F.xxhash64(F.coalesce("html", F.lit(""))).alias("mark"), "html")
-    whole = marked.mapInArrow(nodes, "host string, mark long, nodes array<struct<node:long,kind:long,content:long,children:long,first:boolean>>")
-    once = whole.groupBy("host", "mark").agg(F.first("nodes").alias("nodes"))  # a page and its copies on a host
+    marked = pages.select(host(F.col("url")).alias("host"), "html")
+    whole = marked.mapInArrow(nodes, "host string, mark binary, nodes array<struct<node:long,kind:long,content:long,children:long,first:boolean,bulk:boolean>>")
+    once = whole.groupBy("host", "mark").agg(F.min("nodes").alias("nodes"))  # a page and its copies on a host
     found = once.select("host", F.explode("nodes").alias("n")).select("host", "n.*")
-    each = found.select("host", "node", "kind", "first", F.explode(F.array(F.struct(F.lit(True).alias("is_content"), F.col("content").alias("value")),
+    each = found.select("host", "node", "kind", "first", "bulk", F.explode(F.array(F.struct(F.lit(True).alias("is_content"), F.col("content").alias("value")),
                                                                            F.struct(F.lit(False).alias("is_content"), F.col("children").alias("value")))).alias("f"))
     alike = each.groupBy("host", "node", "f.is_content", "f.value").agg(
-        F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind"), F.sum(F.col("first").cast("long")).alias("firsts"))
+        F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind"), F.sum(F.col("first").cast("long")).alias("firsts"),
+        F.sum(F.col("bulk").cast("long")).alias("bulks"))
     n = F.col("n").cast("double")
     tree = alike.groupBy("host", "node").agg(
         F.max("kind").alias("kind"), F.sum(F.when(F.col("is_content"), F.col("firsts"))).alias("pages"), F.sum(F.when(F.col("is_content"), n)).alias("times"),
+        F.sum(F.when(F.col("is_content"), F.col("bulks"))).alias("bulks"),
         F.sum(F.when(F.col("is_content"), n * F.log(n))).alias("repeats"), F.sum(F.when(~F.col("is_content"), n * F.log(n))).alias("shapes"))
     most = F.col("times") * F.log("times")
     contents, presentation = 1 - F.col("repeats") / most, 1 - F.col("shapes") / most
     judged = F.when(F.col("pages") < FEW, F.lit(1.0)).otherwise(CONTENT * contents + (1 - CONTENT) * presentation)
-    importance = F.when(F.col("kind") == NOISE, F.lit(0.0)).when(F.col("kind") == MAIN, F.lit(1.0)).otherwise(judged)
+    known = (F.col("kind") == MAIN) | (F.col("bulks") >= BULK * F.col("pages"))
+    importance = F.when(F.col("kind") == NOISE, F.lit(0.0)).when(known, F.lit(1.0)).otherwise(judged)
     return tree.select("host", "node", "kind", "pages", importance.alias("importance"))
 
 
@@ -261,7 +286,7 @@ def main_text(pages: DataFrame, low: float = LOW) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [page_text(html or "", frozenset(nodes or ())) for html, nodes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = [page_text(html or "", frozenset(nodes or ())) for html, nodes in zip(objects(batch.column(2)), objects(batch.column(3)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
