@@ -129,6 +129,46 @@ def test_markov_model(spark):
     assert found.select(secrets.listed(found["spans"])).first()[0] == "markov:39:79"
     assert secrets.train(spark.createDataFrame(samples[:300], "value string, random boolean")) is None
 
+    keys = ["".join(rng.choice(alphabet, n)) for n in (40, 40, 16, 19, 40)]
+    glued = ["0a1b2c3d" * 3 + "=" + keys[0], "/path/to/the/configuration/directory/" + keys[1], f"a {keys[2]} é {keys[3]}", "4111111111111111", f"'token': {'x' * 6}!{keys[4]}", None, ""]
+    got = [r[0] for r in secrets.scan(documents(spark, [(k, t, None, None) for k, t in enumerate(glued)]), ratios)
+           .orderBy("doc_id").select(secrets.listed(secrets.F.col("spans"))).collect()]
+    assert got == ["hex:0:24,markov:25:65", "markov:37:77", "markov:2:18,markov:21:40", "", "assign:1:15,markov:16:56", "", ""]
+
+
+def test_added_spans_by_brute_force(spark):
+    """The query's added spans on sf0.01 and planted keys, recounted in plain Python from the table of ratios."""
+    rng = np.random.default_rng(2)
+    alphabet = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in table.collect()]
+    planted = ["".join(rng.choice(alphabet, n)) for n in (12, 14, 16, 20, 24, 32, 40, 64) for _ in range(20)]
+    rows += [(10_000 + k, f"words before {v}, {rows[k][1]}", "en", "a") for k, v in enumerate(planted)]
+    docs = documents(spark, rows)
+    ratios = secrets.train(secrets.labelled(docs))
+    got = {r.doc_id: (r.base, r.spans) for r in secrets.scan(docs, ratios).collect()}
+    found = 0
+    for k, text, *_ in rows:
+        base, every = got[k]
+        rest = list(text or "")
+        for s in base:
+            rest[s.start:s.end] = " " * (s.end - s.start)
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+_]{12,}", "".join(rest)):
+            steps = [ratios[(ord(a) - secrets.FIRST) * secrets.WIDTH + ord(b) - secrets.FIRST] for a, b in zip(m[0], m[0][1:])]
+            if not m[0].isdigit() and sum(steps) >= secrets.THRESHOLD * (max(len(m[0]), secrets.SURE) - 1):
+                want.append(m.span())
+        assert [(s.start, s.end) for s in every if s.rank == 3] == want
+        found += k >= 10_000 and (13, 13 + len(planted[k - 10_000])) in want
+    assert found >= 0.9 * len(planted)
+
+
+def test_many_spans_in_one_text(spark):
+    text = "".join(f"é{k} password=secret{k:06d} {'ab01' * 6}\n" for k in range(3000))
+    row = secrets.scan(documents(spark, [(1, text, None, None)]), None).first()
+    assert [(s.start, s.end) for s in row.assign] == [m.span() for m in re.finditer(r"password=[a-z0-9]+", text)]
+    assert [(s.start, s.end) for s in row.hex] == [m.span() for m in re.finditer(r"[0-9a-f]{24,}", text)]
+
 
 def test_packing(spark):
     rows = packing.pack(documents(spark)).collect()
