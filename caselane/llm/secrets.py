@@ -30,7 +30,8 @@ KINDS = ("assign", "access", "hex", "markov")
 
 SHORTEST = 12  # characters of a part that is scored
 CANDIDATE = rf"[A-Za-z0-9+_]{{{SHORTEST},}}"
-IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]{5,}"
+# names and numbers as people write them; a random key, which has digits among letters or both cases mixed, is no example
+IDENTIFIER = r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]{6})(?:[A-Za-z][a-z]+(?:_[a-z]+)*|[A-Z]+(?:_[A-Z]+)*|[0-9]+)(?![A-Za-z0-9_])"
 FIRST, WIDTH = ord("+"), ord("z") - ord("+") + 1  # the characters of a candidate lie in this range
 SMOOTHING, BACK_OFF = 0.5, 5.0  # added to each character's count; weight of single characters against pairs
 THRESHOLD = 0.7  # mean log-likelihood ratio per transition
@@ -141,9 +142,9 @@ def train(samples: DataFrame) -> list[float] | None:
 
 def labelled(docs: DataFrame, text: str = "text", most: int = SAMPLE_DOCUMENTS) -> DataFrame:
     """Random strings: what the base patterns find in all documents. Identifiers: the words, outside of these, of at most
-    ``most`` different documents, those first in hash order, joined by underscores, in small letters and in capitals, as
-    names and constants are spelled. The order is found on hashes alone, so that no text is moved
-    but those taken."""
+    ``most`` different documents, those first in hash order, joined by underscores, in capitals and in camel case, as names are
+    spelled; words with digits or mixed case are left out, so that unlabelled keys are not learned as ordinary. The order is
+    found on hashes alone, so that no text is moved but those taken."""
     body = F.coalesce(F.col(text), F.lit(""))
     secrets = docs.select(F.explode(base_values(body)).alias("value"), F.lit(True).alias("random"))
     hashed = docs.select(F.xxhash64(body).alias("h"), body.alias("body"))
@@ -152,7 +153,7 @@ def labelled(docs: DataFrame, text: str = "text", most: int = SAMPLE_DOCUMENTS)
     rest = F.regexp_replace(F.regexp_replace("body", ASSIGN, " "), long_runs(HEX, LEAST["hex"]), " ")
     words = taken.select(F.explode(F.regexp_extract_all(rest, F.lit(IDENTIFIER), F.lit(0))).alias("word"))
     joined = F.concat_ws("_", "word", "word")
-    spelled = words.select(F.explode(F.array(joined, F.upper(joined))).alias("value"), F.lit(False).alias("random"))
+    spelled = words.select(F.explode(F.array(joined, F.upper(joined), F.repeat(F.initcap("word"), F.lit(2)))).alias("value"), F.lit(False).alias("random"))
     return secrets.unionByName(spelled)
 
 
