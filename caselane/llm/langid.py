@@ -1,7 +1,7 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF of hashed character n-grams.
 
 Document frequencies cover every training row. The classifier is fitted on a bounded sample, at most ``PER_LANGUAGE``
-rows of each language in hash order, by follow-the-regularised-leader with an elastic-net penalty; a fifth of the sample
+rows of each language in hash order (rows equal in id and text are one), by follow-the-regularised-leader with an elastic-net penalty; a fifth of the sample
 is kept back to find the temperature that makes the probabilities honest. Prediction is one Arrow-batched pass over whole
 texts; only the model (one row per n-gram bucket) is sent to the tasks.
 
@@ -138,24 +138,26 @@ def train(docs: DataFrame, row_id: str = "doc_id", text: str = "text", lang: str
           per_language: int = PER_LANGUAGE) -> dict | None:
     """The model: languages, idf, weights and temperature. Uses every row that ``docs`` has, so leave out held-out ones."""
     table = letters()
-    labelled = docs.select(F.col(row_id).alias("id"), F.col(text).alias("body"), F.col(lang).alias("label")).filter("label IS NOT NULL AND body IS NOT NULL")
+    rows = docs.select(F.col(row_id).alias("id"), F.col(text).alias("body"), F.col(lang).alias("label"))
+    # an id that many rows share must not bring all of them: rows are drawn by id and text, and copies of both are one
+    labelled = rows.filter("label IS NOT NULL AND body IS NOT NULL").select(F.xxhash64("id", "body").alias("id"), "body", "label")
     counts, total = document_frequencies(labelled.select("body"))
     if not total:
         return None
     idf = np.log((1 + total) / (1 + counts)) + 1
     quotas = durable(labelled.groupBy("label").agg(F.least(F.count(F.lit(1)), F.lit(per_language)).alias("quota")))
-    sample = take_by_hash(labelled, ["label"], "id", "lang", quotas, "_taken").filter("_taken = 1")
+    sample = take_by_hash(labelled, ["label"], "id", "lang", quotas, "_taken").filter("_taken = 1").dropDuplicates(["label", "id"])
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for ident, body, label in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            for ident, body, label in zip(*(objects(batch.column(c)) for c in range(3))):
                 if found := grams(body, table):
                     where, values = weighed(found, idf)
                     rows.append({"id": ident, "label": label, "buckets": where.astype("i4").tobytes(), "weights": values.astype("f4").tobytes()})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("id", pa.int64()), ("label", pa.string()), ("buckets", pa.binary()), ("weights", pa.binary())]))
 
-    found = (sample.select(F.col("id").cast("long"), "body", "label")
+    found = (sample.select("id", "body", "label")
              .mapInArrow(featured, "id long, label string, buckets binary, weights binary").orderBy("id", "buckets").collect())
     languages = sorted({r.label for r in found})
     place = {name: k for k, name in enumerate(languages)}
@@ -189,14 +191,14 @@ def identify(docs: DataFrame, model: dict | None, text: str = "text") -> DataFra
             yield pa.StructArray.from_arrays([pa.array([n for n, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
                                              names=["lang_pred", "score"])
 
-    plain = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*plain, predict(F.col(text)).alias("_lang")).select(*plain, "_lang.lang_pred", "_lang.score")
+    plain = F.struct(*[c for c in docs.columns if c not in ("lang_pred", "score")])
+    return docs.select(plain.alias("row"), predict(F.col(text)).alias("lang")).select("row.*", "lang.lang_pred", "lang.score")
 
 
 def accept(docs: DataFrame, model: dict | None, least: float, text: str = "text") -> DataFrame:
     """The rows whose language is known with a score of ``least`` or more, with the input's columns."""
-    lang = identify(docs.withColumn("_row", F.struct(*docs.columns)).select("_row", F.col(text).alias("_body")), model, "_body")
-    return lang.filter((F.col("lang_pred") != UND) & (F.col("score") >= least)).select("_row.*")
+    lang = identify(docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("body")), model, "body")
+    return lang.filter((F.col("lang_pred") != UND) & (F.col("score") >= least)).select("row.*")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -9,6 +9,9 @@ Tokens are found per white-space separated word, each distinct word once per Pyt
 tokenizer has no token across white space, so this gives the ids of the whole text. The strings of its added tokens are
 taken out first, wherever they stand.
 
+Training data comes from ``keep_ids``: sequences are the pieces of a sequence_id put together by offset, and the copies of
+a document that is packed several times differ in ``doc_row``.
+
 Defined cases: a null or empty text is the end token alone. Repeated rows are packed as rows of their own. An empty table
 gives an empty result. Only documents longer than a sequence are cut.
 """
@@ -145,26 +148,32 @@ def words(path: str | None) -> Words:
 
 def pieces(docs: DataFrame, row_id: str = "doc_id", text: str = "text", vocabulary: str | None = None,
            limit: int = LIMIT, most: int = OPEN, keep_ids: bool = False) -> DataFrame:
-    """One row per piece with its bin and place after the first round; ``ids`` too if they are to be kept."""
-    schema = PIECES + (", ids array<int>" if keep_ids else "")
+    """One row per piece with its bin and place after the first round.
+
+    With ``keep_ids`` also ``doc_row``, a number of the input row that tells rows of one id apart, and the ``ids``.
+    """
+    schema = PIECES + (", doc_row long, ids array<int>" if keep_ids else "")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins, known = OpenBins(limit, most, TaskContext.get().partitionId() << 32), words(vocabulary)
+        first = TaskContext.get().partitionId() << 32
+        bins, known, row = OpenBins(limit, most, first), words(vocabulary), first - 1
         for batch in batches:
-            rows, kept = [], []
+            rows, kept, numbers = [], [], []
             for ident, body in zip(batch.column(0).to_pylist(), objects(batch.column(1))):
                 ids = known.ids(body)
+                row += 1
                 for k, at in enumerate(range(0, len(ids), 4 * limit)):
                     part = ids[at:at + 4 * limit]
                     rows.append((ident, k, at // 4, len(part) // 4, zlib.crc32(part), *bins.place(len(part) // 4)))
                     if keep_ids:
                         kept.append(np.frombuffer(part, "<u4").astype("i4"))
+                        numbers.append(row)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, kinds)]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "bin", "place"]
             if keep_ids:
-                columns.append(pa.array(kept, pa.list_(pa.int32())))
-                names.append("ids")
+                columns += [pa.array(numbers, pa.int64()), pa.array(kept, pa.list_(pa.int32()))]
+                names += ["doc_row", "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select(F.col(row_id).cast("long"), F.col(text)).mapInArrow(pack, schema)
@@ -188,11 +197,11 @@ def together(bins: DataFrame, limit: int, most: int) -> DataFrame:
 
 def pack(docs: DataFrame, row_id: str = "doc_id", text: str = "text", vocabulary: str | None = None,
          limit: int = LIMIT, most: int = OPEN, keep_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids) of every piece."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset (with ``keep_ids`` also doc_row and ids) of every piece."""
     first = written(pieces(docs, row_id, text, vocabulary, limit, most, keep_ids), "pieces")
     fills = first.groupBy("bin").agg(F.sum("length").alias("fill"))
     loose = written(fills.filter(F.col("fill") < FULL * limit), "loose")
     moved = written(together(loose, limit, most), "moved")
     out = first.join(moved, "bin", "left").withColumn("offset", F.col("place") + F.coalesce("base", F.lit(0))).withColumn(
         "sequence_id", F.coalesce("sequence_id", "bin"))
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * keep_ids)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["doc_row", "ids"] * keep_ids)

@@ -24,12 +24,11 @@ def take_rows(docs: DataFrame, row_id: str, mark: Column, kept: DataFrame, repea
 
     ``kept`` and ``repeated`` have the columns KEY_ID and KEY_MARK; ``repeated`` lists the kept keys that several rows
     share, of which the largest row stays. Both are written tables, so a small one is broadcast by Spark's own limit and a
-    large one is joined by shuffle.
+    large one is joined by shuffle. Rows travel as one struct, so no column of theirs can clash with a key.
     """
-    marked = docs.select(*docs.columns, mark.alias("_mark"))
-    same = F.col(row_id).eqNullSafe(F.col(KEY_ID)) & (F.col("_mark") == F.col(KEY_MARK))
+    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col(row_id).alias("id"), mark.alias("mark"))
+    same = F.col("id").eqNullSafe(F.col(KEY_ID)) & (F.col("mark") == F.col(KEY_MARK))
     found = marked.join(kept, same, "left_semi")
-    single = found.join(repeated, same, "left_anti").select(*docs.columns)
-    several = (found.join(repeated, same, "left_semi").groupBy(row_id, "_mark")
-               .agg(F.max(F.struct(*docs.columns)).alias("_row")).select("_row.*"))
-    return single.unionByName(several)
+    single = found.join(repeated, same, "left_anti").select("row")
+    several = found.join(repeated, same, "left_semi").groupBy("id", "mark").agg(F.max("row").alias("row")).select("row")
+    return single.unionByName(several).select("row.*")

@@ -28,11 +28,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from caselane.llm.rows import KEY_ID, KEY_MARK, objects, take_rows
 from caselane.session import written
@@ -208,13 +209,57 @@ def code_array(column: pa.Array, lanes: int) -> np.ndarray:
     return np.frombuffer(joined, np.uint64).reshape(-1, lanes)
 
 
+def block_pairs(own: Column, first: Column, last: Column) -> Column:
+    """The pairs of a row's block with each block from ``first`` to ``last``, the smaller number first."""
+    return F.transform(F.sequence(first, last), lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j")))
+
+
+def crowd_links(rows: DataFrame, place: list[str], node: str, weight: Column, block: int, link) -> DataFrame:
+    """u, v: links that connect all pairs of the crowded places of ``rows`` (a written table with their ``blocks``).
+
+    First the rows of block 0 stand for their place: they are compared with every other block. Mostly that makes a place
+    one component, and then nothing is left. What else is left are pairs with a row outside its place's largest component:
+    such rows are compared, in blocks, with each other and with the largest. So a group of copies costs as much as it has
+    rows, and only rows that link with few others are compared with all.
+    """
+    own = F.pmod(F.xxhash64(node), F.col("blocks")).cast("int")
+    last = F.col("blocks") - 1
+    heads = F.when(own == 0, block_pairs(own, F.lit(1), last)).otherwise(F.array(F.struct(F.lit(0).alias("i"), own.alias("j"))))
+    firsts = rows.select("*", F.explode(heads).alias("pair")).groupBy(*place, "pair").applyInArrow(link, "u long, v long").distinct()
+    firsts = written(firsts, "first-links")
+    roots = components(firsts).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    waiting = (rows.filter(own > 0).join(roots, F.col(node) == F.col("_node"), "left")
+               .withColumn("_root", F.coalesce("_root", node)).select(*place, node, "_root", weight.alias("_weight")))
+    waiting = written(waiting, "waiting")
+    largest = (waiting.groupBy(*place, "_root").agg(F.sum("_weight").alias("_weight")).groupBy(*place)
+               .agg(F.max(F.struct("_weight", "_root"))["_root"].alias("_largest"), F.count(F.lit(1)).alias("_roots"))
+               .filter("_roots > 1").select(*place, "_largest"))
+    outside = F.col("_root") != F.col("_largest")
+    sides = written(waiting.join(written(largest, "largest"), place).select(*place, F.col(node).alias("_node"), outside.alias("_outside"), "_weight"), "sides")
+    if sides.isEmpty():
+        return firsts
+    needed = [(F.sum(F.when(side, F.col("_weight")).otherwise(0)) / block).cast("int").alias(name)
+              for name, side in (("_outer", F.col("_outside")), ("_inner", ~F.col("_outside")))]
+    counts = written(sides.groupBy(*place).agg(*needed), "sides-blocks")
+    split = sides.drop("_weight").join(counts, place)
+    outer = F.pmod(F.xxhash64("_node"), F.col("_outer") + 1).cast("int")
+    inner = F.pmod(F.xxhash64("_node"), F.col("_inner") + 1).cast("int")
+    behind = F.transform(F.sequence(F.lit(0), F.col("_inner")), lambda k: F.struct(outer.alias("i"), (k + F.col("_outer") + 1).alias("j")))
+    before = F.transform(F.sequence(F.lit(0), F.col("_outer")), lambda k: F.struct(k.alias("i"), (inner + F.col("_outer") + 1).alias("j")))
+    pairs = F.when(F.col("_outside"), F.concat(block_pairs(outer, F.lit(0), F.col("_outer")), behind)).otherwise(before)
+    dealt = written(split.select(*[F.col(c).alias(f"_{c}") for c in place], "_node", pairs.alias("_pairs")), "dealt")
+    same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_{c}") for c in place], F.col(node) == F.col("_node"))
+    shards = rows.join(dealt, same).select(*rows.columns, F.explode("_pairs").alias("pair"))
+    return firsts.unionByName(shards.groupBy(*place, "pair").applyInArrow(link, "u long, v long")).distinct()
+
+
 def find_links(prints: DataFrame, masks: np.ndarray, lanes: int, bits: int, radius: int = 0,
                most: int = SAMPLE, ratio: int = RATIO, per_leaf: int = PER_LEAF, block: int = BLOCK) -> DataFrame:
     """u, v: links between fingerprints (node, code) that connect all pairs which the forest finds within ``bits``.
 
     A leaf's share of all rows is fixed by the sample, so with radius 0 leaves are parted further by the masked bits, which
-    no pair crosses. A part that is still too large for a task is cut into blocks and every pair of blocks is a shard, so
-    that no task holds more than two blocks however many fingerprints crowd together.
+    no pair crosses. A part that is still too large for a task is cut into blocks, see :func:`crowd_links`, so that no task
+    holds more than two blocks however many fingerprints crowd together.
     """
     count = prints.count()
     rows = prints.select("code").orderBy(F.xxhash64("code"), "code").limit(min(most, count // ratio + 1)).collect()  # bounded
@@ -241,11 +286,11 @@ def find_links(prints: DataFrame, masks: np.ndarray, lanes: int, bits: int, radi
     place = ["tree", "leaf", "part"]
     crowded = written(leaves.groupBy(*place).count().filter(F.col("count") > block)
                       .select(*place, F.expr(f"CAST((count - 1) DIV {block} + 1 AS INT)").alias("blocks")), "crowded")
-    blocks = F.coalesce("blocks", F.lit(1))
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j")))
-    shards = leaves.join(crowded, place, "left").select("*", F.explode(pairs).alias("pair"))
-    return shards.groupBy(*place, "pair").applyInArrow(link, "u long, v long").distinct()
+    links = leaves.join(crowded, place, "left_anti").groupBy(*place).applyInArrow(link, "u long, v long").distinct()
+    if crowded.isEmpty():
+        return links
+    crowds = written(leaves.join(crowded, place), "crowds")
+    return links.unionByName(crowd_links(crowds, place, "node", F.lit(1), block, link)).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -349,19 +394,19 @@ def verified(docs: DataFrame, row_id: str, text: str, rows: DataFrame, words: in
     """u, v: links between the sets of shingles (their hashes) of a root that connect all pairs of at least this similarity.
 
     Each set is taken from one text. The sets of a root are one shard; a root with too many shingles for a task is cut
-    into blocks, and every pair of blocks is a shard.
+    into blocks, see :func:`crowd_links`.
     """
     sets = rows.groupBy("root", "grams").agg(F.max(F.greatest("size", F.lit(LEAST_SIZE))).alias("size"),
                                              F.min(F.struct("doc_id", "mark")).alias("least"))
     sets = written(sets.select("root", "grams", "size", F.col("least.doc_id").alias(KEY_ID), F.col("least.mark").alias(KEY_MARK)), "sets")
     crowds = written(sets.groupBy("root").agg(F.count(F.lit(1)).alias("many"), F.sum("size").alias("size")).filter("many > 1")
                      .select("root", F.expr(f"CAST((size - 1) DIV {block} + 1 AS INT)").alias("blocks")), "crowds")
-    wanted = written(sets.select("root", "grams", KEY_ID, KEY_MARK).join(crowds, "root"), "wanted")
+    wanted = written(sets.select("root", "grams", "size", KEY_ID, KEY_MARK).join(crowds, "root"), "wanted")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.unique(shingle_hashes(t, words)).tobytes() for t in objects(batch.column(3))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], ["root", "grams", "blocks", "members"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], batch.column(4), pa.array(found, pa.binary())], ["root", "grams", "blocks", "size", "members"])
 
     def link(shard: pa.Table) -> pa.Table:
         nodes, at = np.unique(shard.column("grams").to_numpy(), return_index=True)
@@ -371,11 +416,14 @@ def verified(docs: DataFrame, row_id: str, text: str, rows: DataFrame, words: in
 
     narrow = docs.select(F.col(row_id).cast("long").alias("_id"), text_mark(text).alias("_mark"), F.col(text).alias("_body"))
     texts = narrow.join(wanted, F.col("_id").eqNullSafe(F.col(KEY_ID)) & (F.col("_mark") == F.col(KEY_MARK)))
-    taken = texts.select("root", "grams", "blocks", "_body").mapInArrow(to_sets, "root long, grams long, blocks int, members binary")
-    own = F.pmod(F.xxhash64("grams"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j")))
-    shards = taken.select("root", "grams", "members", F.explode(pairs).alias("pair"))
-    return shards.groupBy("root", "pair").applyInArrow(link, "u long, v long").distinct()
+    def members_of(found: DataFrame) -> DataFrame:
+        return found.select("root", "grams", "blocks", "_body", "size").mapInArrow(to_sets, "root long, grams long, blocks int, size long, members binary")
+
+    links = members_of(texts.filter("blocks = 1")).groupBy("root").applyInArrow(link, "u long, v long").distinct()
+    if wanted.filter("blocks > 1").isEmpty():
+        return links
+    crowded = written(members_of(texts.filter("blocks > 1")), "crowded")
+    return links.unionByName(crowd_links(crowded, ["root"], "grams", F.col("size"), block, link)).distinct()
 
 
 def dedup(docs: DataFrame, row_id: str = "doc_id", text: str = "text", words: int = NEAR_WORDS,

@@ -4,9 +4,10 @@ Writing: of records with equal payloads of at least 100 bytes the one with the s
 others revisit it, which one aggregate over digests decides. A task turns its rows into gzip members and Spark's own text
 writer puts them into files, so the archives may lie in any store that Spark can write, and a task that is run again
 replaces its file. A gzip member ends in the top byte of its length; the writer's line separator is that zero byte, so a
-file is exactly its members, one after the other.
+file is exactly its members, one after the other. A task begins a new archive after ``ARCHIVE_BYTES`` of members, so an
+archive is never larger than that and one record.
 
-Reading: a task takes one archive, feeds it to an incremental zlib decompressor member by member, frames the record by
+Reading: Spark hands a task whole archives, which the bound on their bytes keeps small; the task takes one, feeds it to an incremental zlib decompressor member by member, frames the record by
 Content-Length and verifies block and payload digests; anything that does not fit raises ValueError.
 
 Defined cases: a null payload is an empty one; a null url leaves out the target URI; control characters in a url are
@@ -25,10 +26,12 @@ from urllib.parse import quote, unquote
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from caselane.llm.rows import objects
 from caselane.session import scratch_path, written
 
 LEAST = 100  # bytes from which on equal payloads are stored once
-RECORDS = 20_000  # records per archive at most
+ARCHIVE_BYTES = 1 << 26  # compressed bytes after which a task begins a new archive
+BATCH_BYTES = 1 << 23  # bytes of members or records that a task hands on at a time
 DATE = "2024-01-01T00:00:00Z"  # capture time of the records, a parameter of the archive
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EMPTY_MEMBER = zlib.compress(b"", wbits=31)
@@ -56,7 +59,7 @@ def member(data: bytes) -> bytes:
     return (packed if packed[-1] == 0 else packed + EMPTY_MEMBER)[:-1]
 
 
-def members(archive: bytes, piece: int = 1 << 16) -> Iterator[bytes]:
+def members(archive: bytes | pa.Buffer, piece: int = 1 << 16) -> Iterator[bytes]:
     """The contents of an archive's gzip members, decompressed a piece of input at a time."""
     view, at = memoryview(archive), 0
     while at < len(view):
@@ -108,16 +111,28 @@ def plan(pages: DataFrame, least: int = LEAST) -> DataFrame:
     return joined.withColumn("first", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
 
 
-def write(pages: DataFrame, folder: str, least: int = LEAST, date: str = DATE) -> None:
-    """Write every page as one record into archives below ``folder``."""
+def write(pages: DataFrame, folder: str, least: int = LEAST, date: str = DATE, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write every page as one record into archives of bounded size below ``folder``."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = filled = 0
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "size", "digest", "first")]
-            yield pa.RecordBatch.from_arrays([pa.array([member(record(*row, date)) for row in zip(*cols)], pa.binary())], ["member"])
-
-    packed = plan(pages, least).mapInArrow(pack, "member binary")
-    (packed.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\x00")
-     .option("compression", "none").option("maxRecordsPerFile", RECORDS).text(folder))
+            found, numbers, size = [], [], 0
+            for row in zip(*(objects(batch.column(c)) for c in ("page_id", "url", "payload", "size", "digest", "first"))):
+                data = member(record(*row, date))
+                if filled >= archive_bytes:
+                    number, filled = number + 1, 0
+                filled += len(data) + 1
+                size += len(data)
+                found.append(data)
+                numbers.append(number)
+                if size >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(numbers, pa.int32())], ["member", "archive"])
+                    found, numbers, size = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(numbers, pa.int32())], ["member", "archive"])
+
+    packed = plan(pages, least).mapInArrow(pack, "member binary, archive int")
+    (packed.select(F.col("member").cast("string").alias("value"), "archive").write.partitionBy("archive")
+     .option("lineSep", "\x00").option("compression", "none").text(folder))
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -126,10 +141,10 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for archive in batch.column("content"):
                 rows, size = [], 0
-                for data in members(archive.as_py()):
+                for data in members(archive.as_buffer()):
                     rows.append(parse(data))
                     size += len(data)
-                    if size > 1 << 23:
+                    if size >= BATCH_BYTES:
                         yield pa.RecordBatch.from_pylist(rows, SCHEMA)
                         rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, SCHEMA)

@@ -36,8 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the mixed documents with their places in sequences."""
-    return packing.pack(docs)
+    """The pieces of the mixed documents with their token ids and places in sequences; copies differ in doc_row."""
+    return packing.pack(docs, keep_ids=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -8,8 +8,9 @@ DOCS = T.StructType([
     # names that operators use themselves
     T.StructField("size", T.StringType()), T.StructField("mark", T.StringType()), T.StructField("row", T.StringType()),
     T.StructField("name", T.StringType()), T.StructField("key", T.StringType()), T.StructField("code", T.StringType()),
-    T.StructField("body", T.StringType()), T.StructField("score", T.StringType())])
-EXTRA = ("s", "m", "r", "n", "k", "c", "b", "x")
+    T.StructField("body", T.StringType()), T.StructField("score", T.StringType()), T.StructField("_mark", T.StringType()),
+    T.StructField("_lang", T.StringType()), T.StructField("_row", T.StringType()), T.StructField("_key_id", T.StringType())])
+EXTRA = ("s", "m", "r", "n", "k", "c", "b", "x", "_m", "_l", "_r", "_k")
 LONG = " ".join(f"word{i % 977} of{i}" for i in range(30_000))
 ENGLISH = "The quick brown fox jumps over the lazy dog and the cat sits there with that other thing."
 GERMAN = "Der schnelle braune Fuchs springt über den faulen Hund und die Katze sitzt auch nicht weit davon."

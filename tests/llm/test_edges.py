@@ -96,6 +96,16 @@ def test_languages(spark):
     assert kept.schema == DOCS and {3, 4, 5, 10}.isdisjoint({r.doc_id for r in kept.collect()})
 
 
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """One id on most rows, and one row on many."""
+    rows = [(7, f"{ENGLISH} {k}", "en", "a") for k in range(400)] + [(8, GERMAN, "de", "a")] * 300
+    fitted, fit = [], langid.fit_weights
+    monkeypatch.setattr(langid, "fit_weights", lambda rows, *rest: fitted.append(len(rows)) or fit(rows, *rest))
+    monkeypatch.setattr(langid, "temperature", lambda logits, labels: fitted.append(len(labels)) or 1.0)
+    model = langid.train(documents(spark, rows), per_language=50)
+    assert model["languages"] == ["de", "en"] and sum(fitted) == 51
+
+
 def test_temperature():
     rng = np.random.default_rng(0)
     logits = rng.normal(size=(4000, 3))
@@ -310,6 +320,29 @@ def test_near_dedup_at_the_bound(spark):
     assert {r.doc_id for r in simhash.dedup(documents(spark, rows[:40]), block=600).collect()} == {r[0] for r in rows[:40:2]}
 
 
+@pytest.mark.parametrize("changed", [4, 22])
+def test_near_dedup_of_a_crowd(spark, changed):
+    """A group cut into blocks, of which most rows or only some are one component."""
+    rng = np.random.default_rng(changed)
+    base = [f"w{i}" for i in range(304)]
+    texts = []
+    for k in range(60):
+        words = list(base)
+        for i in rng.choice(304, rng.integers(1, changed), replace=False):
+            words[i] = f"x{k}y{i}"
+        texts.append(" ".join(words))
+    sets = [{tuple(t.split()[i:i + 5]) for i in range(300)} for t in texts]
+    label = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                label = [label[j] if x == label[i] else x for x in label]
+    firsts = {label.index(x) for x in label}
+    assert len(firsts) < 60 and (len(firsts) > 1) == (changed > 10)
+    kept = simhash.dedup(documents(spark, [(k, t, "en", "a") for k, t in enumerate(texts)]), block=1200).collect()
+    assert {r.doc_id for r in kept} == firsts
+
+
 def test_repeated_lines_link_nothing(spark):
     line = "this line of eleven words stands in each of the documents "
     rows = [(k, line * 60 + " ".join(f"own{k}x{i}" for i in range(404)), "en", "a") for k in range(8)]
@@ -353,7 +386,7 @@ def test_warc_files_are_gzip_members(spark, tmp_path):
 
     folder = tmp_path / "archives"
     warc.write(pages(spark, PAGES), str(folder))
-    files = [p for p in folder.iterdir() if p.name.startswith("part-")]
+    files = [p for p in folder.rglob("part-*")]
     assert sum(gzip.decompress(p.read_bytes()).count(b"WARC/1.1\r\n") for p in files) == len(PAGES)
     data = max(files, key=lambda p: p.stat().st_size).read_bytes()
     with pytest.raises((ValueError, zlib.error)):
@@ -363,6 +396,16 @@ def test_warc_files_are_gzip_members(spark, tmp_path):
         warc.parse(record.replace(b"payload", b"Payload", 1) if b"payload" in record else record[:-5])
 
 
+def test_warc_archives_are_bounded(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(k, "http://a.example", rng.bytes(3000).hex()) for k in range(200)]
+    warc.write(pages(spark, rows).coalesce(1), str(tmp_path / "archives"), archive_bytes=50_000)
+    sizes = [p.stat().st_size for p in (tmp_path / "archives").rglob("part-*")]
+    assert len(sizes) > 8 and max(sizes) < 55_000
+    found = warc.read(spark, str(tmp_path / "archives")).collect()
+    assert sorted((r.page_id, r.html) for r in found) == sorted((i, h) for i, _, h in rows)
+
+
 SITE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body class="no-sidebar"><nav><ul><li>Home</ul></nav>
 <div class="site-header">Brand</div><div class="cookie-notice">We use cookies</div>{main}<aside>Side</aside><section id="comments"><p>First!</p></section>
 <form><p>Search</p></form><footer>&copy; 2024</footer></body></html>"""

@@ -1,12 +1,16 @@
 """The stages in order, each against a plain version of what it must do to its own input."""
 
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
+from caselane.llm import packing
 from caselane.session import written
+from corpus_pipeline import pack_sequences
 from tests.llm.cases import DOCS, ROWS, documents
 
 
@@ -86,6 +90,9 @@ def test_pack(stages):
     for r in after:
         fill[r.sequence_id] += r.length
     assert max(fill.values()) <= 2048 and len(fill) <= 1.05 * sum(fill.values()) / 2048 + 1
+    assert len({(r.doc_row, r.piece) for r in after}) == len(after) and len({r.doc_row for r in after}) == len(before)
+    for r in after:
+        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
 
 
 def test_awkward_rows(spark):
@@ -94,6 +101,10 @@ def test_awkward_rows(spark):
         docs = written(stage(spark, docs, ""), name)
         assert docs.schema == DOCS
     assert 0 < docs.count() <= 2 * len(ROWS)
+    packed = packing.pack(documents(spark), keep_ids=True).collect()  # no row is lost before it
+    assert len({r.doc_row for r in packed}) == len(ROWS) and Counter(r.doc_id for r in packed if r.piece == 0) == Counter(r[0] for r in ROWS)
+    assert all(len(r.ids) == r.length for r in packed) and any(r.piece > 0 for r in packed)
+    assert pack_sequences(spark, docs, "").count() >= docs.count()
 
 
 def test_empty(spark):
