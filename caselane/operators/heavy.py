@@ -19,7 +19,6 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from caselane.functions import text as tx
 from caselane.operators.ordered import broadcast_if_small
 from caselane.session import written
 
@@ -27,18 +26,47 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 KEPT = 1 << 20  # items that a task keeps
 LOOSE = 16  # candidates for each item sought, above which the error tells too little
-ITEMS = 1 << 22  # items of a batch that are folded at a time
+ITEMS = 1 << 20  # items of a batch that are folded at a time
 
 
-def row_counts(lists: pa.ListArray) -> pa.Table:
-    """term, n (occurrences) and df (rows it occurs in) of some rows of terms."""
-    terms = lists.flatten().dictionary_encode()
-    row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-    width = max(1, len(terms.dictionary))
-    pair, times = np.unique(row * width + terms.indices.to_numpy(zero_copy_only=False), return_counts=True)
-    term = pair % width
+def lengths_of(lists: pa.ListArray) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+
+
+def slices(lists: pa.ListArray) -> Iterator[tuple[int, int]]:
+    """Where the rows of a batch are cut, so that no part but one of a single row has more than ``ITEMS`` items."""
+    sizes, at = np.cumsum(lengths_of(lists)), 0
+    while at < len(lists):
+        upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + ITEMS, "right")))
+        yield at, upto
+        at = upto
+
+
+def coded(lists: pa.ListArray, pairs: bool) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Row and code of every item, and the items by code; with ``pairs`` neighbours in a row, joined by a space, are items too."""
+    words = lists.flatten().dictionary_encode()
+    row, code, names = np.repeat(np.arange(len(lists)), lengths_of(lists)), words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary
+    if pairs and len(code):
+        width, beside = len(names), row[1:] == row[:-1]
+        pair, place = np.unique((code[:-1] * width + code[1:])[beside], return_inverse=True)
+        joined = pc.binary_join_element_wise(names.take(pa.array(pair // width)), names.take(pa.array(pair % width)), " ")
+        row, code, names = np.append(row, row[1:][beside]), np.append(code, width + place), pa.concat_arrays([names, joined])
+    return row, code, names
+
+
+def row_counts(lists: pa.ListArray, pairs: bool = False) -> pa.Table:
+    """term, n (occurrences) and df (rows it occurs in) of some rows of terms, or of words whose pairs are terms too."""
+    row, code, names = coded(lists, pairs)
+    width = max(1, len(names))
+    found, times = np.unique(row * width + code, return_counts=True)
+    term = found % width
     n, df = np.bincount(term, times, width).astype(np.int64), np.bincount(term, minlength=width).astype(np.int64)
-    return pa.table({"term": terms.dictionary.cast(pa.string()), "n": n[:len(terms.dictionary)], "df": df[:len(terms.dictionary)]})
+    return pa.table({"term": names.cast(pa.string()), "n": n[:len(names)], "df": df[:len(names)]})
+
+
+def items_of(taken: DataFrame) -> tuple[str, bool]:
+    """The column of items: ``_words``, whose pairs are items too, or ``_terms``."""
+    return ("_words", True) if "_words" in taken.columns else ("_terms", False)
 
 
 def added(tables: list[pa.Table]) -> pa.Table:
@@ -58,6 +86,8 @@ def pruned(counts: pa.Table, kept: int) -> tuple[pa.Table, int]:
 
 def summaries(taken: DataFrame, kept: int) -> DataFrame:
     """term, n, df and off: a row per item that a task kept, and one without a term with what it took off."""
+    column, pairs = items_of(taken)
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, waiting, off = [], 0, 0
 
@@ -68,13 +98,9 @@ def summaries(taken: DataFrame, kept: int) -> DataFrame:
             return less
 
         for batch in batches:
-            lists, at = batch.column(0), 0
-            sizes = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-            while at < len(lists):
-                before = sizes[at - 1] if at else 0
-                upto = max(at + 1, int(np.searchsorted(sizes, before + ITEMS, "right")))
-                held.append(row_counts(lists.slice(at, upto - at)))
-                waiting, at = waiting + len(held[-1]), upto
+            for at, upto in slices(batch.column(0)):
+                held.append(row_counts(batch.column(0).slice(at, upto - at), pairs))
+                waiting += len(held[-1])
                 if waiting > 2 * kept:
                     off += fold()
         if held:
@@ -85,16 +111,28 @@ def summaries(taken: DataFrame, kept: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), *[pa.array([0], pa.int64())] * 2, pa.array([off], pa.int64())],
                                          ["term", "n", "df", "off"])
 
-    return written(taken.select("_terms").mapInArrow(gather, "term string, n long, df long, off long"), "summaries")
+    return written(taken.select(column).mapInArrow(gather, "term string, n long, df long, off long"), "summaries")
+
+
+def partial_counts(taken: DataFrame) -> DataFrame:
+    """term, n and df, summed over some rows at a time."""
+    column, pairs = items_of(taken)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, upto in slices(batch.column(0)):
+                yield from row_counts(batch.column(0).slice(at, upto - at), pairs).combine_chunks().to_batches()
+
+    return taken.select(column).mapInArrow(count, "term string, n long, df long")
 
 
 def all_counts(taken: DataFrame) -> DataFrame:
     """term, n and df of every item."""
-    return taken.select(F.inline(tx.folded(F.col("_terms")))).groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
+    return partial_counts(taken).groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
 
 def most_frequent(taken: DataFrame, size: int, kept: int = KEPT) -> DataFrame:
-    """term, n and df of the ``size`` most frequent items of the rows of ``_terms``, ties in item order."""
+    """term, n and df of the ``size`` most frequent items of the rows of ``_terms`` or ``_words``, ties in item order."""
     found = summaries(taken, kept)
     slack = found.agg(F.sum("off").alias("off")).first().off or 0
     sums = found.filter("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
@@ -104,8 +142,8 @@ def most_frequent(taken: DataFrame, size: int, kept: int = KEPT) -> DataFrame:
         able = sums.filter(F.col("n") + slack >= (top.least or 0)).select("term")
         tight = top.many == size and top.least > slack and able.limit(LOOSE * size + 1).count() <= LOOSE * size
         if tight:
-            counted = taken.select(F.inline(tx.folded(F.col("_terms")))).join(broadcast_if_small(able), "term", "left_semi")
-            sums = counted.groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
+            counted = partial_counts(taken).join(broadcast_if_small(able), "term", "left_semi")
+            sums = counted.groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
         else:
             sums = all_counts(taken)
     return sums.orderBy(F.desc("n"), "term").limit(size)

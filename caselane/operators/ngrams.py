@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from caselane.functions import text as tx
 from caselane.functions.scores import share
-from caselane.operators.heavy import all_counts, most_frequent
+from caselane.operators.heavy import all_counts, lengths_of, most_frequent, slices
 from caselane.operators.ordered import FEW_SPLITS, fill_cores
 from caselane.session import written
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAX_FEATURES = 10_000
+FEW_TERMS = 1 << 17  # terms of a table up to which every task gets them
 
 # Every text carries this marker; no real term is empty.
 NO_TERM = ""
@@ -29,8 +39,12 @@ def ngrams(df: DataFrame, column: str = "tokens", output: str = "terms") -> Data
     return df.withColumn(output, tx.unigrams_and_bigrams(F.col(column)))
 
 
+def words_of(text: Column, stop: list[str]) -> Column:
+    return tx.without(tx.tokens(text), stop)
+
+
 def terms_of(text: Column, stop: list[str]) -> Column:
-    return tx.unigrams_and_bigrams(tx.without(tx.tokens(text), stop))
+    return tx.unigrams_and_bigrams(words_of(text, stop))
 
 
 def vocabulary(df: DataFrame, doc_id: str, text: str, stop: list[str], size: int = MAX_FEATURES) -> DataFrame:
@@ -39,11 +53,11 @@ def vocabulary(df: DataFrame, doc_id: str, text: str, stop: list[str], size: int
     Tasks hand on bounded summaries of what they count; see :mod:`caselane.operators.heavy`.
     """
     splits = df.rdd.getNumPartitions()
-    return count_terms(fill_cores(df.select(doc_id, text), doc_id).select(terms_of(F.col(text), stop).alias("_terms")), size, splits)
+    return count_terms(fill_cores(df.select(doc_id, text), doc_id).select(words_of(F.col(text), stop).alias("_words")), size, splits)
 
 
 def count_terms(taken: DataFrame, size: int = MAX_FEATURES, splits: int | None = None) -> DataFrame:
-    """The vocabulary of texts that have been taken apart into ``_terms``.
+    """The vocabulary of texts that have been taken apart into ``_terms``, or into ``_words`` whose pairs are terms too.
 
     Summaries pay where many tasks hold the same terms; what a scan of few splits counts is not worth them. Either way gives
     the same terms.
@@ -61,18 +75,77 @@ def count_terms_of(taken: DataFrame, members: list[str]) -> DataFrame:
         *[F.count_if(F.col(m) == 1).alias(f"df_{m}") for m in members])
 
 
+class Known:
+    """The places of a table's terms, found from the words of texts without writing a pair as a string."""
+
+    def __init__(self, terms: list[str]):
+        parts = [t.split(" ") if t != NO_TERM else [] for t in terms]
+        names = sorted({w for p in parts if len(p) <= 2 for w in p})
+        number = {w: k for k, w in enumerate(names)}
+        self.words, self.width = pa.array(names, pa.string()), len(names) + 1  # the last number is that of any other word
+        self.single = np.full(self.width, -1)
+        pairs = {}
+        for at, p in enumerate(parts):
+            if len(p) == 1:
+                self.single[number[p[0]]] = at
+            elif len(p) == 2:
+                pairs[number[p[0]] * self.width + number[p[1]]] = at
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.pair_place = np.array([pairs[p] for p in sorted(pairs)], np.int64)
+        self.marker = [at for at, t in enumerate(terms) if t == NO_TERM]
+
+    def counts(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, place and count of each known term of some rows of words."""
+        words = lists.flatten().dictionary_encode()
+        number = pc.fill_null(pc.index_in(words.dictionary.cast(pa.string()), self.words), self.width - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+        word = number[words.indices.to_numpy(zero_copy_only=False)]
+        row = np.repeat(np.arange(len(lists)), lengths_of(lists))
+        rows, places = [row], [self.single[word]]
+        if len(self.pairs):
+            beside = row[1:] == row[:-1]
+            key = (word[:-1] * self.width + word[1:])[beside]
+            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            rows.append(row[1:][beside])
+            places.append(np.where(self.pairs[at] == key, self.pair_place[at], -1))
+        for marker in self.marker:
+            rows.append(np.arange(len(lists)))
+            places.append(np.full(len(lists), marker))
+        row, place = np.concatenate(rows), np.concatenate(places)
+        many = max(1, int(place.max(initial=0)) + 1)
+        found, times = np.unique((row * many + place)[place >= 0], return_counts=True)
+        return found // many, found % many, times
+
+
 def known_counts(df: DataFrame, table: DataFrame, doc_id: str, text: str, stop: list[str]) -> DataFrame:
-    """(doc, term, tf, columns of ``table``) for the terms of a table, which Spark broadcasts if its bytes are few.
+    """(doc, term, tf, columns of ``table``) for the terms of a table.
 
-    Texts are folded where they lie and unknown terms drop out; what moves, once, is the counts of known terms.
+    Texts are folded where they lie and unknown terms drop out; what moves, once, is the counts of known terms. A table of few
+    terms goes to every task, which knows a term by its place in it; a larger one is joined.
     """
     extra = [c for c in table.columns if c != "term"]
-    terms = F.concat(F.array(F.lit(NO_TERM)), terms_of(F.col(text), stop))
-    counted = fill_cores(df.select(doc_id, text), doc_id).select(doc_id, F.inline(tx.folded(terms)))
-    return (
-        counted.join(table, "term").repartition(doc_id)
-        .groupBy(doc_id, "term").agg(F.sum("tf").alias("tf"), *[F.first(c).alias(c) for c in extra])
-    )
+    spread = fill_cores(df.select(doc_id, text), doc_id)
+    listed = table.filter("term IS NOT NULL").limit(FEW_TERMS + 1).collect()
+    if len(listed) > FEW_TERMS:
+        terms = F.concat(F.array(F.lit(NO_TERM)), terms_of(F.col(text), stop))
+        return (
+            spread.select(doc_id, F.inline(tx.folded(terms))).join(table, "term").repartition(doc_id)
+            .groupBy(doc_id, "term").agg(F.sum("tf").alias("tf"), *[F.first(c).alias(c) for c in extra])
+        )
+    spark, known = df.sparkSession, Known([r.term for r in listed])
+    sent = spark.sparkContext.broadcast(known)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, upto in slices(batch.column(1)):
+                row, place, times = sent.value.counts(batch.column(1).slice(at, upto - at))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + at)), pa.array(place.astype(np.int32)), pa.array(times)],
+                                                 [doc_id, "_place", "tf"])
+
+    ident = df.schema[doc_id].dataType.simpleString()
+    counted = spread.select(doc_id, words_of(F.col(text), stop).alias("_words")).mapInArrow(count, f"`{doc_id}` {ident}, _place int, tf long")
+    summed = counted.repartition(doc_id).groupBy(doc_id, "_place").agg(F.sum("tf").alias("tf"))
+    places = spark.createDataFrame([(*r, k) for k, r in enumerate(listed)], T.StructType([*table.schema.fields, T.StructField("_place", T.IntegerType())]))
+    return summed.join(F.broadcast(places), "_place").select(doc_id, "term", "tf", *extra)
 
 
 def idf(df: Column, n_docs: Column) -> Column:

@@ -170,7 +170,7 @@ class Block:
         self.members = read("members", np.int8).reshape(-1, width)
         norms = read("norms", np.float64).reshape(-1, spaces)
         self.shrink = np.divide(1.0, norms, out=np.zeros_like(norms), where=norms > 0)  # a row without terms has none
-        self.index, self.value = read("index", np.int32), read("value", np.float64)
+        self.index, self.value = read("index", np.int32).astype(np.intp), read("value", np.float64)  # numpy would widen them at each use
         self.row = np.repeat(np.arange(len(self.labels)), read("lengths", np.int32))
 
     def times(self, matrix: np.ndarray) -> np.ndarray:
