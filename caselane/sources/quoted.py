@@ -24,11 +24,18 @@ from caselane.session import written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-PIECE = 1 << 20  # characters of a piece, above which it is closed at the next line
+PIECE = 1 << 14  # characters of a piece, above which it is closed at the next line; a task gets thousands of them at a time
+HELD = 1 << 22  # characters of records that a task gathers before it hands them on
 OPTIONS = {"quote": '"', "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"}
 BREAK = "\n"
 
 
+def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows of a batch one after the other, so that its texts are not all held twice."""
+    for k in range(len(batch)):
+        yield tuple(column[k].as_py() for column in batch.columns)
+
+
 def pieces(spark: SparkSession, path: str | list[str], size: int = PIECE) -> DataFrame:
     """file, start (of the split), piece (number within it), body and quotes, written down.
 
@@ -48,7 +55,7 @@ def pieces(spark: SparkSession, path: str | list[str], size: int = PIECE) -> Dat
                  pa.array([body.count('"')], pa.int64())], ["file", "start", "piece", "body", "quotes"])
 
         for batch in batches:
-            for file, start, line in zip(*[c.to_pylist() for c in batch.columns]):
+            for file, start, line in rows_of(batch):
                 if (file, start) != key:
                     if held:
                         yield row()
@@ -86,27 +93,31 @@ def records(spark: SparkSession, path: str | list[str], header: bool = True, siz
     marked = found.join(within, ["file", "start", "piece"]).select("file", "start", "piece", "within", "body")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*held)) or [()] * 6
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["file", "start", "piece", "kind", "body", "first"])
+
+        held, length = [], 0  # kind 0: whole records, 1: end or middle of an open one, 2: beginning of one
         for batch in batches:
-            for file, start, piece, inside, body in zip(*[c.to_pylist() for c in batch.columns]):
+            for file, start, piece, inside, body in rows_of(batch):
                 ends = record_ends(body, inside)
-                first = start == 0 and piece == 0
-                rows = []  # kind 0: whole records, 1: end or middle of an open one, 2: beginning of one
+                top = header and start == 0 and piece == 0
                 begin = 0
                 if inside:
                     begin = ends.pop(0) if ends else len(body)
-                    rows.append((1, body[:begin]))
+                    held.append((file, start, piece, 1, body[:begin], False))
                 for end in ends:
-                    if not (first and header and begin == 0):
-                        rows.append((0, body[begin:end]))
+                    if not (top and begin == 0):
+                        held.append((file, start, piece, 0, body[begin:end], False))
                     begin = end
                 if begin < len(body):
-                    rows.append((2, body[begin:]))
-                kinds, texts = zip(*rows) if rows else ((), ())
-                n = len(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([file] * n, pa.string()), pa.array([start] * n, pa.int64()), pa.array([piece] * n, pa.int64()),
-                     pa.array(kinds, pa.int32()), pa.array(texts, pa.string()), pa.array([first and header and b == 2 and t == body for b, t in rows], pa.bool_())],
-                    ["file", "start", "piece", "kind", "body", "first"])
+                    held.append((file, start, piece, 2, body[begin:], top and begin == 0))
+                length += len(body)
+                if length >= HELD:
+                    yield out()
+                    held, length = [], 0
+        yield out()
 
     parts = written(marked.mapInArrow(cut, "file string, start long, piece long, kind int, body string, first boolean"), "parts")
     crossing = parts.filter("kind > 0")
