@@ -70,11 +70,10 @@ def term_stages(text: str, stop: list[str]) -> list:
 
 
 def term_table(df: DataFrame, doc_id: str, text: str, label: str, stop: list[str] | None = None) -> DataFrame:
-    """(doc_id, label, _words, _terms), written down: texts are taken apart once, whatever is fitted on them."""
+    """(doc_id, label, _words), written down: texts are taken apart once, whatever is fitted on them. Pairs of words are never written."""
     stop = default_stopwords() if stop is None else stop
     words = tx.without(tx.tokens(F.coalesce(F.col(text), F.lit(""))), stop)
-    rows = fill_cores(df.select(doc_id, label, text), doc_id).select(doc_id, label, words.alias("_words"))
-    return written(rows.withColumn("_terms", tx.unigrams_and_bigrams(F.col("_words"))), "terms")
+    return written(fill_cores(df.select(doc_id, label, text), doc_id).select(doc_id, label, words.alias("_words")), "terms")
 
 
 def weighing_stages(vocabulary: list[str], idf: np.ndarray, column: str = "_terms") -> list:
@@ -87,11 +86,11 @@ def weighing_stages(vocabulary: list[str], idf: np.ndarray, column: str = "_term
     ]
 
 
-def vector_stages(terms: DataFrame, column: str = "_terms", size: int = MAX_FEATURES) -> list:
-    """The stages fitted on a table of terms; only the vocabulary (at most ``size`` rows) reaches the driver."""
-    rows = count_terms(terms.select(F.col(column).alias("_terms")), size).collect()
+def vector_stages(terms: DataFrame, size: int = MAX_FEATURES) -> list:
+    """The stages fitted on a table of ``_words``; only the vocabulary (at most ``size`` rows) reaches the driver."""
+    rows = count_terms(terms.select("_words"), size).collect()
     n_docs = terms.count()
-    return weighing_stages([r.term for r in rows], np.array([np.log((n_docs + 1) / (r.df + 1)) + 1 for r in rows]), column)
+    return weighing_stages([r.term for r in rows], np.array([np.log((n_docs + 1) / (r.df + 1)) + 1 for r in rows]))
 
 
 def fit_features(df: DataFrame, doc_id: str, text: str, stop: list[str] | None = None,
@@ -99,7 +98,7 @@ def fit_features(df: DataFrame, doc_id: str, text: str, stop: list[str] | None =
     """Text → unit-length TF-IDF vector."""
     stop = default_stopwords() if stop is None else stop
     terms = term_table(df.select(doc_id, text).withColumn("_none", F.lit(0)), doc_id, text, "_none", stop)
-    return PipelineModel([*term_stages(text, stop), *vector_stages(terms, "_terms", size)])
+    return PipelineModel([*term_stages(text, stop), *vector_stages(terms, size)])
 
 
 def featurize(features: PipelineModel, df: DataFrame) -> DataFrame:

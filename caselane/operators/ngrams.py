@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from caselane.functions import text as tx
 from caselane.functions.scores import share
-from caselane.operators.heavy import all_counts, lengths_of, most_frequent, slices
+from caselane.operators.heavy import all_counts, coded, items_of, lengths_of, most_frequent, slices
 from caselane.operators.ordered import FEW_SPLITS, fill_cores
 from caselane.session import written
 
@@ -68,31 +68,49 @@ def count_terms(taken: DataFrame, size: int = MAX_FEATURES, splits: int | None =
 
 
 def count_terms_of(taken: DataFrame, members: list[str]) -> DataFrame:
-    """term, and ``n_<m>`` and ``df_<m>`` for each 0/1 column m: the counts among its rows. One pass serves all."""
-    rows = taken.select(*members, F.inline(tx.folded(F.col("_terms"))))
-    return rows.groupBy("term").agg(
-        *[F.sum(F.when(F.col(m) == 1, F.col("tf")).otherwise(0)).alias(f"n_{m}") for m in members],
-        *[F.count_if(F.col(m) == 1).alias(f"df_{m}") for m in members])
+    """term, and ``n_<m>`` and ``df_<m>`` for each 0/1 column m: the counts among its rows of ``_terms`` or ``_words``. One pass serves all.
+
+    Terms are counted as numbers, some rows at a time, and become strings once for these rows.
+    """
+    column, pairs = items_of(taken)
+    names = [f"n_{m}" for m in members] + [f"df_{m}" for m in members]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flags = [batch.column(1 + k).to_numpy(zero_copy_only=False) == 1 for k in range(len(members))]
+            for at, upto in slices(batch.column(0)):
+                row, code, terms = coded(batch.column(0).slice(at, upto - at), pairs)
+                width = max(1, len(terms))
+                found, times = np.unique(row * width + code, return_counts=True)
+                term, inside = found % width, [f[at:upto][found // width] for f in flags]
+                sums = [np.bincount(term, times * i, width) for i in inside] + [np.bincount(term, i, width) for i in inside]
+                yield pa.RecordBatch.from_arrays([terms.cast(pa.string()), *[pa.array(s[:len(terms)].astype(np.int64)) for s in sums]], ["term", *names])
+
+    counted = taken.select(column, *members).mapInArrow(count, ", ".join(["term string", *[f"`{n}` long" for n in names]]))
+    return counted.groupBy("term").agg(*[F.sum(n).alias(n) for n in names])
 
 
 class Known:
-    """The places of a table's terms, found from the words of texts without writing a pair as a string."""
+    """The places of a table's terms, found from the words of texts without writing a pair as a string.
+
+    Without ``pairs`` the texts are lists of terms, and a pair is a term like any other.
+    """
 
-    def __init__(self, terms: list[str]):
-        parts = [t.split(" ") if t != NO_TERM else [] for t in terms]
+    def __init__(self, terms: list[str], pairs: bool = True):
+        parts = [[t] if not pairs else t.split(" ") if t != NO_TERM else [] for t in terms]
         names = sorted({w for p in parts if len(p) <= 2 for w in p})
         number = {w: k for k, w in enumerate(names)}
         self.words, self.width = pa.array(names, pa.string()), len(names) + 1  # the last number is that of any other word
         self.single = np.full(self.width, -1)
-        pairs = {}
+        both = {}
         for at, p in enumerate(parts):
             if len(p) == 1:
                 self.single[number[p[0]]] = at
             elif len(p) == 2:
-                pairs[number[p[0]] * self.width + number[p[1]]] = at
-        self.pairs = np.array(sorted(pairs), np.int64)
-        self.pair_place = np.array([pairs[p] for p in sorted(pairs)], np.int64)
-        self.marker = [at for at, t in enumerate(terms) if t == NO_TERM]
+                both[number[p[0]] * self.width + number[p[1]]] = at
+        self.pairs = np.array(sorted(both), np.int64)
+        self.pair_place = np.array([both[p] for p in sorted(both)], np.int64)
+        self.marker = [at for at, p in enumerate(parts) if not p]
 
     def counts(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, place and count of each known term of some rows of words."""
@@ -131,13 +149,14 @@ def known_counts(df: DataFrame, table: DataFrame, doc_id: str, text: str, stop:
             spread.select(doc_id, F.inline(tx.folded(terms))).join(table, "term").repartition(doc_id)
             .groupBy(doc_id, "term").agg(F.sum("tf").alias("tf"), *[F.first(c).alias(c) for c in extra])
         )
-    spark, known = df.sparkSession, Known([r.term for r in listed])
-    sent = spark.sparkContext.broadcast(known)
+    spark = df.sparkSession
+    sent = spark.sparkContext.broadcast([r.term for r in listed])  # plain values: a broadcast object would need its module on the workers
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(sent.value)
         for batch in batches:
             for at, upto in slices(batch.column(1)):
-                row, place, times = sent.value.counts(batch.column(1).slice(at, upto - at))
+                row, place, times = known.counts(batch.column(1).slice(at, upto - at))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + at)), pa.array(place.astype(np.int32)), pa.array(times)],
                                                  [doc_id, "_place", "tf"])
 

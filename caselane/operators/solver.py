@@ -21,12 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark import StorageLevel, cloudpickle
-from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, functions as F
 
-from caselane.operators.ngrams import MAX_FEATURES, count_terms_of
+from caselane.operators.heavy import items_of, slices
+from caselane.operators.ngrams import MAX_FEATURES, Known, count_terms_of
 from caselane.session import written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # what runs in tasks travels with the task
@@ -95,11 +94,17 @@ class Problem:
 
 
 def damped(counts: np.ndarray) -> np.ndarray:
-    return 1.0 + np.log(counts)
+    """The logarithm is taken once for each count that may occur, not for each term of a row."""
+    return (1.0 + np.log(np.arange(1, int(counts.max(initial=0)) + 1)))[counts.astype(np.intp) - 1]
+
+
+def narrow_bytes(numbers: np.ndarray) -> bytes:
+    """In the least of 1, 2, 4 or 8 bytes each that holds them all: passes are bound by what they read."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0)))).tobytes()
 
 
 def prepare(rows: DataFrame, row_id: str, label: str, arms: list[Arm], size: int = MAX_FEATURES) -> Problem:
-    """Count, choose terms for each space and pack the rows (row_id, label, ``_terms``, the members' columns)."""
+    """Count, choose terms for each space and pack the rows (row_id, label, ``_terms`` or ``_words``, the members' columns)."""
     spark = rows.sparkSession
     members = sorted({a.member for a in arms})
     spaces = sorted({(a.member, a.pairs) for a in arms})
@@ -123,39 +128,40 @@ def prepare(rows: DataFrame, row_id: str, label: str, arms: list[Arm], size: int
 
 
 def pack(rows: DataFrame, row_id: str, label: str, members: list[str], terms: list[str], scale: np.ndarray) -> DataFrame:
-    """Blocks of rows: ids, labels, members, the lengths of the rows in each space, and the damped counts as sparse rows."""
-    counted = CountVectorizerModel.from_vocabulary(terms or ["-"], inputCol="_terms", outputCol="_counts").transform(rows)
-    narrow = counted.select(F.col(row_id).alias("id"), F.col(label).cast("double").alias("label"),
-                            F.array(*[F.col(m).cast("tinyint") for m in members]).alias("members"), "_counts")
-    width, spaces = len(members), scale.shape[1]
-    id_type = narrow.schema["id"].dataType.simpleString()
+    """Blocks of rows: ids, labels, members, the lengths of the rows in each space, and the counts as sparse rows."""
+    column, pairs = items_of(rows)
+    sent = rows.sparkSession.sparkContext.broadcast((terms, scale))  # plain values: a broadcast object would need its module on the workers
+    narrow = rows.select(F.col(column), F.col(row_id).alias("id"), F.col(label).cast("double").alias("label"),
+                         *[F.col(m).cast("tinyint").alias(f"_in{k}") for k, m in enumerate(members)])
+    spaces, id_type = scale.shape[1], narrow.schema["id"].dataType.simpleString()
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, weights = sent.value
+        known = Known(names, pairs)
         for batch in batches:
-            vectors = batch.column(3)
-            vectors = vectors.storage if hasattr(vectors, "storage") else vectors
-            at = 0
-            while at < len(batch):
-                ids, values = vectors.field("indices").slice(at, BLOCK_ROWS), vectors.field("values").slice(at, BLOCK_ROWS)
-                lengths = pa.compute.list_value_length(ids).to_numpy(zero_copy_only=False)
-                upto = max(1, int(np.searchsorted(np.cumsum(lengths), BLOCK_COUNTS, "right")))
-                rows_here = min(upto, len(ids))
-                index = ids.slice(0, rows_here).flatten().to_numpy().astype(np.int32)
-                value = damped(values.slice(0, rows_here).flatten().to_numpy())
-                row = np.repeat(np.arange(rows_here), lengths[:rows_here])
-                norms = np.empty((rows_here, spaces))
-                for s in range(spaces):
-                    norms[:, s] = np.sqrt(np.bincount(row, (value * scale[index, s]) ** 2, rows_here))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.ListArray.from_arrays(pa.array([0, rows_here], pa.int32()), batch.column(0).slice(at, rows_here)),
-                     pa.array([batch.column(1).slice(at, rows_here).to_numpy(zero_copy_only=False).tobytes()], pa.binary()),
-                     pa.array([batch.column(2).slice(at, rows_here).flatten().to_numpy(zero_copy_only=False).astype(np.int8).tobytes()], pa.binary()),
-                     pa.array([norms.tobytes()], pa.binary()), pa.array([lengths[:rows_here].astype(np.int32).tobytes()], pa.binary()),
-                     pa.array([index.tobytes()], pa.binary()), pa.array([value.tobytes()], pa.binary())],
-                    ["ids", "labels", "members", "norms", "lengths", "index", "value"])
-                at += rows_here
-
-    shape = f"ids array<{id_type}>, labels binary, members binary, norms binary, lengths binary, index binary, value binary"
+            labels = batch.column(2).to_numpy(zero_copy_only=False)
+            inside = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[3:]], axis=1).astype(np.int8)
+            for first, last in slices(batch.column(0)):
+                every, place, times = known.counts(batch.column(0).slice(first, last - first))
+                lengths = np.bincount(every, minlength=last - first)
+                ends, at = np.cumsum(lengths), 0
+                while at < last - first:
+                    begin = ends[at - 1] if at else 0
+                    upto = min(at + BLOCK_ROWS, max(at + 1, int(np.searchsorted(ends, begin + BLOCK_COUNTS, "right"))), last - first)
+                    index, count, row = place[begin:ends[upto - 1]], times[begin:ends[upto - 1]], every[begin:ends[upto - 1]] - at
+                    value, norms = damped(count), np.empty((upto - at, spaces))
+                    for s in range(spaces):
+                        norms[:, s] = np.sqrt(np.bincount(row, (value * weights[index, s]) ** 2, upto - at))
+                    part = slice(first + at, first + upto)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.ListArray.from_arrays(pa.array([0, upto - at], pa.int32()), batch.column(1).slice(first + at, upto - at)),
+                         pa.array([labels[part].tobytes()], pa.binary()), pa.array([inside[part].tobytes()], pa.binary()),
+                         pa.array([norms.tobytes()], pa.binary()), pa.array([lengths[at:upto].astype(np.int32).tobytes()], pa.binary()),
+                         pa.array([len(index)], pa.int64()), pa.array([narrow_bytes(index)], pa.binary()), pa.array([narrow_bytes(count)], pa.binary())],
+                        ["ids", "labels", "members", "norms", "lengths", "counts", "index", "value"])
+                    at = upto
+
+    shape = f"ids array<{id_type}>, labels binary, members binary, norms binary, lengths binary, counts long, index binary, value binary"
     return written(narrow.mapInArrow(block, shape), "blocks")
 
 
@@ -170,7 +176,12 @@ class Block:
         self.members = read("members", np.int8).reshape(-1, width)
         norms = read("norms", np.float64).reshape(-1, spaces)
         self.shrink = np.divide(1.0, norms, out=np.zeros_like(norms), where=norms > 0)  # a row without terms has none
-        self.index, self.value = read("index", np.int32).astype(np.intp), read("value", np.float64)  # numpy would widen them at each use
+        counts = batch.column("counts")[at].as_py()
+
+        def numbers(name: str) -> np.ndarray:
+            return read(name, np.dtype(f"u{len(batch.column(name)[at].as_buffer()) // max(1, counts) or 1}"))
+
+        self.index, self.value = numbers("index").astype(np.intp), damped(numbers("value"))  # numpy would widen them at each use
         self.row = np.repeat(np.arange(len(self.labels)), read("lengths", np.int32))
 
     def times(self, matrix: np.ndarray) -> np.ndarray:
@@ -372,7 +383,7 @@ def solve(problem: Problem, tolerance: float = TOLERANCE, most: int = 1000) -> l
 
 def _solve(problem: Problem, tolerance: float, most: int) -> list[Fit]:
     terms, every = len(problem.terms), range(len(problem.arms))
-    sums = problem.blocks.agg(F.sum(F.size("ids")).alias("rows"), F.sum(F.length("index") / 4).alias("counts")).first()
+    sums = problem.blocks.agg(F.sum(F.size("ids")).alias("rows"), F.sum("counts").alias("counts")).first()
     few = (sums.rows or 0) <= FEW_ROWS and (sums.counts or 0) <= FEW_COUNTS and bool(sums.rows)
     everything = AllRows(problem) if few else None
     penalty = np.array([1 / a.c for a in problem.arms])

@@ -115,3 +115,38 @@ def test_blocks_are_bounded(spark, rows, monkeypatch):
     assert sum(s.n for s in sizes) == len(rows) and max(s.n for s in sizes) <= 7 and all(s.counts <= 60 or s.n == 1 for s in sizes)
     names, w, b, _ = newton(rows, ARMS[1], 300)
     assert np.abs(solver.solve(problem)[0].coefficients - w).max() < 1e-6
+
+
+@pytest.mark.parametrize("items", [1 << 20, 9])
+def test_words_are_packed_as_their_terms(spark, rows, monkeypatch, items):
+    """Words whose pairs are terms give the blocks that lists of terms give; a count that needs more than a byte is whole."""
+    from caselane.operators import heavy
+
+    monkeypatch.setattr(heavy, "ITEMS", items)
+    words = [(r[0], [t for t in r[1] if " " not in t], *r[2:]) for r in rows] + [(5000, ["much"] * 300, 1, 1, 0)]
+    terms = [*rows, (5000, ["much"] * 300 + ["much much"] * 299, 1, 1, 0)]
+
+    def table(some, column):
+        problem = solver.prepare(spark.createDataFrame(some, SHAPE.replace("_terms", column)).repartition(3), "id", "y", ARMS, 300)
+        found = {}
+        for batch in problem.blocks.toArrow().to_batches():
+            for at in range(len(batch)):
+                block = solver.Block(batch, at, len(problem.members), problem.scale.shape[1])
+                for k, i in enumerate(batch.column("ids")[at].as_py()):
+                    mine = block.row == k
+                    found[i] = ([problem.terms[t] for t in block.index[mine]], block.value[mine].tolist(), block.labels[k], block.members[k].tolist(), block.shrink[k].tolist())
+        return problem, found
+
+    by_words, packed = table(words, "_words")
+    by_terms, same = table(terms, "_terms")
+    assert by_words.terms == by_terms.terms and by_words.vocabularies == by_terms.vocabularies and np.array_equal(by_words.scale, by_terms.scale)
+    assert packed == same and len(packed) == 401
+    assert dict(zip(*packed[5000][:2])) == {"much": 1 + np.log(300), "much much": 1 + np.log(299)}
+
+
+def test_blocks_hold_few_bytes_a_count(spark, rows):
+    """Passes are bound by what they read: a place takes two bytes here and a count one."""
+    problem = solver.prepare(spark.createDataFrame(rows, SHAPE), "id", "y", ARMS, 300)
+    taken = problem.blocks.selectExpr("sum(length(index) + length(value)) AS bytes").first().bytes
+    counts = sum(len(set(r[1]) & set(problem.terms)) for r in rows)
+    assert taken <= 3 * counts
