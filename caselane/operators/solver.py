@@ -7,7 +7,7 @@ under these weights. So the margins of all arms are one block product of the cou
 are the gradients, which every task sums over its blocks before anything moves; many partitions are summed in a tree.
 
 Each arm walks to its own optimum by limited-memory quasi-Newton steps, one trial point per pass. They start from the second
-derivatives: those along the axes, or, where all rows are few enough to be sent to every worker (``FEW_ROWS``, ``FEW_COUNTS``), the whole
+derivatives: those along the axes, taken anew every ``RENEW`` steps, or, where all rows are few enough to be sent to every worker (``FEW_ROWS``, ``FEW_COUNTS``), the whole
 matrix, never formed but solved with by conjugate gradients, each arm in a task of its own. Arms that have arrived leave the product. An arm has arrived when its gradient tells, by the convexity of the penalty, that its coefficients lie within
 ``TOLERANCE`` of the optimum, so the passes an experiment takes are those of its slowest arm.
 """
@@ -33,6 +33,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # what runs in task
 TOLERANCE = 1e-6  # distance of the coefficients from the optimum
 MEMORY = 100  # steps that the curvature is estimated from
 FEW_ROWS, FEW_COUNTS = 1 << 14, 1 << 23  # rows and counts up to which workers solve with the whole second derivatives
+RENEW = 15  # steps after which the second derivatives along the axes are taken anew
 BLOCK_ROWS = 1 << 11
 BLOCK_COUNTS = 1 << 19  # counts of a block, above which it is closed early
 TREE = 64  # partitions whose sums one task adds up
@@ -54,7 +55,14 @@ class Solve:
     nearness: float  # of the product, as a share of the right-hand side
 
 
-Walk = Generator[Trial | Solve, tuple[float, np.ndarray] | np.ndarray, np.ndarray]
+@dataclass(frozen=True)
+class Axes:
+    """A walk asks for the second derivatives along the axes at a point."""
+
+    point: np.ndarray
+
+
+Walk = Generator[Trial | Solve | Axes, tuple[float, np.ndarray] | np.ndarray, np.ndarray]
 
 
 @dataclass(frozen=True)
@@ -247,35 +255,47 @@ def evaluate(problem: Problem, arms: list[int], points: np.ndarray) -> tuple[np.
     return found[:count], np.concatenate((slopes.T, found[count:2 * count, None]), axis=1)
 
 
-def curvatures(problem: Problem) -> np.ndarray:
-    """(arms, terms + 1): the second derivatives of each arm's loss at 0 along the axes."""
-    terms, count = len(problem.terms), len(problem.arms)
-    member = [problem.members.index(a.member) for a in problem.arms]
-    space, class_weights, width, spaces = problem.space, problem.class_weights, len(problem.members), problem.scale.shape[1]
+def curvatures(problem: Problem, arms: list[int], points: np.ndarray) -> np.ndarray:
+    """(arms, terms + 1): the second derivatives of some arms' penalised losses along the axes at their points."""
+    terms, count = len(problem.terms), len(arms)
+    space = [problem.space[a] for a in arms]
+    member = [problem.members.index(problem.arms[a].member) for a in arms]
+    scale, class_weights = problem.scale[:, space], problem.class_weights[arms]
+    matrix, intercepts = scale * points[:, :terms].T, points[:, terms]
+    width, spaces = len(problem.members), problem.scale.shape[1]
 
     def per_block(batch: pa.RecordBatch, at: int) -> np.ndarray:
         block = Block(batch, at, width, spaces)
-        weight = weights_of(block, class_weights, member) / 4
-        return np.concatenate((weight.sum(axis=0), block.transposed(weight * block.shrink[:, space] ** 2, terms, 2).ravel()))
+        shrink = block.shrink[:, space]
+        margin = block.times(matrix) * shrink + intercepts
+        bend = weights_of(block, class_weights, member) * np.exp(-np.logaddexp(0, margin) - np.logaddexp(0, -margin))
+        return np.concatenate((bend.sum(axis=0), block.transposed(bend * shrink ** 2, terms, 2).ravel()))
 
     found = summed(problem, per_block, count * (terms + 1))
-    along = found[count:].reshape(terms, count) * problem.scale[:, space] ** 2
-    return np.concatenate((along.T, found[:count, None]), axis=1)
+    along = found[count:].reshape(terms, count) * scale ** 2 + [1 / problem.arms[a].c for a in arms]
+    return np.concatenate((along.T, np.maximum(found[:count, None], 1e-12)), axis=1)
+
+
+def dot(a: np.ndarray, b: np.ndarray) -> float:
+    """The inner product by one thread: a BLAS wakes all cores for so short a vector, which takes longer than the product."""
+    return float(np.einsum("i,i", a, b))
 
 
 def walk(curvature: np.ndarray, nearness: float, most: int, whole: bool) -> Walk:
     """Quasi-Newton steps from 0 to the returned point. With ``whole`` second derivatives they are Newton's steps, and none is remembered."""
     x = np.zeros_like(curvature)
     value, gradient = yield Trial(x)
-    first = np.linalg.norm(gradient)
+    first = np.sqrt(dot(gradient, gradient))
     steps: deque = deque(maxlen=0 if whole else MEMORY)
-    for _ in range(most):
-        size = np.linalg.norm(gradient)
+    for step in range(most):
+        size = np.sqrt(dot(gradient, gradient))
         if size <= nearness:
             break
+        if step and step % RENEW == 0 and not whole:
+            curvature = yield Axes(x)
         direction, taken = gradient.copy(), []
         for s, y, r in reversed(steps):
-            taken.append(r * (s @ direction))
+            taken.append(r * dot(s, direction))
             direction -= taken[-1] * y
         if whole:
             direction = yield Solve(x, direction, min(0.1, max(1e-4, np.sqrt(size / first))))
@@ -283,10 +303,10 @@ def walk(curvature: np.ndarray, nearness: float, most: int, whole: bool) -> Walk
             direction /= curvature
         if steps:
             s, y, r = steps[-1]
-            direction /= r * (y @ (y / curvature))
+            direction /= r * dot(y, y / curvature)
         for (s, y, r), a in zip(steps, reversed(taken)):
-            direction += (a - r * (y @ direction)) * s
-        slope, length = -(gradient @ direction), 1.0
+            direction += (a - r * dot(y, direction)) * s
+        slope, length = -dot(gradient, direction), 1.0
         while True:
             trial = x - length * direction
             new_value, new_gradient = yield Trial(trial)
@@ -294,8 +314,8 @@ def walk(curvature: np.ndarray, nearness: float, most: int, whole: bool) -> Walk
                 break
             length /= 2
         s, y = trial - x, new_gradient - gradient
-        if s @ y > 1e-14 * (s @ s):
-            steps.append((s, y, 1 / (s @ y)))
+        if dot(s, y) > 1e-14 * dot(s, s):
+            steps.append((s, y, 1 / dot(s, y)))
         x, value, gradient = trial, new_value, new_gradient
     return x
 
@@ -387,11 +407,10 @@ def _solve(problem: Problem, tolerance: float, most: int) -> list[Fit]:
     few = (sums.rows or 0) <= FEW_ROWS and (sums.counts or 0) <= FEW_COUNTS and bool(sums.rows)
     everything = AllRows(problem) if few else None
     penalty = np.array([1 / a.c for a in problem.arms])
-    curvature = np.ones((len(problem.arms), terms + 1)) if few else curvatures(problem)
-    curvature[:, :terms] += penalty[:, None]
-    curvature[:, terms] = np.maximum(curvature[:, terms], 1e-12)
+    start = np.zeros((len(problem.arms), terms + 1))
+    curvature = start + 1 if few else curvatures(problem, list(every), start)
     walks = [walk(h, tolerance * p, most, few) for h, p in zip(curvature, penalty)]
-    asked: dict[int, Trial | Solve] = {k: next(walks[k]) for k in every}
+    asked: dict[int, Trial | Solve | Axes] = {k: next(walks[k]) for k in every}
     points, ended, passes = {}, {}, 0
 
     def answer(k: int, found: tuple[float, np.ndarray] | np.ndarray) -> None:
@@ -409,7 +428,12 @@ def _solve(problem: Problem, tolerance: float, most: int) -> list[Fit]:
             for k, loss, slope in zip(trials, losses, slopes):
                 coefficients = asked[k].point[:terms]
                 slope[:terms] += penalty[k] * coefficients
-                answer(k, (loss + penalty[k] * (coefficients @ coefficients) / 2, slope))
+                answer(k, (loss + penalty[k] * dot(coefficients, coefficients) / 2, slope))
+        renewed = [k for k in every if isinstance(asked.get(k), Axes)]
+        if renewed:
+            passes += 1
+            for k, along in zip(renewed, curvatures(problem, renewed, np.array([asked[k].point for k in renewed]))):
+                answer(k, along)
         waiting = [k for k in every if isinstance(asked.get(k), Solve)]
         if waiting:
             for k, found in zip(waiting, everything.solve(waiting, [asked[k] for k in waiting])):

@@ -150,3 +150,26 @@ def test_blocks_hold_few_bytes_a_count(spark, rows):
     taken = problem.blocks.selectExpr("sum(length(index) + length(value)) AS bytes").first().bytes
     counts = sum(len(set(r[1]) & set(problem.terms)) for r in rows)
     assert taken <= 3 * counts
+
+
+def test_second_derivatives_along_the_axes_are_renewed(spark, monkeypatch):
+    """They differ much at the optimum from those at 0, and steps that start from them are fewer."""
+    some = texts(1500, seed=3)
+    problem = solver.prepare(spark.createDataFrame(some, SHAPE), "id", "y", [Arm("a", "most", 100.0)], 300)
+    monkeypatch.setattr(solver, "FEW_ROWS", 10)
+    fit = solver.solve(problem)[0]
+    names, w, b, _ = newton(some, problem.arms[0], 300)
+    assert fit.terms == names and np.abs(fit.coefficients - w).max() < 1e-6
+    point = np.zeros((1, len(problem.terms) + 1))
+    for term, c in zip(fit.terms, fit.coefficients):
+        point[0, problem.terms.index(term)] = c
+    point[0, -1] = fit.intercept
+    step, along = 1e-4, solver.curvatures(problem, [0], point)[0]
+    for axis in (0, 7, len(problem.terms)):
+        ahead, back = point.copy(), point.copy()
+        ahead[0, axis] += step
+        back[0, axis] -= step
+        slope = (solver.evaluate(problem, [0], ahead)[1] - solver.evaluate(problem, [0], back)[1])[0, axis] / (2 * step)
+        assert abs(slope + (axis < len(problem.terms)) / 100.0 - along[axis]) < 1e-4 * along[axis]
+    monkeypatch.setattr(solver, "RENEW", 10_000)
+    assert fit.passes < solver.solve(problem)[0].passes
